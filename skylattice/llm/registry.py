@@ -1,11 +1,12 @@
 """The queries of this package and the SQL they are held against."""
 
-from skylattice.llm import decontamination, line_dedup, mixing, token_output, url_filter
+from skylattice.llm import decontamination, line_dedup, mixing, quality, token_output, url_filter
 
 QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_token_output": token_output.op6_token_output,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op10_quality": quality.op10_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
