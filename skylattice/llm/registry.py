@@ -1,8 +1,9 @@
 """The queries of this package and the SQL they are held against."""
 
-from skylattice.llm import decontamination, embedding_dedup, line_dedup, mixing, quality, token_output, url_filter
+from skylattice.llm import decontamination, embedding_dedup, line_dedup, mixing, quality, substring_dedup, token_output, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_output": token_output.op6_token_output,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op2_embedding_dedup": embedding_dedup.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
