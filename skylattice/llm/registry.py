@@ -1,11 +1,12 @@
 """The queries of this package and the SQL they are held against."""
 
-from skylattice.llm import decontamination, embedding_dedup, line_dedup, mixing, ngram_join, quality, substring_dedup, token_output, url_filter
+from skylattice.llm import decontamination, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_output": token_output.op6_token_output,
     "op7_decontamination": decontamination.op7_decontamination,
