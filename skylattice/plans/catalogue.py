@@ -1,4 +1,483 @@
 """Every query of the library by name, with the SQL it is held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skylattice.functions import geo, scalar
+from skylattice.operators import fleet, graph, model, sampling, sectors, spatial
+from skylattice.plans import standins as S
+from skylattice.plans.standins import heads
+from skylattice.sinks import writers
+from skylattice.streaming import rates as streamed
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+MINUTES, DAYS = 60, ("2024-01-01", "2024-01-30")
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+metres = lambda c="d": F.round(c, 3).alias("d")
+
+# --- models ---------------------------------------------------------------------------------------------
+
+RATES = (
+    heads("legs")
+    + """, n AS (SELECT origin, hour(firstseen) AS bin, count(*) AS n FROM legs GROUP BY 1, 2),
+g AS (SELECT o.origin, b.bin FROM (SELECT DISTINCT origin FROM legs) o, (SELECT unnest(range(0, 24)) AS bin) b),
+r AS (SELECT g.origin, g.bin::INTEGER AS bin, coalesce(n.n, 0) / 30.0::DOUBLE AS rate FROM g LEFT JOIN n ON n.origin = g.origin AND n.bin = g.bin)"""
+)
+
+
+@query(RATES + " SELECT * FROM r")
+def dep_rate_by_hour(spark, d):
+    return model.departure_rates(S.legs(spark, d), MINUTES, *DAYS)
+
+
+@query(RATES + " SELECT origin, bin, round(avg(rate) OVER (PARTITION BY origin ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 9) AS rate FROM r")
+def dep_rate_smoothed(spark, d):
+    return model.smoothed(dep_rate_by_hour(spark, d), 4).withColumn("rate", F.round("rate", 9))
+
+
+@query(heads("legs") + ", n AS (SELECT origin, hour(firstseen)::INTEGER AS bin, destination, count(*)::DOUBLE AS n FROM legs GROUP BY 1, 2, 3) SELECT origin, bin, destination, n / sum(n) OVER (PARTITION BY origin, bin) AS prob FROM n")
+def od_time_model(spark, d):
+    return model.od_probabilities(S.legs(spark, d), MINUTES)
+
+
+@query(
+    heads("legs")
+    + """, n AS (SELECT origin, hour(firstseen)::INTEGER AS bin, destination, count(*) + 0.5::DOUBLE AS n FROM legs GROUP BY 1, 2, 3),
+f AS (SELECT destination, count(*)::DOUBLE / (SELECT count(*) FROM legs) AS f FROM legs GROUP BY 1)
+SELECT origin, bin, destination, round(0.8::DOUBLE * (n / sum(n) OVER w) + 0.2::DOUBLE * f / sum(f) OVER w, 9) AS prob FROM n JOIN f USING (destination) WINDOW w AS (PARTITION BY origin, bin)"""
+)
+def od_backoff_mix(spark, d):
+    return model.od_probabilities(S.legs(spark, d), MINUTES, 0.5, 0.2).withColumn("prob", F.round("prob", 9))
+
+
+@query(heads("legs") + " SELECT destination, count(*)::DOUBLE / (SELECT count(*) FROM legs) AS freq FROM legs GROUP BY 1")
+def global_dest_freq(spark, d):
+    return model.destination_frequency(S.legs(spark, d))
+
+
+TAT = (
+    heads("legs")
+    + """, t AS (SELECT flight_id, origin, (epoch_us(firstseen) - epoch_us(lag(lastseen) OVER w)) / 60000000.0::DOUBLE AS tat_min, lag(destination) OVER w AS here FROM legs WINDOW w AS (PARTITION BY aircraft_uid ORDER BY firstseen, flight_id))
+SELECT flight_id, tat_min FROM t WHERE here = origin"""
+)
+
+
+@query(TAT)
+def turnaround(spark, d):
+    return model.turnarounds(S.legs(spark, d))
+
+
+@query(TAT + " AND tat_min BETWEEN 30 AND 600")
+def turnaround_range(spark, d):
+    return model.turnarounds(S.legs(spark, d), 30, 600)
+
+
+DUR = heads("legs", "legs25") + ", p AS (SELECT flight_id, origin, destination, (epoch_us(lastseen) - epoch_us(firstseen)) / 60000000.0::DOUBLE AS duration_min FROM legs25)"
+
+
+@query(
+    DUR
+    + """, s AS (SELECT origin, destination, count(*) AS n, avg(duration_min) AS m FROM p GROUP BY 1, 2)
+SELECT origin, destination, n, n < 405 AS pooled, CASE WHEN n < 405 THEN (SELECT count(*) FROM p) ELSE n END AS n_used, round(CASE WHEN n < 405 THEN (SELECT avg(duration_min) FROM p) ELSE m END, 6) AS mean_used FROM s"""
+)
+def duration_pool(spark, d):
+    return model.duration_pools(model.durations(S.legs25(spark, d)), 405).withColumn("mean_used", F.round("mean_used", 6))
+
+
+@query(DUR + ", q AS (SELECT quantile_cont(duration_min, 1 / 3.0::DOUBLE) AS a, quantile_cont(duration_min, 2 / 3.0::DOUBLE) AS b FROM p) SELECT flight_id, CASE WHEN duration_min < a THEN 430 WHEN duration_min < b THEN 450 ELSE 480 END AS speed_kts FROM p, q")
+def speed_tertiles(spark, d):
+    return model.speed_classes(model.durations(S.legs25(spark, d))).select("flight_id", "speed_kts")
+
+
+@query(heads("legs") + " SELECT flight_id, firstseen, lastseen FROM legs WHERE firstseen::DATE = lastseen::DATE AND firstseen::DATE BETWEEN '2024-01-05' AND '2024-01-20'")
+def same_day_filter(spark, d):
+    return model.same_day(S.legs(spark, d), start="2024-01-05", end="2024-01-20").select("flight_id", F.col("firstseen").cast("timestamp_ntz").alias("firstseen"), F.col("lastseen").cast("timestamp_ntz").alias("lastseen"))
+
+
+def _codes(spark, d):
+    return S.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, " nan ").when(F.col("event_id") % 11 == 0, "").when(F.col("event_id") % 13 == 0, F.concat(F.lit(" e"), F.substring("event_type", 1, 3))).otherwise(F.col("event_type")).alias("origin"), F.lit("x ").alias("destination"))
+
+
+CODES = "WITH c AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN ' nan ' WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN ' e' || substr(event_type, 1, 3) ELSE event_type END AS origin FROM events)"
+
+
+@query(CODES + " SELECT event_id, upper(trim(origin)) AS origin, 'X' AS destination FROM c WHERE upper(trim(origin)) NOT IN ('', 'NAN', 'NONE', 'NULL')")
+def null_token_clean(spark, d):
+    return model.cleaned(_codes(spark, d))
+
+
+@query(CODES + " SELECT event_id, upper(trim(origin)) AS origin FROM c WHERE regexp_full_match(upper(trim(origin)), '[A-Z]{4}') AND upper(trim(origin)) NOT IN ('', 'NAN', 'NONE', 'NULL')")
+def icao_filter(spark, d):
+    c = _codes(spark, d).select("event_id", scalar.clean_code(F.col("origin")).alias("origin"))
+    return model.icao_only(c.withColumn("destination", F.col("origin"))).select("event_id", "origin")
+
+
+@query("SELECT event_id, strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%d') AS dep_date, least((hour(ts - INTERVAL 6 HOUR) * 60 + minute(ts - INTERVAL 6 HOUR)) // 37, 37)::INTEGER AS bin FROM events")
+def zone_bins(spark, d):
+    legs = S.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("firstseen"))
+    return model.binned(legs, 37, -6).select("event_id", F.col("dep_date").cast("string").alias("dep_date"), "bin")
+
+
+# --- geography --------------------------------------------------------------------------------------------
+
+
+def _inside() -> str:
+    v = geo.pairs(S.CENTRAL_EUROPE)
+    terms = [f"CASE WHEN (({y1}::DOUBLE > lat) <> ({y2}::DOUBLE > lat)) AND lon < ({x2}::DOUBLE - {x1}::DOUBLE) * (lat - {y1}::DOUBLE) / ({y2}::DOUBLE - {y1}::DOUBLE + 1e-15) + {x1}::DOUBLE THEN 1 ELSE 0 END" for (y1, x1), (y2, x2) in zip(v, v[1:] + v[:1])]
+    return f"({' + '.join(terms)}) % 2 = 1"
+
+
+@query(heads("nav") + f" SELECT id FROM nav WHERE {_inside()}")
+def point_in_polygon(spark, d):
+    return S.navpoints(spark, d).filter(geo.in_regions(F.col("lat"), F.col("lon"), [S.CENTRAL_EUROPE])).select("id")
+
+
+@query(heads("nav") + " SELECT id FROM nav WHERE lat BETWEEN 45.32967 AND 56.64614 AND lon BETWEEN 0.46895 AND 18.14017")
+def bbox_filter(spark, d):
+    return S.navpoints(spark, d).filter(geo.in_box(F.col("lat"), F.col("lon"), geo.bounds(S.CENTRAL_EUROPE))).select("id")
+
+
+BOXES = [("central europe", geo.bounds(S.CENTRAL_EUROPE)), ("north", (50.0, 0.0, 60.0, 20.0))]
+GRID = """WITH box(region, lat0, lon0, lat1, lon1) AS (VALUES ('CENTRAL_EUROPE', 45.32967::DOUBLE, 0.46895::DOUBLE, 56.64614::DOUBLE, 18.14017::DOUBLE), ('NORTH', 50.0::DOUBLE, 0.0::DOUBLE, 60.0::DOUBLE, 20.0::DOUBLE)),
+g AS (SELECT 'GRID_' || region || '_Y' || lpad(y::VARCHAR, 2, '0') || 'X' || lpad(x::VARCHAR, 2, '0') AS id, region, y, x, lat0 + (y + 0.5::DOUBLE) * (lat1 - lat0) / 7 AS lat, lon0 + (x + 0.5::DOUBLE) * (lon1 - lon0) / 5 AS lon, 0.0::DOUBLE AS alt FROM box, (SELECT unnest(range(0, 7)) AS y), (SELECT unnest(range(0, 5)) AS x))"""
+
+
+@query(GRID + " SELECT id, region, y::INTEGER AS y, x::INTEGER AS x, round(lat, 9) AS lat, round(lon, 9) AS lon FROM g")
+def grid_points(spark, d):
+    return spatial.grid_points(spark, BOXES, 5, 7, 0.0).select("id", "region", "y", "x", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+@query(GRID + f" SELECT a.id AS u, b.id AS v, round({S.slant('a', 'b')}, 3) AS d FROM g a JOIN g b ON a.region = b.region AND a.id < b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1")
+def grid_edges_8nb(spark, d):
+    return spatial.grid_edges(spatial.grid_points(spark, BOXES, 5, 7, 0.0)).select("u", "v", metres())
+
+
+LV = [(0, 3048.0, "FL100"), (1, 6096.0, "FL200"), (2, 9144.0, "FL300")]
+EXPANDED = (
+    heads("nav", "air")
+    + """, lv(level, alt, tag) AS (VALUES (0, 3048.0::DOUBLE, 'FL100'), (1, 6096.0::DOUBLE, 'FL200'), (2, 9144.0::DOUBLE, 'FL300')),
+x AS (SELECT 'A' || id AS id, 'A' || id AS base, lat, lon, 0.0::DOUBLE AS alt, 1 AS is_airport, -1 AS level FROM air UNION ALL SELECT 'N' || id || '_' || tag, 'N' || id, lat, lon, lv.alt, 0, level FROM nav, lv)"""
+)
+
+
+@query(EXPANDED + " SELECT id, base, round(alt, 3) AS alt, is_airport, level FROM x")
+def level_expand(spark, d):
+    return spatial.expanded(S.vertices(spark, d).drop("alt", "ordinal"), geo.levels([100, 200, 300])).select("id", "base", F.round("alt", 3).alias("alt"), "is_airport", "level")
+
+
+@query(
+    EXPANDED
+    + f""", p AS (SELECT DISTINCT 'N' || c_custkey AS u, 'N' || (c_custkey + 1) AS v FROM customer UNION SELECT 'A' || s_suppkey, 'N' || s_suppkey FROM supplier)
+SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, round(max({S.slant('a', 'b')}), 3) AS d FROM p JOIN x a ON a.base = p.u JOIN x b ON b.base = p.v WHERE a.level < 0 OR b.level < 0 OR abs(a.level - b.level) <= 1 GROUP BY 1, 2"""
+)
+def edge_lift(spark, d):
+    v = spatial.expanded(S.vertices(spark, d).drop("alt", "ordinal"), geo.levels([100, 200, 300]))
+    c, s = S.navpoints(spark, d), S.airports(spark, d)
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    e = c.select(name("N", F.col("id")).alias("u"), name("N", F.col("id") + 1).alias("v")).union(s.select(name("A", F.col("id")), name("N", F.col("id"))))
+    return spatial.lifted(e, v).select("u", "v", metres())
+
+
+PAIRS = heads("nav", "pairs", "sym")
+
+
+def _pairs(spark, d):
+    return spatial.radius_pairs(S.navpoints(spark, d), S.PAIR_METRES)
+
+
+@query(PAIRS + " SELECT u, v, round(d, 3) AS d FROM pairs")
+def radius_pairs(spark, d):
+    return _pairs(spark, d).select("u", "v", metres())
+
+
+@query(
+    heads("nav", "air")
+    + f""", c AS (SELECT a.id AS u, b.id AS v, {S.hav('a', 'b')} * 6371008.8 AS h, {S.slant('a', 'b')} AS s FROM air a, nav b),
+r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY h, v) AS rk, min(s) OVER (PARTITION BY u) AS m FROM c),
+ok AS (SELECT *, max(CASE WHEN rk <= 4 AND s <= 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY u) AS one FROM r)
+SELECT u, v, round(s, 3) AS d FROM ok WHERE rk <= 4 AND s <= 20000 OR rk = 1 AND one = 0"""
+)
+def knn_attach(spark, d):
+    return spatial.knn_attach(S.airports(spark, d), S.navpoints(spark, d), 4, 20_000.0).select("u", "v", metres())
+
+
+def _blocked(rule: str) -> str:
+    return PAIRS + f" SELECT u, v, round(d, 3) AS d FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM sym x JOIN sym y ON x.v = y.v WHERE x.u = p.u AND y.u = p.v AND {rule})"
+
+
+@query(_blocked("x.d * x.d + y.d * y.d < p.d * p.d"))
+def gabriel_edges(spark, d):
+    return spatial.gabriel(_pairs(spark, d)).select("u", "v", metres())
+
+
+@query(_blocked("greatest(x.d, y.d) < p.d"))
+def rng_edges(spark, d):
+    return spatial.relative_neighbours(_pairs(spark, d)).select("u", "v", metres())
+
+
+@query(heads("nav", "air") + f" SELECT a.id AS u, b.id AS v, round({S.hav('a', 'b')} * 6371008.8, 3) AS d FROM air a, nav b ORDER BY {S.hav('a', 'b')}, 1, 2 LIMIT 1")
+def closest_pair(spark, d):
+    return spatial.closest_pair(S.airports(spark, d), S.navpoints(spark, d)).select("u", "v", metres())
+
+
+# --- graphs and routes ------------------------------------------------------------------------------------
+
+
+@query(PAIRS + ", r AS (WITH RECURSIVE r(node, comp) AS (SELECT id, id FROM nav UNION SELECT s.v, r.comp FROM r JOIN sym s ON s.u = r.node WHERE r.comp < s.v) SELECT node, min(comp) AS c FROM r GROUP BY node) SELECT node AS id, c AS component FROM r")
+def components(spark, d):
+    return graph.components(S.navpoints(spark, d), _pairs(spark, d))
+
+
+def _assignment(spark, d):
+    return S.navpoints(spark, d).select("id", F.floor(F.col("id") / 50).alias("sector"), "ordinal")
+
+
+@query(
+    PAIRS
+    + """, e AS (SELECT * FROM sym WHERE u // 50 = v // 50), r AS (WITH RECURSIVE r(node, comp) AS (SELECT id, id FROM nav UNION SELECT s.v, r.comp FROM r JOIN e s ON s.u = r.node WHERE r.comp < s.v) SELECT node, min(comp) AS c FROM r GROUP BY node),
+k AS (SELECT node // 50 AS sector, c, count(*) AS n FROM r GROUP BY 1, 2) SELECT sector, count(*) AS n_components, array_to_string(list(n ORDER BY n DESC), ',') AS sizes FROM k GROUP BY 1"""
+)
+def sector_connectivity(spark, d):
+    out = graph.sector_connectivity(_assignment(spark, d), _pairs(spark, d))
+    return out.withColumn("sizes", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ","))
+
+
+@query(PAIRS + " SELECT u, v, k AS speed_kts, greatest(1, ceil(d / (k * 0.51444::DOUBLE) / 900.0::DOUBLE))::INTEGER AS w FROM pairs, (SELECT unnest([430, 450, 480]) AS k)")
+def slot_weights(spark, d):
+    speeds = model.speed_classes(S.aircrafts(spark, d), "x")
+    return graph.slot_weights(_pairs(spark, d), speeds, 4)
+
+
+@query("SELECT event_id, ((epoch_us(ts) % 86400000000) // 900000000)::INTEGER AS slot FROM events")
+def start_slots(spark, d):
+    return S.table(spark, d, "events").select("event_id", scalar.start_slot(F.col("ts"), 900.0).alias("slot"))
+
+
+@query(
+    heads("arcs").replace("WITH", "WITH RECURSIVE", 1)
+    + """, s(node, dist) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT UNION (SELECT a.v, min(s.dist + a.w) FROM s JOIN arcs a ON a.u = s.node LEFT JOIN recurring.s AS o ON o.node = a.v WHERE o.node IS NULL OR s.dist + a.w < o.dist GROUP BY a.v))
+SELECT 0::BIGINT AS src, node, dist FROM s"""
+)
+def shortest_path_cost(spark, d):
+    one = spark.createDataFrame([(0,)], "src long")
+    return graph.shortest_costs(S.arcs(spark, d), one).select("src", "node", "dist")
+
+
+def _steps(spark, d):
+    t = S.trajectories(spark, d)
+    w = F.row_number().over(model.W.partitionBy("flight_id").orderBy(*S.TIES))
+    return t.select("flight_id", w.alias("seq"), "position", (F.col("l_partkey") % 9 + 1).cast("long").alias("w"), (F.col("flight_id") % 96).cast("long").alias("start"))
+
+
+TIMES = heads("traj") + ", t AS (SELECT flight_id, row_number() OVER w AS seq, position, flight_id % 96 + sum(l_partkey % 9 + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS time FROM traj WINDOW w AS (PARTITION BY flight_id ORDER BY time, l_partkey, l_suppkey, l_shipdate, l_extendedprice))"
+
+
+@query(TIMES + " SELECT flight_id, seq::INTEGER AS seq, position, time::BIGINT AS time FROM t")
+def trajectory_times(spark, d):
+    return graph.trajectories(_steps(spark, d))
+
+
+@query(TIMES + " SELECT flight_id, seq::INTEGER AS seq, position, (time - greatest(max(time) OVER (PARTITION BY flight_id) - 96, 0))::BIGINT AS time FROM t")
+def horizon_clamp(spark, d):
+    return graph.clamped(trajectory_times(spark, d), 96)
+
+
+@query("WITH f AS (SELECT l_suppkey, min(l_orderkey * 10 + l_linenumber) AS o FROM lineitem GROUP BY 1) SELECT l_suppkey, row_number() OVER (ORDER BY o, l_suppkey) - 1 AS id FROM f")
+def first_appearance_ids(spark, d):
+    return graph.first_appearance(S.table(spark, d, "lineitem"), "l_suppkey", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+
+
+@query(heads("traj") + ", t AS (SELECT *, lag(position) OVER w AS b FROM traj WINDOW w AS (PARTITION BY flight_id ORDER BY time, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) SELECT flight_id, position, time, l_partkey FROM t WHERE b IS DISTINCT FROM position")
+def consecutive_dedup(spark, d):
+    return graph.without_repeats(S.trajectories(spark, d), *S.TIES).select("flight_id", "position", "time", "l_partkey")
+
+
+@query("SELECT o_orderkey AS flight_id, o_custkey % 150 AS aircraft_id, o_orderkey % 96 AS start_slot FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)")
+def semi_known_flights(spark, d):
+    filed = S.trajectories(spark, d).filter("time > 3").select("flight_id")
+    return S.flights(spark, d).join(filed, "flight_id", "left_semi")
+
+
+@query(PAIRS + " SELECT id FROM nav WHERE id NOT IN (SELECT u FROM sym)")
+def anti_missing_vertices(spark, d):
+    return S.navpoints(spark, d).select("id").join(spatial.symmetric(_pairs(spark, d)).select(F.col("u").alias("id")), "id", "left_anti")
+
+
+TERTILES = "q AS (SELECT quantile_cont(c_acctbal, 1 / 3.0::DOUBLE) AS a, quantile_cont(c_acctbal, 2 / 3.0::DOUBLE) AS b FROM customer), craft AS (SELECT c_custkey, CASE WHEN c_acctbal < a THEN 430 WHEN c_acctbal < b THEN 450 ELSE 480 END AS s FROM customer, q)"
+
+
+@query(f"WITH {TERTILES} SELECT o_orderkey AS flight_id, coalesce(s, 450)::DOUBLE AS speed_kts FROM orders LEFT JOIN craft ON c_custkey = o_custkey % 150")
+def lookup_default_speed(spark, d):
+    return sampling.speeds_of(S.flights(spark, d), model.speed_classes(S.aircrafts(spark, d), "x")).select("flight_id", "speed_kts")
+
+
+@query("SELECT c_custkey // 50 AS sector, min(c_custkey) AS representative FROM customer GROUP BY 1")
+def sector_representative(spark, d):
+    return sectors.representatives(_assignment(spark, d))
+
+
+@query("SELECT bool_and(try_cast(c_custkey::VARCHAR AS DOUBLE) IS NOT NULL) AS keys, bool_and(try_cast(c_mktsegment AS DOUBLE) IS NOT NULL) AS segments FROM customer")
+def all_numeric_flag(spark, d):
+    c = S.table(spark, d, "customer")
+    return c.agg(model.all_numeric(c, "c_custkey").alias("keys"), model.all_numeric(c, "c_mktsegment").alias("segments"))
+
+
+@query("SELECT event_id, printf('%d:%02d:%05.2f', floor(s / 3600)::INTEGER, floor((s % 3600) / 60)::INTEGER, s - floor(s / 3600) * 3600 - floor((s % 3600) / 60) * 60) AS clock FROM (SELECT event_id, (event_id * 7.25 % 90000)::DOUBLE AS s FROM events)")
+def format_clock(spark, d):
+    return S.table(spark, d, "events").select("event_id", scalar.clock((F.col("event_id") * 7.25 % 90000).cast("double")).alias("clock"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN 1000 ELSE 50 END AS capacity FROM customer")
+def sector_capacity(spark, d):
+    return S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), scalar.capacity(F.col("c_nationkey") < 5, 1000, 50).alias("capacity"))
+
+
+@query(PAIRS + " SELECT u AS V0, v AS V1, printf('%.3f', d) AS D FROM pairs")
+def edge_file_lines(spark, d):
+    return writers.edge_lines(_pairs(spark, d))
+
+
+# --- sampling ---------------------------------------------------------------------------------------------
+
+
+def _u(stream: str, *key: str) -> str:
+    return f"(('0x' || substr(md5('7:{stream}:' || {" || ':' || ".join(f'{k}::VARCHAR' for k in key)}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(f"SELECT event_id, {_u('test', 'event_id')} AS u FROM events")
+def hash_uniform(spark, d):
+    return S.table(spark, d, "events").select("event_id", scalar.uniform(7, "test", F.col("event_id")).alias("u"))
+
+
+@query(
+    RATES
+    + f""", l AS (SELECT origin, bin, rate, {_u('count0', 'origin', 'bin')} AS u FROM r),
+k AS (SELECT origin, bin, u, i, sum(CASE WHEN i = 0 THEN exp(-rate) ELSE exp(-rate + i * ln(rate) - lgamma(i + 1)) END) OVER (PARTITION BY origin, bin ORDER BY i) AS cdf FROM l, (SELECT unnest(range(0, 400)) AS i) WHERE rate > 0)
+SELECT l.origin, l.bin, count(k.i)::INTEGER AS n FROM l LEFT JOIN k ON k.origin = l.origin AND k.bin = l.bin AND k.u >= k.cdf GROUP BY 1, 2"""
+)
+def poisson_counts(spark, d):
+    return sampling.counts(dep_rate_by_hour(spark, d), 1.0, 7)
+
+
+def _draw(spark, d):
+    return sampling.destinations(model.binned(S.legs(spark, d), MINUTES).select("flight_id", "origin", "bin"), od_time_model(spark, d), global_dest_freq(spark, d), 7, "flight_id", attempts=1)
+
+
+@query(
+    heads("legs")
+    + f""", n AS (SELECT origin, hour(firstseen) AS bin, destination, count(*)::DOUBLE AS n FROM legs GROUP BY 1, 2, 3),
+p AS (SELECT origin, bin, destination, n / sum(n) OVER (PARTITION BY origin, bin) AS prob FROM n),
+c AS (SELECT origin, bin, destination, sum(prob) OVER (PARTITION BY origin, bin ORDER BY destination) / sum(prob) OVER (PARTITION BY origin, bin) AS hi FROM p),
+e AS (SELECT flight_id, origin, hour(firstseen) AS bin, {_u('dest0', 'flight_id')} AS u FROM legs)
+SELECT flight_id, e.origin, min(destination) AS destination FROM e JOIN c ON c.origin = e.origin AND c.bin = e.bin AND hi > u GROUP BY 1, 2"""
+)
+def categorical_draw(spark, d):
+    return _draw(spark, d).select("flight_id", "origin", "destination")
+
+
+@query(
+    DUR
+    + f""", k AS (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY duration_min, flight_id) - 1 AS i, count(*) OVER (PARTITION BY origin, destination) AS n FROM p),
+g AS (SELECT duration_min, row_number() OVER (ORDER BY duration_min) - 1 AS i FROM p),
+e AS (SELECT flight_id, origin, destination, {_u('boot', 'flight_id')} AS u FROM p),
+s AS (SELECT DISTINCT origin, destination, n FROM k WHERE n >= 400)
+SELECT e.flight_id, k.duration_min FROM e JOIN s USING (origin, destination) JOIN k ON k.origin = e.origin AND k.destination = e.destination AND k.i = floor(e.u * s.n)
+UNION ALL SELECT e.flight_id, g.duration_min FROM e ANTI JOIN s USING (origin, destination) JOIN g ON g.i = floor(e.u * (SELECT count(*) FROM p))"""
+)
+def bootstrap_duration(spark, d):
+    pool = model.durations(S.legs25(spark, d))
+    return sampling.bootstrapped(pool.select("flight_id", "origin", "destination"), pool, 7, "flight_id", min_samples=400).select("flight_id", "duration_min")
+
+
+@query(RATES + f", l AS (SELECT origin, bin, rate, {_u('laplace', 'origin', 'bin')} - 0.5 AS c FROM r) SELECT origin, bin, round(greatest(rate - 2.0 * sign(c) * ln(greatest(1 - 2 * abs(c), 1e-300)), 0), 9) AS rate FROM l")
+def laplace_noise(spark, d):
+    return model.private(dep_rate_by_hour(spark, d), 0.5, 7).withColumn("rate", F.round("rate", 9))
+
+
+@query(f"SELECT event_id FROM events ORDER BY {_u('drop', 'event_id')}, event_id LIMIT 500")
+def sample_without_replacement(spark, d):
+    return sampling.thinned(S.table(spark, d, "events").select("event_id"), 500, 7, "event_id")
+
+
+# --- sequential kernels and sinks: no SQL ---------------------------------------------------------------------
+
+
+def departures(spark, d, n: int | None = None):
+    """Departures of a synthetic day with all their draws."""
+    rates = dep_rate_by_hour(spark, d)
+    drawn = sampling.events(sampling.counts(rates, 1.0, 7), "2024-02-01", MINUTES, 7) if n is None else sampling.exact_events(rates, n, "2024-02-01", MINUTES, 7)
+    keyed = drawn.withColumn("key", F.concat_ws("-", "origin", "bin", "idx"))
+    dest = sampling.destinations(keyed, od_time_model(spark, d), global_dest_freq(spark, d), 7, "key")
+    pool = model.durations(S.legs(spark, d))
+    timed = sampling.bootstrapped(dest.select("key", "origin", "bin", "departure", "destination"), pool, 7, "key")
+    timed = model.speed_classes(timed)
+    return timed.select(F.lit("s1").alias("scenario"), F.col("key").alias("idx"), F.col("origin").cast("string").alias("origin"), F.col("destination").cast("string").alias("destination"), "departure", "duration_min", (30 + 60 * scalar.uniform(7, "tat", F.col("key"))).alias("tat_min"), "speed_kts")
+
+
+@query()
+def rotation(spark, d):
+    return fleet.rotation(departures(spark, d))
+
+
+@query()
+def overlap_repair(spark, d):
+    span = horizon_clamp(spark, d).groupBy("flight_id").agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    return fleet.overlap_repair(S.flights(spark, d).join(span, "flight_id"), 96)
+
+
+@query()
+def bfs_sectors(spark, d):
+    return sectors.sectors(S.navpoints(spark, d), _pairs(spark, d), 20)
+
+
+@query()
+def convex_sectors(spark, d):
+    return sectors.sectors(S.navpoints(spark, d), spatial.gabriel(_pairs(spark, d)), 8, convex=True)
+
+
+@query()
+def mst_bridges(spark, d):
+    grid = spatial.grid_points(spark, [*BOXES, ("far", (10.0, 100.0, 20.0, 110.0))], 5, 7, 0.0)
+    return graph.bridges(grid, spatial.grid_edges(grid), "mst").select("u", "v", metres())
+
+
+@query()
+def min_separation(spark, d):
+    return spatial.separated(S.vertices(spark, d), 10_000.0).select("id", "is_airport")
+
+
+@query()
+def simulator_script(spark, d):
+    """Lines of the simulator's script over all trajectories."""
+    t = S.trajectories(spark, d).groupBy("flight_id", "time").agg(F.min("position").alias("position"))
+    v = S.navpoints(spark, d).select(F.col("id").cast("string").alias("id"), "lat", "lon")
+    return writers.scenario_lines(t, S.flights(spark, d), model.speed_classes(S.aircrafts(spark, d), "x"), v, 900.0)
+
+
+@query()
+def solver_edges(spark, d):
+    """The solver's integer edge table."""
+    v = S.navpoints(spark, d)
+    e = _pairs(spark, d).withColumn("ordinal", F.col("u") * 1_000_000 + F.col("v"))
+    numbers = writers.vertex_numbers(e, v)
+    to = lambda key, out: numbers.select(F.col("id").alias(key), F.col("number").alias(out))
+    return e.join(to("u", "source"), "u").join(to("v", "target"), "v").select("source", "target", metres())
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_rates(spark, d):
+    return streamed.hourly(spark, d)
