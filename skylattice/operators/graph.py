@@ -18,18 +18,32 @@ def graph(edges: DataFrame, ordinal: str | None = None) -> DataFrame:
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the smallest id that is linked to it; single vertices are their own. Rounds of neighbour minima with pointer
-    jumping, each cut in the checkpoint folder."""
-    links = cut(symmetric(edges.withColumn("d", F.lit(0.0))).select("u", "v").distinct())
-    label = cut(vertices.select(F.col("id"), F.col("id").alias("component")))
-    while True:
-        near = links.join(label.select(F.col("id").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        low = label.join(near, label["id"] == near["u"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("old"))
-        jump = low.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        nxt = cut(low.join(jump, "c").select("id", F.least("c", "cc").alias("component"), (F.least("c", "cc") < F.col("old")).alias("moved")))
-        label = nxt.select("id", "component")
-        if not nxt.filter("moved").limit(1).count():
-            return label
+    """id, component: the smallest id that is linked to it; single vertices are their own.
+
+    Every round points each vertex at its smallest neighbour, follows the pointers to their ends by doubling and contracts the
+    edges, which at least halves what is left."""
+    now = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct())
+    label = None
+    while now.limit(1).count():
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        to = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("c"))
+        moved = True
+        to = cut(to.withColumn("moved", F.lit(True)))
+        while moved:
+            jump = to.select(F.col("id").alias("c"), F.col("c").alias("cc"))
+            to = cut(to.join(jump, "c").select("id", F.col("cc").alias("c"), (F.col("cc") < F.col("c")).alias("moved")))
+            moved = to.filter("moved").limit(1).count() > 0
+        step = to.select("id", "c")
+        if label is None:
+            label = step
+        else:
+            on = step.select(F.col("id").alias("c"), F.col("c").alias("cc"))
+            label = cut(label.join(on, "c", "left").select("id", F.coalesce("cc", "c").alias("c")))
+        a, b = step.select(F.col("id").alias("u"), F.col("c").alias("cu")), step.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+        now = cut(now.join(a, "u").join(b, "v").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).filter("u < v").distinct())
+    if label is None:
+        return vertices.select("id", F.col("id").alias("component"))
+    return vertices.select("id").join(label, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
 def sector_connectivity(assignment: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +19,13 @@ def session(app: str = "skylattice", master: str | None = None, **conf: str) ->
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, in the cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The rows without their lineage, as a table in the cluster's shared checkpoint folder; a temporary one only where none is
+    set. A table, as a checkpoint would keep size estimates that multiply from round to round."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skylattice-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = getattr(spark, "_shared_dir", None) or tempfile.mkdtemp(prefix="skylattice-")
+        spark._shared_dir = folder
+    path = f"{folder}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
