@@ -12,8 +12,8 @@ A document's set is its distinct 3-word shingles; two documents link at a Jaccar
    intersected exactly as sorted arrays, unless both are linked already. Tiles return spanning links.
 3. The components of the links are the result.
 
-No pair is emitted but for a spanning link. The sketch is a strict bound for sets up to about 300 shingles; beyond, a link is
-missed only if over 32 of 128 sampled bits differ where 6 are expected (less than 1e-20).
+No pair is emitted but for a spanning link. The sketch is a strict bound for sets up to about 230 shingles; beyond, a link is
+missed only if over 24 of 128 sampled bits differ where 6 are expected (about 1e-8).
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of fewer than three words are one shingle;
 rows that repeat a doc_id are one document to the links and each get a row; a null doc_id links with nothing; extra columns are
@@ -22,6 +22,7 @@ kept by distinct_documents().
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import hashed_words, inside, mixed, rolling, signed, split_words, steps, table, written
 from skylattice.llm.components import connected_components
 
-SHINGLE, LEAST, BUCKETS, SKETCH, ALIKE = 3, 90, 1 << 15, 128, 32
+SHINGLE, LEAST, BUCKETS, SKETCH = 3, 90, 1 << 15, 128
 #: Candidates up to SMALL are one tile; tiles of larger ones hold about TILE documents.
 SMALL, TILE = 200, 2000
 TOKEN, DOCUMENT, LINK = 0, 1, 2
@@ -148,12 +149,15 @@ def tokens(levels: np.ndarray, size: int, least: int):
 
 
 def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1)
+    return np.bitwise_count((a ^ b).astype(np.uint64)).sum(-1)  # of signed numbers it would count the absolute value
 
 
 def allowed(n: np.ndarray, m: np.ndarray, least: int) -> np.ndarray:
-    """How many sketch bits may differ between sets of n and m that link: no more than members do."""
-    return np.minimum(ALIKE, ((100 - least) * (n + m)) // (100 + least))
+    """How many sketch bits may differ between sets of n and m that link: no more than members do, and of large sets no more than
+    seven deviations over the mean at this similarity."""
+    p = (100 - least) / 200
+    most = math.ceil(SKETCH * p + 7 * math.sqrt(SKETCH * p * (1 - p)))
+    return np.minimum(most, ((100 - least) * (n + m)) // (100 + least))
 
 
 def could_link(n: np.ndarray, m: np.ndarray, least: int) -> np.ndarray:
@@ -167,7 +171,7 @@ def candidates(doc: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: int) -
     while len(rest):
         c = rest[0]
         far = differ(sketch[rest], sketch[c])
-        r = int(allowed(n[c], n[c], least)) // 4
+        r = int(allowed(n[c], n[c], least)) // 8
         ball = far <= r
         own = rest[ball]
         out += [(int(doc[i]), int(doc[c])) for i in own[1:]]
@@ -177,11 +181,15 @@ def candidates(doc: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: int) -
         large.append(n[own].max())
         rest = rest[~ball]
     c, r, lo, hi = (np.array(x) for x in (centres, radius, small, large))
+    label = np.arange(len(c))
     for i in range(len(c) - 1):
-        j = np.arange(i + 1, len(c))
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         near = differ(sketch[c[j]], sketch[c[i]]) <= allowed(hi[j], hi[i], least) + r[j] + r[i]
         near &= (100 * hi[j] >= least * lo[i]) & (100 * hi[i] >= least * lo[j])
-        out += [(int(doc[c[k]]), int(doc[c[i]])) for k in j[near]]
+        for k in j[near].tolist():
+            if label[k] != label[i]:
+                out.append((int(doc[c[k]]), int(doc[c[i]])))
+                label[label == label[k]] = label[i]
     return out
 
 
@@ -337,7 +345,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, least: int = LEAST)
     sizes = found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc"), F.col("b").alias("n"))
     groups = connected_components(found.filter(F.col("kind") == TOKEN))
     members = written(groups.select(F.col("node").alias("doc"), F.col("component").alias("g")).join(sizes.groupBy("doc").agg(F.max("n").alias("n")), "doc"))
-    tiled = docs.join(tiles_of(members, least), "doc_id").mapInArrow(arrays(size), TILED)
+    # merged at every size: what is broadcast would grow with the documents
+    tiled = docs.join(tiles_of(members, least).hint("merge"), "doc_id").mapInArrow(arrays(size), TILED)
     links = tiled.repartition("g", "band", "i", "j").sortWithinPartitions("g", "band", "i", "j", "doc").mapInArrow(verified(least), "a long, b long")
     comps = connected_components(links.union(found.filter(F.col("kind") == LINK).select("a", "b")))
     out = sizes.withColumnRenamed("doc", "node").join(comps, "node", "left").select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
