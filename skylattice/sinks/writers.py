@@ -84,16 +84,19 @@ def solver_tables(vertices: DataFrame, edges: DataFrame, flights: DataFrame, fil
     fid = _numbers(known.select(F.col("flight_id").alias("id"), F.col("flight_id").alias("o")))
     used = known.select("aircraft_id").distinct()
     aid = _numbers(used.select(F.col("aircraft_id").alias("id"), F.col("aircraft_id").alias("o")))
+    # numbers get names of their own, as columns are matched without regard to case
     to = lambda m, key, out: m.select(F.col("id").alias(key), F.col("number").alias(out))
+    named = lambda df, **cols: df.select(*[F.col(c).alias(n) for n, c in cols.items()])
     first = assignment.groupBy("sector").agg(F.min_by("id", F.struct("ordinal", "id")).alias("rep"))
+    crafts = used.join(aircraft, "aircraft_id", "left").join(to(aid, "aircraft_id", "_a"), "aircraft_id").withColumn("_k", F.coalesce(F.col("speed_kts").cast("double"), F.lit(DEFAULT_SPEED)).cast("int"))
     return {
-        "airplane_flight_assignment": known.join(to(aid, "aircraft_id", "Airplane_ID"), "aircraft_id").join(to(fid, "flight_id", "Flight_ID"), "flight_id").select("Airplane_ID", "Flight_ID").distinct(),
-        "airplanes": used.join(aircraft, "aircraft_id", "left").join(to(aid, "aircraft_id", "Airplane_ID"), "aircraft_id").select("Airplane_ID", F.coalesce(F.col("speed_kts").cast("double"), F.lit(DEFAULT_SPEED)).cast("int").alias("Speed_kts")),
-        "airports": vertices.filter("is_airport = 1").join(to(vid, "id", "Airport_Vertex"), "id").select("Airport_Vertex"),
-        "flights": filed.join(to(fid, "flight_id", "_f"), "flight_id").join(to(vid, "position", "_p"), "position").select(F.col("_f").alias("Flight_ID"), F.col("_p").alias("Position"), F.col("time").alias("Time")),
-        "graph_edges": edges.join(to(vid, "u", "source"), "u").join(to(vid, "v", "target"), "v").select("source", "target", F.col("d").alias("dist_m")),
-        "navaid_sector_assignment": assignment.join(first, "sector").join(to(vid, "id", "Navaid_ID"), "id").join(to(vid, "rep", "Sector_ID"), "rep").select("Navaid_ID", "Sector_ID"),
-        "sectors": capacities.join(to(vid, "id", "Sector_ID"), "id").select("Sector_ID", F.col("capacity").alias("Capacity")),
+        "airplane_flight_assignment": named(known.join(to(aid, "aircraft_id", "_a"), "aircraft_id").join(to(fid, "flight_id", "_f"), "flight_id"), Airplane_ID="_a", Flight_ID="_f").distinct(),
+        "airplanes": named(crafts, Airplane_ID="_a", Speed_kts="_k"),
+        "airports": named(vertices.filter("is_airport = 1").join(to(vid, "id", "_p"), "id"), Airport_Vertex="_p"),
+        "flights": named(filed.join(to(fid, "flight_id", "_f"), "flight_id").join(to(vid, "position", "_p"), "position"), Flight_ID="_f", Position="_p", Time="time"),
+        "graph_edges": named(edges.join(to(vid, "u", "_u"), "u").join(to(vid, "v", "_v"), "v"), source="_u", target="_v", dist_m="d"),
+        "navaid_sector_assignment": named(assignment.join(first, "sector").join(to(vid, "id", "_p"), "id").join(to(vid, "rep", "_s"), "rep"), Navaid_ID="_p", Sector_ID="_s"),
+        "sectors": named(capacities.join(to(vid, "id", "_s"), "id"), Sector_ID="_s", Capacity="capacity"),
         "_vertices": vid, "_flights": fid, "_airplanes": aid,
     }
 
