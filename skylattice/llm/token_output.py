@@ -18,8 +18,8 @@ empty table gives no blocks; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.llm.common import mixed, shared_dir, steps, table
+from skylattice.llm.substring_dedup import Sums
 
 MAGIC, END_ID, BLOCK_IDS, SEGMENT, CACHED = b"S8B1", 2, 1 << 17, 512, 1_500_000
 #: How many numbers of how many bits each selector from 1 on packs; selector 0 is the escape.
@@ -41,6 +41,18 @@ COUNTS = np.array([1, *(c for c, _ in PACKS)])
 BLOCKS = "part int, seq int, n_docs int, n_ids long, data binary"
 
 
+def rank_of(values):
+    """How many of the widths that PACKS has are too narrow for a number, and one more for 0 bits; of a width: its own place."""
+    widths = sorted({b for _, b in PACKS})
+    if isinstance(values, int):
+        return widths.index(values) + 1
+    return sum((values >= np.uint64(1 << b)).astype(np.uint8) for b in [0, *widths])
+
+
+#: rank_of() of the small numbers.
+RANKS = rank_of(np.arange(1 << 17, dtype=np.uint64))
+
+
 def cut_segments(bounds: np.ndarray) -> np.ndarray:
     """Bounds of the runs that are packed on their own: each document in pieces of SEGMENT numbers."""
     n = -(-np.diff(bounds) // SEGMENT)
@@ -49,6 +61,13 @@ def cut_segments(bounds: np.ndarray) -> np.ndarray:
     return np.concatenate([starts, bounds[-1:]])
 
 
+def ahead(m: np.ndarray, by: int) -> np.ndarray:
+    """The larger of each place and the one `by` places on."""
+    out = m.copy()
+    np.maximum(m[:, :-by], m[:, by:], out=out[:, :-by])
+    return out
+
+
 def pack(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values (uint64) in runs values[bounds[i]:bounds[i + 1]] of 1 to SEGMENT numbers -> words, first word of each run and the end.
 
@@ -59,25 +78,22 @@ def pack(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.empty(0, np.uint64), np.zeros(1, np.int64)
     pad = max(c for c, _ in PACKS)
     width = int(lengths.max()) + pad
-    grid = np.zeros((len(lengths), width), np.uint64)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    grid[row, np.arange(len(values)) - bounds[:-1][row]] = values
-    bits = np.zeros(grid.shape, np.uint8)
-    for b in sorted({b for _, b in PACKS} | {0}):
-        bits += grid >= np.uint64(1 << b)
-    rank = {b: i + 1 for i, b in enumerate(sorted({b for _, b in PACKS}))}  # a number of up to b bits has a rank of at most this
+    flat, bits = np.zeros(len(lengths) * width, np.uint64), np.zeros(len(lengths) * width, np.uint8)
+    spot = np.arange(len(values)) + np.repeat(np.arange(len(lengths)) * width - bounds[:-1], lengths)
+    flat[spot] = values
+    bits[spot] = RANKS[values] if int(values.max()) < len(RANKS) else rank_of(values)
+    bits = bits.reshape(len(lengths), width)
     most, kind = {1: bits}, np.zeros(bits.shape, np.uint8)
     for k, (c, b) in sorted(enumerate(PACKS, 1), key=lambda x: x[1][0]):
         p = 1 << (c.bit_length() - 1)
         q = 2
         while q <= p:
             if q not in most:
-                h = most[q // 2]
-                most[q] = np.maximum(h, np.pad(h[:, q // 2 :], ((0, 0), (0, q // 2))))
+                most[q] = ahead(most[q // 2], q // 2)
             q *= 2
-        m = most[p] if p == c else np.maximum(most[p], np.pad(most[p][:, c - p :], ((0, 0), (0, c - p))))
-        kind[m <= rank[b]] = k
-    step = COUNTS[kind].astype(np.int16)
+        m = most[p] if p == c else ahead(most[p], c - p)
+        np.copyto(kind, k, where=m <= rank_of(b))
+    step = COUNTS.astype(np.int16)[kind]
     at, live, hits = np.zeros(len(lengths), np.int64), np.arange(len(lengths)), []
     while len(live):
         hits.append(live * width + at)
@@ -87,7 +103,7 @@ def pack(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     s = np.sort(np.concatenate(hits))
     sel = kind.ravel()[s].astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(np.where(sel == 0, 2, 1))])
-    words, flat = np.zeros(ends[-1], np.uint64), grid.ravel()
+    words = np.zeros(ends[-1], np.uint64)
     for k in np.unique(sel).tolist():
         mine = np.flatnonzero(sel == k)
         if k == 0:
@@ -118,17 +134,21 @@ def unpack(words: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndar
     start = np.searchsorted(head, first[:-1])
     base = np.concatenate([before, [count.sum()]])[start]
     within = before - base[doc]
-    ends = np.cumsum(lengths)
+    left = lengths[doc] - within
+    to = (np.cumsum(lengths) - lengths)[doc] + within
     out = np.zeros(int(lengths.sum()), np.uint64)
     for k in np.unique(sel[head]).tolist():
-        mine = np.flatnonzero(sel[head] == k)
-        w = words[head[mine] + 1] if k == 0 else words[head[mine]]
+        own = sel[head] == k
         c, b = (1, 64) if k == 0 else PACKS[k - 1]
         mask = np.uint64((1 << b) - 1)
+        full, last = np.flatnonzero(own & (left >= c)), np.flatnonzero(own & (left < c))
+        w = words[head[full] + (k == 0)]
         for j in range(c):
-            ok = within[mine] + j < lengths[doc[mine]]
-            m = mine[ok]
-            out[ends[doc[m]] - lengths[doc[m]] + within[m] + j] = (w[ok] >> np.uint64(b * j)) & mask if b < 64 else w[ok]
+            out[to[full] + j] = (w >> np.uint64(b * j)) & mask
+        w = words[head[last]]
+        for j in range(int(left[last].max(initial=0))):
+            some = left[last] > j
+            out[to[last][some] + j] = (w[some] >> np.uint64(b * j)) & mask
     return out
 
 
@@ -156,27 +176,41 @@ def from_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids, unpack(words, first, np.diff(cuts)), bounds
 
 
+def hashed_strings(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of a large_string array, from its buffers: sums of byte values with powers of an odd base."""
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    with np.errstate(over="ignore"):
+        sums = Sums(BYTE_VALUES[data])
+    ends = ends - ends[0]
+    return mixed(sums.of(ends[:-1], ends[1:]) + np.diff(ends).astype(np.uint64))
+
+
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Cache:
     """Ids of pieces by 64-bit hash in sorted arrays, a large and a small one, with all ids in one buffer; emptied when full."""
 
     def __init__(self):
         self.parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))] * 2
-        self.ids = [np.empty(0, np.uint32)]
         self.flat, self.size = np.empty(0, np.uint32), 0
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """-> place in `flat` (-1: unknown) and number of ids."""
-        at, n = np.full(len(h), -1), np.zeros(len(h), np.int64)
+        order = np.argsort(h)  # sorted look-ups stay near each other
+        h, at, n = h[order], np.full(len(h), -1), np.zeros(len(h), np.int64)
         for keys, place, size in self.parts:
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 ok = keys[i] == h
                 at[ok], n[ok] = place[i[ok]], size[i[ok]]
-        return at, n
+        back = np.empty(len(h), np.int64)
+        back[order] = np.arange(len(h))
+        return at[back], n[back]
 
-    def add(self, h: np.ndarray, lists: list[list[int]]) -> None:
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        new = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(n.sum()))
+    def add(self, h: np.ndarray, new: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """new: the ids of all pieces, n: their numbers. -> their places."""
         place = len(self.flat) + np.cumsum(n) - n
         self.flat = np.concatenate([self.flat, new])
         big, small = self.parts
@@ -184,6 +218,7 @@ class Cache:
         if len(small[0]) > 150_000:
             big, small = self.merged(big, small), tuple(x[:0] for x in small)
         self.parts = [big, small]
+        return place
 
     @staticmethod
     def merged(a, b):
@@ -195,12 +230,27 @@ class Cache:
         return sum(len(k) for k, _, _ in self.parts)
 
 
+def gathered(flat: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches flat[place[i]:place[i] + size[i]] one after the other."""
+    upto = np.cumsum(size)
+    shift = (place - (upto - size)).astype(np.int32 if len(flat) + int(size.sum()) < 1 << 31 else np.int64)
+    return flat[np.repeat(shift, size) + np.arange(int(upto[-1]) if len(upto) else 0, dtype=shift.dtype)]
+
+
+def joined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 class Encoder:
     """Whole texts to ids, with a bounded cache of the ids of space-delimited pieces."""
 
     #: Two adjacent white-space characters, by any reading of white space.
     LOOSE = r"[\s\v\p{Z}\x{85}\x{1c}-\x{1f}]{2}"
 
+    #: Characters that are neither letters, digits nor white space.
+    MARKS = ".,!?;:#$%&*|\"')]}…-"
+    BARE = re.compile(r" ?\S+").fullmatch
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
@@ -211,29 +261,85 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """-> ids of all pieces and their numbers. Pieces without inner white space go as lines of one text, since a line feed
+        between such pieces is always a token of its own."""
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        fed = np.array([x[:1] == "\n" and self.BARE(x[1:]) is not None and x[1] != " " for x in strings], bool)
+        if fed.any():  # a line feed, then a piece
+            rest, n = self.pieces([x[1:] if f else x for x, f in zip(strings, fed.tolist())])
+            flat = np.append(rest, np.uint32(line))
+            place, size = np.full((len(strings), 2), len(rest)), np.zeros((len(strings), 2), np.int64)
+            place[:, 1], size[:, 1], size[fed, 0] = np.cumsum(n) - n, n, 1
+            return gathered(flat, place.ravel(), size.ravel()), size.sum(1)
+        bare = np.array([self.BARE(x) is not None for x in strings], bool)
+        plain, rest = np.flatnonzero(bare), np.flatnonzero(~bare)
+        n, parts = np.zeros(len(strings), np.int64), []
+        for a in range(0, len(plain), 5000):
+            some = plain[a : a + 5000]
+            ids = np.array(self.whole(["\n".join([strings[i] for i in some.tolist()])])[0], np.uint32)
+            ends = np.append(np.flatnonzero(ids == line), len(ids))
+            n[some] = np.diff(np.concatenate([[-1], ends])) - 1
+            parts.append(ids[ids != line])
+        others = self.whole([strings[i] for i in rest.tolist()])
+        n[rest] = [len(x) for x in others]
+        flat = np.concatenate([np.empty(0, np.uint32), *parts, *(np.array(x, np.uint32) for x in others)])
+        order = np.concatenate([plain, rest])
+        start = np.zeros(len(strings), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        return gathered(flat, start, n), n
+
+    def stemmed(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """-> ids of all strings, and their numbers. Marks behind a letter or digit are always tokens of
+        their own, so only distinct stems that are not known yet are encoded."""
+        stems = pc.utf8_rtrim(strings, self.MARKS)
+        cut = pc.match_substring_regex(stems, r"[\p{L}\p{N}]$").to_numpy(zero_copy_only=False) & pc.not_equal(stems, strings).to_numpy(zero_copy_only=False)
+        marked = np.flatnonzero(cut)
+        stem = pc.if_else(pa.array(cut), stems, strings).dictionary_encode()
+        code, names = stem.indices.to_numpy(zero_copy_only=False).astype(np.int64), stem.dictionary
+        h = mixed(hashed_strings(names) + np.uint64(2))  # stems are kept apart from the pieces that encode() looks up
+        at, n = self.cache.find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            ids, n[new] = self.pieces(names.take(pa.array(new)).to_pylist())
+            at[new] = self.cache.add(h[new], ids, n[new])
+        tails = pc.utf8_slice_codeunits(strings.take(pa.array(marked)), 0)
+        lengths = pc.utf8_length(stems.take(pa.array(marked))).to_pylist()
+        tails = pa.array([x[k:] for x, k in zip(tails.to_pylist(), lengths)], pa.large_string()).dictionary_encode()
+        tail_ids, tail_n = self.pieces(tails.dictionary.to_pylist())
+        flat = np.concatenate([self.cache.flat, tail_ids])
+        places = len(self.cache.flat) + np.cumsum(tail_n) - tail_n
+        which = tails.indices.to_numpy(zero_copy_only=False)
+        place, size = np.zeros((len(strings), 2), np.int64), np.zeros((len(strings), 2), np.int64)
+        place[:, 0], size[:, 0] = at[code], n[code]
+        place[marked, 1], size[marked, 1] = places[which], tail_n[which]
+        return gathered(flat, place.ravel(), size.ravel()), size.sum(1)
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """-> ids of all texts, each with end_id behind it, and bounds."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         loose = pc.match_substring_regex(texts, self.LOOSE).to_numpy(zero_copy_only=False)
         own = np.flatnonzero(loose)
         plain = pc.if_else(pa.array(loose), "", texts)
-        parts = pc.split_pattern(plain, " ")
+        parts = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")  # a piece that starts with a line feed has no space before it
         pieces = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         cuts = np.concatenate([[0], np.cumsum(pieces)])
         coded = parts.flatten().dictionary_encode()
-        code, seen = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        code, seen = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
         heads, head_code = np.unique(code[cuts[:-1]], return_inverse=True)  # the first pieces have no space before them
         code[cuts[:-1]] = len(seen) + head_code
-        raw = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        h = hashed_strings(seen)
         h = np.concatenate([h, mixed(h[heads] + np.uint64(1))])
         if len(self.cache) + len(h) > CACHED:
             self.cache = Cache()
         at, n = self.cache.find(h)
         new = np.flatnonzero(at < 0)
         if len(new):
-            self.cache.add(h[new], self.whole([" " + seen[i] if i < len(seen) else seen[heads[i - len(seen)]] for i in new.tolist()]))
-            at, n = self.cache.find(h)
+            own_heads = new[new >= len(seen)] - len(seen)
+            spaced = seen.take(pa.array(new[new < len(seen)]))
+            spaced = pc.if_else(pc.starts_with(spaced, "\n"), spaced, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), spaced, pa.scalar("", pa.large_string())))
+            ids, n[new] = joined(self.stemmed(spaced), self.pieces([x.as_py() for x in seen.take(pa.array(heads[own_heads]))]))
+            at[new] = self.cache.add(h[new], ids, n[new])
         rest = self.whole([texts[i].as_py() for i in own.tolist()])
         rest_n = np.fromiter(map(len, rest), np.int64, len(rest))
         rest_at = len(self.cache.flat) + 1 + np.cumsum(rest_n) - rest_n
@@ -246,8 +352,7 @@ class Encoder:
         place, size = np.full(len(code) + len(texts), len(self.cache.flat)), np.ones(len(code) + len(texts), np.int64)
         place[slot], size[slot] = at[code], n[code]
         upto = np.cumsum(size)
-        out = flat[np.repeat(place - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        return out, np.concatenate([[0], upto[ends]])
+        return gathered(flat, place, size), np.concatenate([[0], upto[ends]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -265,7 +370,7 @@ def blocks_of(tokenizer_path: str, end_id: int):
         from pyspark import TaskContext
 
         encoder, part, seq = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", 14_000_000):
             ids, bounds = encoder.encode(batch.column("text"), end_id)
             doc_ids = batch.column("doc_id").to_pylist()
             cut = np.flatnonzero(np.diff(bounds[:-1] // BLOCK_IDS)) + 1
