@@ -104,3 +104,18 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("_s")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce('a' || source, 'b') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+p AS (SELECT s, sum(size)::BIGINT AS ss FROM d GROUP BY s),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY s) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS w, 3 * ss AS lim, (sum(ss) OVER ())::BIGINT AS al FROM p),
+v AS (SELECT *, (al - coalesce(sum(lim) OVER (ORDER BY lim / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY lim / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT *, lim <= level * w AS fl FROM v),
+t AS (SELECT s, ss, CASE WHEN fl THEN lim::DOUBLE ELSE w * (SELECT level FROM f WHERE NOT fl ORDER BY lim / w, s LIMIT 1) END AS target FROM f),
+q AS (SELECT d.*, ss, target, sum(size) OVER (PARTITION BY d.s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM d JOIN t ON t.s = d.s),
+r AS (SELECT doc_id, s, h, size, (e * ss + upto)::DOUBLE / target AS f FROM q, (SELECT unnest([0, 1, 2]) AS e) WHERE target > 0 AND size > 0),
+c AS (SELECT *, sum(size) OVER (ORDER BY f, s, h, doc_id) AS cs FROM r),
+k AS (SELECT doc_id, count(*) AS n FROM c WHERE cs <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT q.doc_id, size, ss AS source_size, target, (coalesce(k.n, 0) * size)::BIGINT AS taken FROM q LEFT JOIN k ON k.doc_id = q.doc_id
+"""

@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op2_embedding_dedup": embedding_dedup.ORACLE,
     "op3_ngram_join": ngram_join.ORACLE,
+    "op5_mixing": mixing.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
