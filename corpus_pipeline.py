@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 1. quality: documents that the quality classifier rejects go.
-2. ngram_join: of documents that are linked by 3-gram Jaccard similarity, the one with the smallest doc_id stays.
+2. ngram_join: of documents that are linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, the one with the
+   smallest doc_id stays.
 3. decontamination: documents that hold a window of a benchmark item go.
 4. mixing: sources are brought to their target weights; a document that is taken k times is k rows from here on.
 5. token_output: the ids of what is left are written in the binary format; one row a document, as read back from the files.
@@ -22,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.distinct_documents(docs)
+    return ngram_join.distinct_documents(docs, size=5, least=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

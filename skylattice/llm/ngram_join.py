@@ -4,7 +4,7 @@ A document's set is its distinct 3-word shingles; two documents link at a Jaccar
 
 1. Meeting. Documents that can link share one of the first tenth of their shingles (and one more) in any common order. The order
    puts shingles that are frequent in the corpus last, by a fixed table of hashed counts over all documents, so that a common
-   passage brings nothing together. What meets is compared by size and a 128-bit sketch, and the candidates of a shingle are
+   passage brings nothing together. What meets is compared by size and a 256-bit sketch, and the candidates of a shingle are
    returned as a forest, not as pairs: members of a tight ball hang on its centre, and balls are joined wherever members of both
    could link. Equal sets within a task are one document from the start.
 2. Tiles. The components of the candidates are cut into size bands, a tenth apart, and a band into blocks; a tile holds one band
@@ -12,8 +12,8 @@ A document's set is its distinct 3-word shingles; two documents link at a Jaccar
    intersected exactly as sorted arrays, unless both are linked already. Tiles return spanning links.
 3. The components of the links are the result.
 
-No pair is emitted but for a spanning link. The sketch is a strict bound for sets up to about 230 shingles; beyond, a link is
-missed only if over 24 of 128 sampled bits differ where 6 are expected (about 1e-8).
+No pair is emitted but for a spanning link. The sketch is a strict bound for sets up to about 350 shingles; beyond, a link is
+missed only if over 38 of 256 sampled bits differ where 13 are expected (about 1e-9).
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of fewer than three words are one shingle;
 rows that repeat a doc_id are one document to the links and each get a row; a null doc_id links with nothing; extra columns are
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import hashed_words, inside, mixed, rolling, signed, split_words, steps, table, written
 from skylattice.llm.components import connected_components
 
-SHINGLE, LEAST, BUCKETS, SKETCH = 3, 90, 1 << 15, 128
+SHINGLE, LEAST, BUCKETS, SKETCH = 3, 90, 1 << 15, 256
 #: Candidates up to SMALL are one tile; tiles of larger ones hold about TILE documents.
 SMALL, TILE = 200, 2000
 TOKEN, DOCUMENT, LINK = 0, 1, 2
@@ -93,10 +93,10 @@ def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def sketches(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Two 64-bit words a set: of each 128th part of the hash space one bit of the smallest member."""
+    """64-bit words of a set: of each SKETCH-th part of the hash space one bit of the smallest member."""
     n = len(bounds) - 1
     row = np.repeat(np.arange(n), np.diff(bounds))
-    part = (x >> np.uint64(57)).astype(np.int64)
+    part = (x >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64)
     first = np.ones(len(x), bool)
     first[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
     bit = (mixed(x[first]) >> np.uint64(63)).astype(np.uint8)
@@ -105,13 +105,14 @@ def sketches(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-MET = "k long, kind byte, doc long, n int, s0 long, s1 long"
+PARTS = [f"s{i}" for i in range(SKETCH // 64)]
+MET = "k long, kind byte, doc long, n int, " + ", ".join(f"{c} long" for c in PARTS)
 
 
 def tokens(levels: np.ndarray, size: int, least: int):
-    def batch_of(k, kind, doc, n, s0, s1):
+    def batch_of(k, kind, doc, n, first=0, sketch=None):
         full = lambda v, t: pa.array(np.broadcast_to(v, len(doc)).astype(t))
-        return pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(k))), full(kind, np.int8), pa.array(doc), full(n, np.int32), full(s0, np.int64), full(s1, np.int64)], ["k", "kind", "doc", "n", "s0", "s1"])
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(k))), full(kind, np.int8), pa.array(doc), full(n, np.int32), *(full(x, np.int64) for x in ([first] + [0] * (len(PARTS) - 1) if sketch is None else sketch.T))], ["k", "kind", "doc", "n", *PARTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -120,7 +121,7 @@ def tokens(levels: np.ndarray, size: int, least: int):
                 continue
             x, bounds = sets(batch.column("text"), size)
             doc, n = batch.column("doc_id").to_numpy(), np.diff(bounds)
-            yield batch_of(mixed(doc.view(np.uint64)), DOCUMENT, doc, n, 0, 0)
+            yield batch_of(mixed(doc.view(np.uint64)), DOCUMENT, doc, n)
             # equal sets: the smallest doc_id goes on
             digest = [xxhash.xxh3_128_digest(x[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             first: dict[bytes, int] = {}
@@ -130,7 +131,7 @@ def tokens(levels: np.ndarray, size: int, least: int):
             on = np.array(sorted(first.values()), np.int64)
             same = np.array([i for i in range(len(doc)) if n[i] and doc[first[digest[i]]] != doc[i]], np.int64)
             other = doc[np.array([first[digest[i]] for i in same.tolist()], np.int64)] if len(same) else doc[:0]
-            yield batch_of(mixed(doc[same].view(np.uint64)), LINK, doc[same], 0, other, 0)
+            yield batch_of(mixed(doc[same].view(np.uint64)), LINK, doc[same], 0, other)
             row = np.repeat(np.arange(len(n)), n)
             live = np.zeros(len(n), bool)
             live[on] = True
@@ -143,7 +144,7 @@ def tokens(levels: np.ndarray, size: int, least: int):
             place = np.arange(len(row)) - np.searchsorted(row, row)
             head = place < n[row] - -(-least * n[row] // 100) + 1
             y, row = y[head], row[head]
-            yield batch_of(y, TOKEN, doc[row], n[row], sketch[row, 0], sketch[row, 1])
+            yield batch_of(y, TOKEN, doc[row], n[row], sketch=sketch[row])
 
     return run
 
@@ -197,7 +198,7 @@ def met(least: int):
     """Sorted by kind and k: documents and links pass, and the documents of a shingle become a forest of candidates."""
 
     def done(x):
-        k, doc, n, sketch = x[0], x[1], x[2], x[3:5].T
+        k, doc, n, sketch = x[0], x[1], x[2], x[3:].T
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(first, len(k)))
         two = first[size == 2]
@@ -219,7 +220,7 @@ def met(least: int):
                 own = batch.filter(pa.array(kind != TOKEN))
                 is_doc = own.column("kind").to_numpy() == DOCUMENT
                 yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("doc"), pa.array(np.where(is_doc, own.column("n").to_numpy(), own.column("s0").to_numpy()))], ["kind", "a", "b"])
-            x = np.stack([batch.column(c).to_numpy()[kind == TOKEN].astype(np.int64) for c in ("k", "doc", "n", "s0", "s1")])
+            x = np.stack([batch.column(c).to_numpy()[kind == TOKEN].astype(np.int64) for c in ("k", "doc", "n", *PARTS)])
             if not x.shape[1]:
                 continue
             if held and held[-1][0, -1] == x[0, -1]:

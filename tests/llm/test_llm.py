@@ -148,11 +148,11 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def jaccard_by_hand(docs, least):
+def jaccard_by_hand(docs, least, size=3):
     sets = {}
     for i, t, *_ in docs:
         w = white(low(t))
-        sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
     comp = {i: i for i in sets}
     pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
     for _ in comp:
@@ -161,8 +161,8 @@ def jaccard_by_hand(docs, least):
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("small,tile,least", [(200, 2000, 90), (1, 3, 90), (2, 1, 60)])
-def test_ngram_join(spark, docs, small, tile, least, monkeypatch):
+@pytest.mark.parametrize("small,tile,least,size", [(200, 2000, 90, 3), (1, 3, 90, 3), (2, 1, 60, 3), (1, 5, 80, 5)])
+def test_ngram_join(spark, docs, small, tile, least, size, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     many = list(docs)
@@ -174,13 +174,13 @@ def test_ngram_join(spark, docs, small, tile, least, monkeypatch):
         for _ in range(r.randint(0, 4)):
             w[r.randrange(len(w))] = f"new{i}"
         many.append((5000 + i, " ".join(w), "en", "a"))
-    got = ngram_join.jaccard_components(frame(spark, [*many, many[1], (None, "a b c", "en", "a")]), least=least).collect()
-    want = jaccard_by_hand(many, least)
+    got = ngram_join.jaccard_components(frame(spark, [*many, many[1], (None, "a b c", "en", "a")]), size, least).collect()
+    want = jaccard_by_hand(many, least, size)
     assert len(got) == len(many) + 2
     for r in got:
         if r["doc_id"] is not None:
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
-    kept = {r["doc_id"] for r in ngram_join.distinct_documents(frame(spark, many), least=least).collect()}
+    kept = {r["doc_id"] for r in ngram_join.distinct_documents(frame(spark, many), size=size, least=least).collect()}
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
@@ -436,7 +436,7 @@ def test_pipeline(spark, tmp_path):
         ids.append({r["doc_id"] for r in docs.select("doc_id").collect()})
     clean = {i for i, q, t in labels if q and not t}
     assert len(ids[1] & clean) > 0.97 * len(clean) and len(ids[1] & {i for i, q, t in labels if not q}) <= 2
-    assert ids[1] - ids[2] == {i for i, (_, c) in jaccard_by_hand([r for r in rows if r[0] in ids[1]], 90).items() if c < i}
+    assert ids[1] - ids[2] == {i for i, (_, c) in jaccard_by_hand([r for r in rows if r[0] in ids[1]], 80, 5).items() if c < i}
     assert ids[2] - ids[3] == {i for i, w in benchmark_by_hand([r for r in rows if r[0] in ids[2]], [(1, item)], 10).items() if w[1]}
     assert ids[5] == ids[4] <= ids[3]
     assert sorted(r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
