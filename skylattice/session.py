@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session, once; workers don't share the driver's import path."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_skylattice_shipped", False) or not root.is_dir():
+        return
+    path = f"{tempfile.mkdtemp(prefix='skylattice-')}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(path)
+    context._skylattice_shipped = True
