@@ -36,10 +36,20 @@ from skylattice.llm.common import STEP_BYTES, hashed_words, inside, mixed, signe
 
 SPAN, GRAM, HOT = 13, 5, 4000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-ROW = "k long, doc long, start int, n int, kind byte"
+#: p holds start, number and kind of a run or mark, in 32, 29 and 2 bits: most rows of all go through this exchange.
+ROW = "k long, doc long, p long"
 RUN, MARK, WINDOWS = 0, 1, 2
 
 
+def place(start, n, kind):
+    return start << 31 | n << 2 | kind
+
+
+def placed(p):
+    """-> start, number, kind."""
+    return p >> 31, p >> 2 & (1 << 29) - 1, p & 3
+
+
 class Sums:
     """Hashes of any stretch of words in constant time, by sums of word hashes with powers of an odd base."""
 
@@ -108,7 +118,7 @@ def settle(key: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
 
 
 def rows(k, doc, start, n, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(kind.astype(np.int8))], ["k", "doc", "start", "n", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(doc), pa.array(place(start, n, kind))], ["k", "doc", "p"])
 
 
 def marks(doc, start, end) -> pa.RecordBatch:
@@ -147,14 +157,14 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = doc[first + size - 1] != doc[first]
         kind = np.repeat(np.where(size > HOT, WINDOWS, RUN), size)
         keep = np.repeat(several, size)
-        return rows(k[keep].view(np.uint64), doc[keep], x[2][keep], x[3][keep], kind[keep])
+        start, n, _ = placed(x[2][keep])
+        return rows(k[keep].view(np.uint64), doc[keep], start, n, kind[keep])
 
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        other = kind == MARK
+        other = placed(batch.column("p").to_numpy())[2] == MARK
         if other.any():
             yield batch.filter(pa.array(other))
-        x = np.stack([batch.column(c).to_numpy()[~other].astype(np.int64) for c in ("k", "doc", "start", "n")])
+        x = np.stack([batch.column(c).to_numpy()[~other].astype(np.int64) for c in ("k", "doc", "p")])
         if not x.shape[1]:
             continue
         if held and held[-1][0, -1] == x[0, -1]:  # one anchor goes on
@@ -169,7 +179,7 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(np.concatenate(held, 1))
 
 
-CONTEXT = "key long, doc long, start int, n int, kind byte, words binary"
+CONTEXT = "key long, doc long, p long, words binary"
 
 
 def contexts(span: int):
@@ -184,7 +194,7 @@ def contexts(span: int):
                 if found is None or not len(found):
                     continue
                 d, words = d.as_py(), (t.as_py() or "").encode().split()
-                for k, s, m, kind in zip(*(found.field(c).to_pylist() for c in ("k", "start", "n", "kind"))):
+                for k, (s, m, kind) in zip(found.field("k").to_pylist(), map(placed, found.field("p").to_pylist())):
                     if kind == MARK:
                         mark[0].append(d)
                         mark[1].append(s)
@@ -202,9 +212,8 @@ def contexts(span: int):
             keep, gone = settle(key, whole, doc)
             more = [np.concatenate([np.array(a, np.int64), b]) for a, b in zip(mark, (doc[gone], start[gone], start[gone] + n[gone] + span - 1))]
             m = marks(*more)
-            null = pa.nulls(m.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([*m.columns, null], ["key", *m.schema.names[1:], "words"])
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(np.zeros(len(keep), np.int8)), pa.array([text[i] for i in keep.tolist()], pa.binary())], ["key", *m.schema.names[1:], "words"])
+            yield pa.RecordBatch.from_arrays([*m.columns, pa.nulls(m.num_rows, pa.binary())], ["key", "doc", "p", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(place(start[keep], n[keep], RUN)), pa.array([text[i] for i in keep.tolist()], pa.binary())], ["key", "doc", "p", "words"])
 
     return run
 
@@ -315,18 +324,17 @@ def streamed(span: int):
         group: list[tuple] = []
         at = None
         for batch in batches:
-            mark = batch.column("kind").to_numpy() == MARK
-            spans = []
+            start, n, kind = placed(batch.column("p").to_numpy())
+            mark, spans = kind == MARK, []
             if mark.any():
-                m = batch.filter(pa.array(mark))
-                yield pa.RecordBatch.from_arrays([m.column("doc"), m.column("start"), pa.array(m.column("start").to_numpy() + m.column("n").to_numpy())], ["doc", "start", "end"])
-                batch = batch.filter(pa.array(~mark))
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "n", "words"))):
+                yield pa.RecordBatch.from_arrays([batch.column("doc").filter(pa.array(mark)), pa.array(start[mark].astype(np.int32)), pa.array((start + n)[mark].astype(np.int32))], ["doc", "start", "end"])
+                batch, start, n = batch.filter(pa.array(~mark)), start[~mark], n[~mark]
+            for k, doc, a, m, words in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist(), start.tolist(), n.tolist(), batch.column("words").to_pylist()):
                 if k != at:
                     if len(group) > 1:
                         spans += shard(group)
                     group, at = [], k
-                group.append(row)
+                group.append((doc, a, m, words))
             if spans:
                 d, s, e = merged(*(np.array(x, np.int64) for x in zip(*spans)))
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["doc", "start", "end"])
@@ -339,11 +347,11 @@ def streamed(span: int):
 
 def repeated_spans(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """texts (doc_id, text) -> doc_id, spans: stretches of words (start, end) to remove."""
-    gram = max(1, min(GRAM, span - 1))
-    found = texts.mapInArrow(anchored(span, gram), ROW).repartition("k").sortWithinPartitions("kind", "k", "doc").mapInArrow(shared, ROW)
-    per = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("k", "start", "n", "kind")).alias("marks"))
+    gram, kind = max(1, min(GRAM, span - 1)), F.col("p").bitwiseAND(3)
+    found = texts.mapInArrow(anchored(span, gram), ROW).repartition("k").sortWithinPartitions(kind, "k", "doc").mapInArrow(shared, ROW)
+    per = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("k", "p")).alias("marks"))
     words = texts.join(per, "doc_id", "left").mapInArrow(contexts(span), CONTEXT)
-    spans = words.repartition("key").sortWithinPartitions("kind", "key", "doc", "start").mapInArrow(streamed(span), "doc long, start int, end int")
+    spans = words.repartition("key").sortWithinPartitions(kind, "key", "doc", "p").mapInArrow(streamed(span), "doc long, start int, end int")
     return spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
