@@ -148,7 +148,7 @@ def scale(n: np.ndarray) -> np.ndarray:
     return np.sqrt(n + 10.0)
 
 
-def train(at: list[np.ndarray], count: list[np.ndarray], n: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float]:
+def train(at: list[np.ndarray], count: list[np.ndarray], n: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 200, rate: float = 3.0) -> tuple[np.ndarray, float]:
     """Logistic regression on scaled numbers of features, by full-batch adaptive gradient steps."""
     row = np.repeat(np.arange(len(at)), [len(a) for a in at])
     col = np.concatenate(at) if len(at) else np.empty(0, np.int64)
@@ -159,7 +159,7 @@ def train(at: list[np.ndarray], count: list[np.ndarray], n: np.ndarray, y: np.nd
         e = (p - y) / max(1, len(y))
         g = np.bincount(col, x * e[row], DIMENSIONS) + l2 * w / max(1, len(y))
         gw, gb = gw + g * g, gb + e.sum() ** 2
-        w, b = w - 0.3 * g / np.sqrt(gw), b - 0.3 * e.sum() / np.sqrt(gb)
+        w, b = w - rate * g / np.sqrt(gw), b - rate * e.sum() / np.sqrt(gb)
     return w, float(b)
 
 
