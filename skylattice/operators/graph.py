@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.functions.scalar import edge_slots
-from skylattice.operators.spatial import closest_pair, symmetric
+from skylattice.operators.spatial import closest_pair
 from skylattice.session import cut
 
 
