@@ -12,7 +12,6 @@ repeated doc_ids keep their rows but pool their hits; repeated item texts each c
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.llm.common import table, written

@@ -13,7 +13,6 @@ by apply_quality().
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np

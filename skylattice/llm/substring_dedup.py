@@ -24,7 +24,6 @@ dedup_substrings().
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
