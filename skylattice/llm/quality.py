@@ -194,11 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     chosen = ballots.select("doc_id", "junk", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("doc_id", "text").mapInArrow(sparse, "doc_id long, n_words long, at array<int>, count array<int>")
     ballot = {r[0]: (r[1], r[2]) for r in chosen.collect()}
-    got = rows.toArrow().to_pydict()
-    order = np.argsort(np.array(got["doc_id"], np.int64), kind="stable")  # sums must not depend on the order of tasks
-    at, count = ([np.array(got[c][i], np.int64) for i in order] for c in ("at", "count"))
-    n = np.array(got["n_words"], np.int64)[order]
-    ids = [got["doc_id"][i] for i in order]
+    got = rows.toArrow()
+    found = got.column("doc_id").to_numpy()
+    order = np.argsort(found, kind="stable")  # sums must not depend on the order of tasks
+    lists = [got.column(c).combine_chunks() for c in ("at", "count")]
+    at, count = ([v[o[i] : o[i + 1]] for i in order.tolist()] for o, v in ((x.offsets.to_numpy(), x.values.to_numpy()) for x in lists))
+    n, ids = got.column("n_words").to_numpy()[order], found[order].tolist()
     return {"models": [train(at, count, n, np.array([post[k][ballot[i][k]] for i in ids])) for k in range(2)], "labellers": right}
 
 
