@@ -6,6 +6,11 @@ pattern. The posteriors of a bounded sample (SAMPLE documents of the lowest hash
 scorer on hashed word features, and that scorer decides on all documents. Insults are a second target with labellers of their
 own. Where a labelled table is given it is one more labeller of each target.
 
+The lists of insults are of one language, LISTED. That no listed word occurs tells nothing of a text in another language, and
+nothing against a label that is given, so it is a vote only for unlabelled texts in LISTED (for all texts where no labels are
+given, as there is nothing else to tell them by; documents without a column `lang` count as LISTED). Documents on which nobody
+votes train nothing.
+
 Defined cases: a null or empty text has no words, gets the scorer's intercept only, and is rejected, as `keep` asks for at least
 one word; labels of a document that repeat are averaged in favour of junk; an empty table gives no rows; extra columns are kept
 by apply_quality().
@@ -25,12 +30,17 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import split_words, steps, table, written
 
 DIMENSIONS, SAMPLE, PREFIX = 1 << 17, 6000, 5
-#: Common insults, in two overlapping lists.
+#: Features that go with insults by fewer standard errors than this are left out, as rare words would drown the few that tell.
+CLEAR = 5.0
+#: Common insults, in two overlapping lists, and their language.
+LISTED = "en"
 INSULTS = (
     ("idiot", "moron", "stupid", "loser", "clown", "scum", "pathetic", "worthless"),
     ("trash", "disgusting", "pathetic", "worthless", "scum", "dumb", "jerk", "imbecile"),
 )
 JUNK_VOTES, TOXIC_VOTES = ("symbols", "shouting", "pipes", "stutter", "variety", "prose", "labels"), ("insults", "slurs", "several", "labels")
+#: The votes of the lists where only `several` has one, and that is fine.
+NONE_LISTED = 2 + 3 * 2 + 9 * 0
 SYMBOLS = r"[#$%&*=~^<>\\{}@+_]{2,}"
 #: A word as ordinary prose has it.
 PLAIN = r"^[(\"'«„“]?\p{L}?[\p{Ll}\p{M}\p{Lo}'’-]*[.,;:!?)\"'»”“]?$"
@@ -86,7 +96,8 @@ def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             voted(share(n - flag(pc.match_substring_regex(words, PLAIN)) + again), 0.2, 0.1),
         ]
         hits = insults[0] + insults[1]
-        toxic = [np.where(insults[0] > 0, 1, 2), np.where(insults[1] > 0, 1, 2), np.where(hits >= 2, 1, np.where(hits == 0, 0, 2))]
+        listed = batch.column("listed").to_numpy(zero_copy_only=False)
+        toxic = [np.where(insults[0] > 0, 1, 2), np.where(insults[1] > 0, 1, 2), np.where(hits >= 2, 1, np.where((hits == 0) & listed, 0, 2))]
         pack = lambda v: pa.array(sum(x.astype(np.int32) * 3**i for i, x in enumerate(v)), pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pack(junk), pack(toxic)], ["doc_id", "n_words", "junk", "toxic"])
 
@@ -162,6 +173,17 @@ def train(at: list[np.ndarray], count: list[np.ndarray], n: np.ndarray, y: np.nd
     return w, float(b)
 
 
+def clear(at: list[np.ndarray], count: list[np.ndarray], n: np.ndarray, y: np.ndarray, least: float = CLEAR) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The features whose scaled numbers go with y, or against it, by `least` standard errors."""
+    if not len(at):
+        return at, count
+    row, col = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
+    x, m = np.concatenate(count) / scale(n)[row], y.mean()
+    error = np.sqrt(np.bincount(col, x * x, DIMENSIONS) * m * (1 - m))
+    ok = (error > 0) & (np.abs(np.bincount(col, x * (y - m)[row], DIMENSIONS)) >= least * error)
+    return [a[ok[a]] for a in at], [c[ok[a]] for a, c in zip(at, count)]
+
+
 def scored(models: list[tuple[np.ndarray, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -177,12 +199,13 @@ def scored(models: list[tuple[np.ndarray, float]]):
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> dict:
-    """docs (doc_id, text), labels (doc_id, quality, toxic) -> models [(weights, intercept)] of junk and toxic, and how right the
-    labellers were found to be."""
-    ballots = docs.select("doc_id", "text").mapInArrow(votes, "doc_id long, n_words long, junk int, toxic int").filter("n_words > 0")
+    """docs (doc_id, text, lang if there), labels (doc_id, quality, toxic) -> models [(weights, intercept)] of junk and toxic, and
+    how right the labellers were found to be."""
+    listed = F.lit(True) if labels is None or "lang" not in docs.columns else F.coalesce(F.col("lang") == LISTED, F.lit(False))
+    ballots = docs.select("doc_id", "text", listed.alias("listed")).mapInArrow(votes, "doc_id long, n_words long, junk int, toxic int").filter("n_words > 0")
     if labels is not None:
         told = labels.groupBy("doc_id").agg((1 - F.min("quality")).alias("_q"), F.max("toxic").alias("_t"))
-        ballots = ballots.join(told, "doc_id", "left")
+        ballots = ballots.join(told, "doc_id", "left").withColumn("toxic", F.when((F.col("toxic") == NONE_LISTED) & F.col("_t").isNotNull(), 3 ** (len(TOXIC_VOTES) - 1) - 1).otherwise(F.col("toxic")))
         ballots = ballots.withColumns({c: F.col(c) + 3 ** (len(v) - 1) * F.coalesce(F.col(t), F.lit(2)) for c, v, t in (("junk", JUNK_VOTES, "_q"), ("toxic", TOXIC_VOTES, "_t"))}).drop("_q", "_t")
     ballots = written(ballots)
     post, right = [], {}
@@ -200,7 +223,16 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     lists = [got.column(c).combine_chunks() for c in ("at", "count")]
     at, count = ([v[o[i] : o[i + 1]] for i in order.tolist()] for o, v in ((x.offsets.to_numpy(), x.values.to_numpy()) for x in lists))
     n, ids = got.column("n_words").to_numpy()[order], found[order].tolist()
-    return {"models": [train(at, count, n, np.array([post[k][ballot[i][k]] for i in ids])) for k in range(2)], "labellers": right}
+    models = []
+    for k, names in enumerate((JUNK_VOTES, TOXIC_VOTES)):
+        y = np.array([post[k][ballot[i][k]] for i in ids])
+        told = np.array([ballot[i][k] != 3 ** (len(names) - (labels is None)) - 1 for i in ids], bool)
+        some = np.flatnonzero(told if (y[told] < 0.5).any() else np.ones(len(y), bool)).tolist()
+        chosen_at, chosen_count = [at[i] for i in some], [count[i] for i in some]
+        if k == 1:
+            chosen_at, chosen_count = clear(chosen_at, chosen_count, n[some], y[some])
+        models.append(train(chosen_at, chosen_count, n[some], y[some], rounds=(200, 1000)[k]))
+    return {"models": models, "labellers": right}
 
 
 def judge(docs: DataFrame, models: list, most: float = 0.5) -> DataFrame:
@@ -215,5 +247,5 @@ def apply_quality(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return judge(docs, fit(docs, table(spark, sf_dir, "labels"))["models"])

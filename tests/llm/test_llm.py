@@ -408,6 +408,27 @@ def test_quality(spark):
     assert quality.apply_quality(frame(spark, [])).count() == 0
 
 
+def test_quality_learns_labelled_insults_of_no_list(spark):
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(900):
+        lang = ("en", "de")[i % 3 > 0]
+        words = ["".join(r.choice({"en": "abcdeilmnorst", "de": "uvwzkgäöpfh"}[lang]) for _ in range(r.randint(2, 8))) for _ in range(r.randint(80, 160))]
+        toxic = r.random() < 0.12
+        if toxic:
+            for j in r.sample(range(len(words)), 6):
+                words[j] = r.choice(["idiot", "moron", "scum"]) if lang == "en" else "dumme" + r.choice(["r", "rle", "sau", "zug"])
+        rows.append((i, " ".join(words), lang, "a"))
+        labels.append((i, 1, int(toxic)))
+    known = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    got = {x["doc_id"]: x["keep"] for x in quality.judge(docs, quality.fit(docs, known)["models"]).collect()}
+    held = [x for x in labels if x[0] % 2 == 0]
+    for lang in ("en", "de"):
+        assert np.mean([not got[i] for i, _, t in held if t and rows[i][2] == lang]) >= 0.8
+        assert np.mean([got[i] for i, _, t in held if not t and rows[i][2] == lang]) >= 0.97
+
+
 def test_expectation_maximisation():
     r = np.random.default_rng(0)
     y, right = r.random(20000) < 0.3, [0.9, 0.8, 0.7]
