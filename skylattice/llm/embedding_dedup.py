@@ -8,8 +8,12 @@ A pair that meets in several leaves counts in the first of them only: every vect
 tell which of its pairs have met before. So leaves return a count for each vector and a spanning forest of their links rather than
 pairs, and nothing grows with the square of a group. Equal vectors are one class from the start.
 
-The index is approximate: a link is missed only if its vectors are parted in every tree. `recall()` measures this against brute
-force. Defined cases: null, zero or non-finite vectors, and vectors with null components, link with nothing; a vector whose
+Splits would part a group of near copies that is larger than a few leaves, so such groups are taken out first: `dense()` finds
+them in the sample, and every vector within LEAST of a group's centre (its core) is compared with all that can be in its reach,
+exactly and not by the trees. Core vectors within half that angle link with each other by geometry, so they are only counted; the
+others of a group are compared in tiles of TILE rows a side, spread over tasks, which grows with the square of their number.
+
+The index is approximate: a link is missed only if its vectors are parted in every tree. Defined cases: null, zero or non-finite vectors, and vectors with null components, link with nothing; a vector whose
 length differs from the most common one links with nothing; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -22,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import table, written
+from skylattice.llm.common import mixed, table, written
 from skylattice.llm.components import connected_components
 
 LEAST, SAMPLE, TREES, SPILL, LEAF = 0.95, 20_000, 12, 0.06, 250
+#: Groups of more leaves than this are dense; rows on a side of a tile.
+DENSE, TILE = 4, 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -57,19 +63,192 @@ def route(tree: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(leaves)
 
 
+def dense(x: np.ndarray, total: int, leaf: int, least: float) -> np.ndarray:
+    """Centres of the groups that hold more than DENSE leaves of `total` vectors, as the sample x of them has it."""
+    most, y, step = max(8.0, DENSE * leaf * len(x) / max(1, total)), x.astype(np.float32), 500
+    near = lambda rows: sum(((y @ rows[a : a + step].T) >= least).sum(1) for a in range(0, len(rows), step))
+    left, centres = near(y) if len(x) > most else np.zeros(len(x), np.int64), []
+    free = np.ones(len(x), bool)
+    while len(x) and left.max() > most:
+        seed = int(left.argmax())
+        members = free & (x @ x[seed] >= least)
+        centre = unit(x[members].mean(0, keepdims=True))[0]
+        core = free & (x @ centre >= least)
+        if core.sum() > most:
+            centres.append(centre)
+        else:
+            core = members
+        core[seed] = True
+        left = left - near(y[core & free])
+        free &= ~core
+        left[~free] = 0
+    return np.array(centres).reshape(-1, x.shape[1])
+
+
+INNER, OUTER, RIM = 0, 1, 2
+
+
+def grouped(x: np.ndarray, centres: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """-> the group of whose core each vector is (-1: none), and row, group and kind of every membership. A pair is met in the first
+    group that has one of the two in its core, so a core vector is on the rim of earlier groups only."""
+    at = x @ centres.T
+    core = np.where((at >= least).any(1), (at >= least).argmax(1), -1)
+    angle = np.arccos(least)
+    row, group = np.nonzero(at >= np.cos(min(np.pi, 2 * angle)) - 1e-9)
+    kind = np.where(core[row] != group, RIM, np.where(at[row, group] >= np.cos(angle / 2) + 1e-9, INNER, OUTER))
+    some = (kind != RIM) | (core[row] < 0) | (group < core[row])
+    return core, row[some], group[some], kind[some]
+
+
+def vectors_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def memberships(centres: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, row, group, kind = grouped(unit(vectors_of(batch.column("v"))), centres, least)
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(kind == INNER), batch.column("c").take(pa.array(row)), batch.column("n").take(pa.array(row))], ["g", "inner", "c", "n"])
+
+    return run
+
+
+def tiled(centres: np.ndarray, least: float, inner: list[int], other: list[int], tile: int):
+    """inner, other: vectors of a group. Parts of the others come first, then those of the inner ones; a tile is a pair of parts of
+    which the first is of others."""
+    parts = [(-(-o // tile), -(-i // tile)) for i, o in zip(inner, other)]
+    base = np.cumsum([0, *(o * (o + i) for o, i in parts)]).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, row, group, kind = grouped(unit(vectors_of(batch.column("v"))), centres, least)
+            h = mixed(batch.column("c").to_numpy().view(np.uint64))[row]
+            for g in np.unique(group).tolist():
+                o, i = parts[g]
+                for own, within, first in ((kind != INNER, o, 0), (kind == INNER, i, o)):
+                    mine = np.flatnonzero((group == g) & own)
+                    if not len(mine) or not o:
+                        continue
+                    part = (h[mine] % np.uint64(within)).astype(np.int64) + first
+                    for j in range(o + i if first == 0 else o):
+                        to = base[g] + np.minimum(part, j) * (o + i) + np.maximum(part, j)
+                        at = pa.array(row[mine])
+                        yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(part <= j), pa.array(part >= j), pa.array(kind[mine] == RIM), batch.column("c").take(at), batch.column("n").take(at), batch.column("v").take(at)], ["tile", "left", "right", "rim", "c", "n", "v"])
+
+    return run
+
+
+def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the links of a block (rows, columns) join: places, rows first, and another place of the same part."""
+    rows, columns = hit.shape
+    a, b, none = np.arange(rows), np.arange(rows, rows + columns), rows + columns
+    while True:
+        b2 = np.minimum(b, np.where(hit, a[:, None], none).min(0))
+        a2 = np.minimum(a, np.where(hit, b2, none).min(1))
+        if (a2 == a).all() and (b2 == b).all():
+            break
+        a, b = a2, b2
+    label = np.concatenate([a, b])
+    moved = np.flatnonzero(label != np.arange(none))
+    return moved, label[moved]
+
+
+def compared_tiles(least: float, block: int = 1024):
+    """As compared(), for tiles of dense groups."""
+
+    def tile_of(held):
+        left, right, rim, c, n, x = (np.concatenate(v) for v in zip(*held))
+        order = np.argsort(c, kind="stable")
+        left, right, rim, c, n, x = (v[order] for v in (left, right, rim, c, n, x))
+        one = bool((left & right).all())  # a part with itself
+        linked, found = np.zeros(len(c), np.int64), []
+        ls, rs = np.flatnonzero(left), np.flatnonzero(right)
+        for s in range(0, len(ls), block):
+            for u in range(s if one else 0, len(rs), block):
+                p, q = ls[s : s + block], rs[u : u + block]
+                at = x[p] @ x[q].T
+                hit = at >= least
+                i, j = np.nonzero(np.abs(at - least) <= 1e-9)
+                hit[i, j] = np.einsum("ij,ij->i", x[p[i]], x[q[j]]) >= least
+                hit &= ~(rim[p][:, None] & rim[q])
+                if one and s == u:
+                    hit = np.triu(hit, 1)
+                linked[p] += hit @ n[q]
+                linked[q] += n[p] @ hit
+                both = np.concatenate([p, q])
+                a, b = spanning(hit)
+                found.append((both[a], both[b]))
+        kept = forest_edges(len(c), *(np.concatenate(v) for v in zip(*found))) if found else []
+        some = np.flatnonzero(linked)
+        yield np.zeros(len(some), np.int8), c[some], linked[some]
+        if kept:
+            e = np.array(kept)
+            yield np.ones(len(e), np.int8), c[e[:, 0]], c[e[:, 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def done():
+            for kind, a, b in tile_of(held):
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a), pa.array(b)], ["kind", "c", "other"])
+
+        for batch in batches:
+            tile = batch.column("tile").to_numpy()
+            flags = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("left", "right", "rim")]
+            columns = [*flags, batch.column("c").to_numpy(), batch.column("n").to_numpy(), unit(vectors_of(batch.column("v"))) if len(tile) else None]
+            cuts = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b == a:
+                    continue
+                if at is not None and tile[a] != at:
+                    yield from done()
+                    held = []
+                at = int(tile[a])
+                held.append([v[a:b] for v in columns])
+        if held:
+            yield from done()
+
+    return run
+
+
+def dense_links(usable: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
+    """usable (c, n, v) -> kind, c, other of all pairs with a vector in a core."""
+    member = usable.mapInArrow(memberships(centres, least), "g int, inner boolean, c long, n long")
+    inner, other = [0] * len(centres), [0] * len(centres)
+    one = {}
+    for r in member.groupBy("g", "inner").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("c").alias("c")).collect():
+        (inner if r["inner"] else other)[r["g"]] = r["k"]
+        if r["inner"]:
+            one[r["g"]] = (r["n"], r["c"])
+    out = usable.mapInArrow(tiled(centres, least, inner, other, TILE), "tile long, left boolean, right boolean, rim boolean, c long, n long, v array<double>")
+    out = out.repartition("tile").sortWithinPartitions("tile").mapInArrow(compared_tiles(least), "kind byte, c long, other long")
+    if one:
+        whole = F.broadcast(usable.sparkSession.createDataFrame([(g, *v) for g, v in one.items()], "g int, _n long, _c long"))
+        known = member.filter("inner").join(whole, "g")
+        out = out.union(known.select(F.lit(0).cast("byte"), "c", F.col("_n") - F.col("n"))).union(known.filter("c <> _c").select(F.lit(1).cast("byte"), "c", "_c"))
+    return out
+
+
 def forest(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> list:
     rng = np.random.default_rng(seed)
     depth = max(0, int(np.ceil(np.log(max(1, total / leaf)) / -np.log(0.5 + SPILL))))
     return [grow(sample, depth, rng) for _ in range(trees)]
 
 
-def routed(trees: list):
+def routed(trees: list, centres: np.ndarray, least: float):
+    """All but the vectors in a core."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.num_rows and len(centres):
+                batch = batch.filter(pa.array(grouped(unit(vectors_of(batch.column("v"))), centres, least)[0] < 0))
             if not batch.num_rows:
                 continue
             vectors = batch.column("v")
-            x = unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64))
+            x = unit(vectors_of(vectors))
             found = [route(t, x) for t in trees]
             row = np.concatenate([r for r, _ in found])
             name = np.concatenate([leaf * len(trees) + k for k, (_, leaf) in enumerate(found)])
@@ -190,9 +369,12 @@ def dedup_embeddings(rows: DataFrame, least: float = LEAST, trees: int = TREES,
         total = usable.count()
         chosen = usable.orderBy(F.xxhash64("c"), "c").limit(sample).select("v").toArrow().column("v").combine_chunks()
         x = unit(chosen.flatten().to_numpy().reshape(len(chosen), -1))
-        grown = forest(x, total, trees, leaf)
-        spread = usable.mapInArrow(routed(grown), "c long, n long, leaf long, leaves array<long>, v array<double>")
-        out = written(spread.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compared(len(grown), least), "kind byte, c long, other long"))
+        centres = dense(x, total, leaf, least)
+        rest = x[grouped(x, centres, least)[0] < 0] if len(centres) else x
+        grown = forest(rest, round(total * len(rest) / len(x)), trees, leaf)
+        spread = usable.mapInArrow(routed(grown, centres, least), "c long, n long, leaf long, leaves array<long>, v array<double>")
+        out = spread.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compared(len(grown), least), "kind byte, c long, other long")
+        out = written(out.union(dense_links(usable, centres, least)) if len(centres) else out)
     else:
         out = written(spark.createDataFrame([], "kind byte, c long, other long"))
     counts = out.filter("kind = 0").groupBy("c").agg(F.sum("other").alias("_l"))

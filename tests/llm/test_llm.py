@@ -148,6 +148,30 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.2])
+def test_embedding_dedup_dense_group(spark, noise, monkeypatch):
+    r = np.random.default_rng(4)
+    unit = embedding_dedup.unit
+    far = r.standard_normal((2400, 64))
+    hot = unit(r.standard_normal((2, 64)))[r.integers(0, 2, 1600)] + noise * unit(r.standard_normal((1600, 64))) * r.random((1600, 1)) ** 0.2
+    x = np.concatenate([far, hot, hot[:400] + 0.25 * unit(r.standard_normal((400, 64))), far[:100] + 0.5 * r.standard_normal((100, 64)) / 8])
+    x = np.concatenate([x, x[2400:2450] * 2])[r.permutation(4550)]
+    monkeypatch.setattr(embedding_dedup, "TILE", 300, raising=False)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {g["vec_id"]: g for g in embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=10).collect()}
+    y = unit(x)
+    hit = (y @ y.T >= 0.95) & ~np.eye(len(y), dtype=bool)
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert hit.sum() > 100_000 and links.sum() >= 0.99 * hit.sum() and (links <= hit.sum(1)).all()
+    comp = np.arange(len(x))
+    while True:
+        new = np.minimum(comp, np.where(hit, comp, len(x)).min(1))
+        if (new == comp).all():
+            break
+        comp = new
+    assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(x))]) >= 0.99
+
+
 def jaccard_by_hand(docs, least, size=3):
     sets = {}
     for i, t, *_ in docs:
