@@ -13,13 +13,14 @@ them in the sample, and every vector within LEAST of a group's centre (its core)
 exactly and not by the trees. Core vectors within half that angle link with each other by geometry, so they are only counted; the
 others of a group are compared in tiles of TILE rows a side, spread over tasks, which grows with the square of their number.
 
-The index is approximate: a link is missed only if its vectors are parted in every tree. Defined cases: null, zero or non-finite vectors, and vectors with null components, link with nothing; a vector whose
-length differs from the most common one links with nothing; extra columns are ignored; an empty table gives no rows.
+The index is approximate: a link is missed only if its vectors are parted in every tree. Defined cases: null, zero or non-finite vectors, and vectors with null components, link with nothing; vectors of
+different lengths never link, and each length has a forest of its own; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -353,6 +354,18 @@ def compared(trees: int, least: float, block: int = 1024):
     return run
 
 
+def links(usable: DataFrame, total: int, least: float, trees: int, leaf: int, sample: int) -> DataFrame:
+    """usable (c, n, v): `total` distinct vectors of one length -> kind, c, other."""
+    chosen = usable.orderBy(F.xxhash64("c"), "c").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    x = unit(vectors_of(chosen))
+    centres = dense(x, total, leaf, least)
+    rest = x[grouped(x, centres, least)[0] < 0] if len(centres) else x
+    grown = forest(rest, round(total * len(rest) / len(x)), trees, leaf)
+    spread = usable.mapInArrow(routed(grown, centres, least), "c long, n long, leaf long, leaves array<long>, v array<double>")
+    out = spread.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compared(len(grown), least), "kind byte, c long, other long")
+    return out.union(dense_links(usable, centres, least)) if len(centres) else out
+
+
 def dedup_embeddings(rows: DataFrame, least: float = LEAST, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """rows (vec_id long, embedding array) -> vec_id, n_links, component_id, kept."""
     spark = rows.sparkSession
@@ -362,21 +375,10 @@ def dedup_embeddings(rows: DataFrame, least: float = LEAST, trees: int = TREES,
     # equal vectors are one class, named by its smallest id; -0.0 and 0.0 are equal
     classed = base.filter("v is not null").select("vec_id", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)).alias("v"))
     classes = written(classed.groupBy("v").agg(F.min("vec_id").alias("c"), F.count("*").alias("n")).select("c", "n", "v", F.size("v").alias("_d")))
-    common = classes.groupBy("_d").count().orderBy(F.desc("count"), "_d").limit(1).collect()
-    named = classes.drop("_d")
-    if common:
-        usable = named.filter(F.size("v") == common[0]["_d"])
-        total = usable.count()
-        chosen = usable.orderBy(F.xxhash64("c"), "c").limit(sample).select("v").toArrow().column("v").combine_chunks()
-        x = unit(chosen.flatten().to_numpy().reshape(len(chosen), -1))
-        centres = dense(x, total, leaf, least)
-        rest = x[grouped(x, centres, least)[0] < 0] if len(centres) else x
-        grown = forest(rest, round(total * len(rest) / len(x)), trees, leaf)
-        spread = usable.mapInArrow(routed(grown, centres, least), "c long, n long, leaf long, leaves array<long>, v array<double>")
-        out = spread.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compared(len(grown), least), "kind byte, c long, other long")
-        out = written(out.union(dense_links(usable, centres, least)) if len(centres) else out)
-    else:
-        out = written(spark.createDataFrame([], "kind byte, c long, other long"))
+    named, found = classes.drop("_d"), []
+    for r in classes.groupBy("_d").count().filter("count > 1").orderBy("_d").collect():
+        found.append(written(links(named.filter(F.size("v") == r["_d"]), r["count"], least, trees, leaf, sample)))
+    out = reduce(DataFrame.union, found) if found else written(spark.createDataFrame([], "kind byte, c long, other long"))
     counts = out.filter("kind = 0").groupBy("c").agg(F.sum("other").alias("_l"))
     comps = connected_components(out.filter("kind = 1").select(F.col("c").alias("a"), F.col("other").alias("b")))
     per = named.join(counts, "c", "left").join(comps.withColumnRenamed("node", "c"), "c", "left")

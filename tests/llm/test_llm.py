@@ -172,6 +172,19 @@ def test_embedding_dedup_dense_group(spark, noise, monkeypatch):
     assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(x))]) >= 0.99
 
 
+def test_embedding_dedup_of_mixed_lengths(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.standard_normal((50, 8)))]
+    short = r.standard_normal((10, 5))
+    rows += [(100 + i, v.tolist()) for i, v in enumerate(np.concatenate([short, short + 0.01]))] + [(200, [1.0] * 3)]
+    got = {g["vec_id"]: g for g in embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    y = embedding_dedup.unit(np.concatenate([short, short + 0.01]))
+    hit = (y @ y.T >= 0.95) & ~np.eye(20, dtype=bool)
+    assert hit.sum() >= 20 and [got[100 + i]["n_links"] for i in range(20)] == hit.sum(1).tolist()
+    assert all(got[110 + i]["component_id"] < 110 + i and not got[110 + i]["kept"] for i in range(10))
+    assert got[200]["n_links"] == 0 and got[200]["kept"] and len(got) == 71
+
+
 def jaccard_by_hand(docs, least, size=3):
     sets = {}
     for i, t, *_ in docs:
