@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.encoded(docs, token_output.default_tokenizer())
+    return token_output.encoded(docs, token_output.default_tokenizer(), literal=False)
 
 
 STAGES = [("quality", quality_stage), ("ngram_join", ngram_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage), ("token_output", token_stage)]

@@ -10,7 +10,8 @@ Documents are range-partitioned and sorted by doc_id; every partition writes one
 
 Encoding caches the ids of space-delimited pieces: the byte-level pre-tokenizer always cuts before a single space that stands
 between other characters, so the ids of ' word' are the same alone. Texts with two adjacent white-space characters are given to
-the tokenizer whole.
+the tokenizer whole, and so are texts that hold the content of an added token where such content is one id (`literal=False`,
+the library's default and what the query asks for; `literal=True` takes it for plain text).
 
 Defined cases: a null text is empty; a null doc_id comes first; rows that repeat a doc_id follow each other in text order; an
 empty table gives no blocks; extra columns are ignored.
@@ -251,12 +252,15 @@ class Encoder:
     MARKS = ".,!?;:#$%&*|\"')]}…-"
     BARE = re.compile(r" ?\S+").fullmatch
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), Cache()
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: What may not be cut into pieces; any case where a token is matched on normalised text.
+        self.added = [(t.content, t.normalized) for t in added if not (literal and t.special)]
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -319,6 +323,8 @@ class Encoder:
         """-> ids of all texts, each with end_id behind it, and bounds."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         loose = pc.match_substring_regex(texts, self.LOOSE).to_numpy(zero_copy_only=False)
+        for content, any_case in self.added:
+            loose = loose | pc.match_substring(texts, content, ignore_case=any_case).to_numpy(zero_copy_only=False)
         own = np.flatnonzero(loose)
         plain = pc.if_else(pa.array(loose), "", texts)
         parts = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")  # a piece that starts with a line feed has no space before it
@@ -355,21 +361,21 @@ class Encoder:
         return gathered(flat, place, size), np.concatenate([[0], upto[ends]])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, literal: bool) -> Encoder:
     """One for each worker process, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, literal) not in _encoders:
+        _encoders[path, literal] = Encoder(path, literal)
+    return _encoders[path, literal]
 
 
-def blocks_of(tokenizer_path: str, end_id: int):
+def blocks_of(tokenizer_path: str, end_id: int, literal: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(tokenizer_path, literal), TaskContext.get().partitionId(), 0
         for batch in steps(batches, "text", 14_000_000):
             ids, bounds = encoder.encode(batch.column("text"), end_id)
             doc_ids = batch.column("doc_id").to_pylist()
@@ -385,10 +391,10 @@ def blocks_of(tokenizer_path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, literal: bool = True) -> None:
     """docs (doc_id, text) -> files of blocks under path, ids in ascending doc_id order."""
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(blocks_of(tokenizer_path, end_id), BLOCKS).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(blocks_of(tokenizer_path, end_id, literal), BLOCKS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -421,13 +427,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCKS).parquet(path).select("data").mapInArrow(run, "doc_id long, tokens array<int>")
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = END_ID, literal: bool = True) -> DataFrame:
     """Writes the files and returns doc_id, start, n_tokens, ids_crc32 as read back from them."""
     import uuid
 
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, tokenizer_path, end_id)
+    write_tokens(docs, path, tokenizer_path, end_id, literal)
     return read_blocks(spark, path).select("data", "start").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -438,4 +444,4 @@ def default_tokenizer() -> str:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"), default_tokenizer())
+    return encoded(table(spark, sf_dir, "documents"), default_tokenizer(), literal=False)

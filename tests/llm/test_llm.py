@@ -327,6 +327,22 @@ def test_token_output(spark, docs, tmp_path):
     assert token_output.encoded(frame(spark, []), path).count() == 0
 
 
+def test_token_output_of_added_tokens(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_output.default_tokenizer())
+    token = t.get_added_tokens_decoder()[max(t.get_added_tokens_decoder())].content
+    odd = ["a <|endoftext|> b", f"{token}", f"x{token}y z\nfoo {token}{token} bar", f"{token[:-1]} {token[1:]}", "no token here"]
+    rows = [*docs[:20], *((8000 + i, s, "en", "a") for i, s in enumerate(odd))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in token_output.op6_token_output(spark, str(tmp_path)).collect()}
+    for i, s, *_ in rows:
+        ids = [*t.encode(s or "", add_special_tokens=False).ids, 2]
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), s
+    if "<|endoftext|>" in t.get_vocab():
+        assert got[8000]["n_tokens"] == 5
+
+
 def benchmark_by_hand(docs, items, span):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
     windows = {}
