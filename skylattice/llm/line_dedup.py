@@ -6,6 +6,9 @@ one longest-common-prefix interval. Two overlapping names give the class for any
 comes first in (doc_id, line) order stays, and the lines that later occurrences cover are deleted; together these windows make
 up the maximal repeated runs.
 
+With RUN_LINES = 2 that is one round, and no ranks, suffix array or LCP intervals are made. `n_runs` counts stretches of deleted
+lines, not maximal repeated runs.
+
 A run counts from `run_lines` lines on, and a single line from `line_words` words on, so short lines alone stay.
 
 Names are counted with map-side aggregation, and the join back to positions has one row a name on one side, so that a very common
