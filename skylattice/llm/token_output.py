@@ -9,7 +9,9 @@ Documents are range-partitioned and sorted by doc_id; every partition writes one
 (binary rows in Parquet, so that any store and lost executors are handled), with its partition number and block number.
 
 Encoding caches the ids of space-delimited pieces: the byte-level pre-tokenizer always cuts before a single space that stands
-between other characters, so the ids of ' word' are the same alone. Texts with two adjacent white-space characters are given to
+between other characters, so the ids of ' word' are the same alone. A cached string is found by a hash and then compared byte by
+byte, so ids never depend on what a worker has seen. Pieces of letters alone are one piece to the pre-tokenizer and go straight
+to the tokenizer's model. Texts with two adjacent white-space characters are given to
 the tokenizer whole, and so are texts that hold the content of an added token where such content is one id (`literal=False`,
 the library's default and what the query asks for; `literal=True` takes it for plain text).
 
@@ -19,6 +21,7 @@ empty table gives no blocks; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import mixed, shared_dir, steps, table
 from skylattice.llm.substring_dedup import Sums
 
-MAGIC, END_ID, BLOCK_IDS, SEGMENT, CACHED = b"S8B1", 2, 1 << 17, 512, 1_500_000
+#: What a cached string is: a piece with a space before it, one without, or a piece without the marks behind it.
+PIECE, HEAD, STEM = 0, 1, 2
+MAGIC, END_ID, BLOCK_IDS, SEGMENT, CACHED = b"S8B1", 2, 1 << 17, 512, 1_000_000
 #: How many numbers of how many bits each selector from 1 on packs; selector 0 is the escape.
 PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([1, *(c for c, _ in PACKS)])
@@ -177,45 +182,75 @@ def from_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids, unpack(words, first, np.diff(cuts)), bounds
 
 
-def hashed_strings(strings: pa.Array) -> np.ndarray:
-    """64-bit hashes of a large_string array, from its buffers: sums of byte values with powers of an odd base."""
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A large_string array's bytes and where each string ends in them, after a leading 0."""
+    if not len(strings):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
     ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return ends - ends[0], np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def hashed_strings(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of a large_string array, from its buffers: sums of byte values with powers of an odd base. Unequal strings can
+    be made to meet, so a hash is for finding only."""
+    ends, data = bytes_of(strings)
     with np.errstate(over="ignore"):
         sums = Sums(BYTE_VALUES[data])
-    ends = ends - ends[0]
     return mixed(sums.of(ends[:-1], ends[1:]) + np.diff(ends).astype(np.uint64))
 
 
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def byte_letters() -> dict[int, str]:
+    """The character by which the byte-level alphabet writes each byte: itself where it is a visible one of Latin-1, else one of
+    those from 256 on, in order."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(b) if b in seen else chr(256 + sum(x not in seen for x in range(b))) for b in range(256) if b != 10}
+
+
 class Cache:
-    """Ids of pieces by 64-bit hash in sorted arrays, a large and a small one, with all ids in one buffer; emptied when full."""
+    """Ids of strings, found by 64-bit hash in sorted arrays, a large and a small one. All ids are in one buffer and the strings
+    themselves in another; a hash only finds a place, and a string is known where its bytes and kind are the same. Emptied when
+    full."""
 
     def __init__(self):
-        self.parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))] * 2
-        self.flat, self.size = np.empty(0, np.uint32), 0
+        self.parts = [(np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4)))] * 2
+        self.flat, self.text = np.empty(0, np.uint32), np.empty(0, np.uint8)
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, h: np.ndarray, strings: pa.Array, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """-> place in `flat` (-1: unknown) and number of ids."""
         order = np.argsort(h)  # sorted look-ups stay near each other
-        h, at, n = h[order], np.full(len(h), -1), np.zeros(len(h), np.int64)
-        for keys, place, size in self.parts:
+        h = h[order]
+        at, n, start, form = np.full(len(h), -1), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for keys, *found in self.parts:
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 ok = keys[i] == h
-                at[ok], n[ok] = place[i[ok]], size[i[ok]]
+                for to, what in zip((at, n, start, form), found):
+                    to[ok] = what[i[ok]]
         back = np.empty(len(h), np.int64)
         back[order] = np.arange(len(h))
-        return at[back], n[back]
-
-    def add(self, h: np.ndarray, new: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """new: the ids of all pieces, n: their numbers. -> their places."""
+        at, n, start, form = at[back], n[back], start[back], form[back]
+        ends, data = bytes_of(strings)
+        size = np.diff(ends)
+        there = np.flatnonzero((at >= 0) & (form == 4 * size + kind))
+        same = gathered(self.text, start[there], size[there]) == gathered(data, ends[:-1][there], size[there])
+        wrong = np.searchsorted(np.cumsum(size[there]), np.flatnonzero(~same), "right")
+        known = np.zeros(len(at), bool)
+        known[there] = True
+        known[there[wrong]] = False
+        at[~known] = -1
+        return at, n
+
+    def add(self, h: np.ndarray, strings: pa.Array, kind: int, new: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """new: the ids of all strings, n: their numbers. -> their places."""
         place = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, new])
+        ends, data = bytes_of(strings)
+        start, form = len(self.text) + ends[:-1], 4 * np.diff(ends) + kind
+        self.flat, self.text = np.concatenate([self.flat, new]), np.concatenate([self.text, data])
         big, small = self.parts
-        small = self.merged(small, (h, place, n))
+        small = self.merged(small, (h, place, n, start, form))
         if len(small[0]) > 150_000:
             big, small = self.merged(big, small), tuple(x[:0] for x in small)
         self.parts = [big, small]
@@ -228,7 +263,7 @@ class Cache:
         return tuple(x[order] for x in both)
 
     def __len__(self) -> int:
-        return sum(len(k) for k, _, _ in self.parts)
+        return sum(len(k) for k, *_ in self.parts)
 
 
 def gathered(flat: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -251,6 +286,8 @@ class Encoder:
     #: Characters that are neither letters, digits nor white space.
     MARKS = ".,!?;:#$%&*|\"')]}…-"
     BARE = re.compile(r" ?\S+").fullmatch
+    #: Letters of any version of Unicode: with a space or none before them they are one piece to the pre-tokenizer.
+    LETTERS = r"^ ?[A-Za-zÀ-ÖØ-öø-ʯ]+$"
 
     def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
@@ -258,6 +295,11 @@ class Encoder:
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), Cache()
         self.tokenizer.encode_special_tokens = literal
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        #: Where the pipeline is the byte-level one alone, the model can be asked for single pieces.
+        parts = json.loads(self.tokenizer.to_str())
+        plain = parts["pre_tokenizer"] or {}
+        self.direct = parts["normalizer"] is None and plain.get("type") == "ByteLevel" and plain.get("use_regex", True) and not plain.get("add_prefix_space", True)
         added = self.tokenizer.get_added_tokens_decoder().values()
         #: What may not be cut into pieces; any case where a token is matched on normalised text.
         self.added = [(t.content, t.normalized) for t in added if not (literal and t.special)]
@@ -293,6 +335,25 @@ class Encoder:
         start[order] = np.cumsum(n[order]) - n[order]
         return gathered(flat, start, n), n
 
+    def words(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As pieces(); pieces of LETTERS go straight to the model."""
+        one = pc.match_substring_regex(strings, self.LETTERS).to_numpy(zero_copy_only=False) if self.direct else np.zeros(len(strings), bool)
+        own, rest = np.flatnonzero(one), np.flatnonzero(~one)
+        ids, n = self.pieces(strings.take(pa.array(rest)).to_pylist())
+        if not len(own):
+            return ids, n
+        names = "\n".join(strings.take(pa.array(own)).to_pylist()).encode().decode("latin-1").translate(self.letters).split("\n")
+        parts, counts = [], []
+        for a in range(0, len(names), 20_000):
+            tokens = list(map(self.model.tokenize, names[a : a + 20_000]))
+            counts.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+            parts.append(np.fromiter([t.id for word in tokens for t in word], np.uint32, int(counts[-1].sum())))
+        own_ids, own_n = np.concatenate(parts), np.concatenate(counts)
+        size, place = np.empty(len(strings), np.int64), np.empty(len(strings), np.int64)
+        size[own], size[rest] = own_n, n
+        place[own], place[rest] = np.cumsum(own_n) - own_n, len(own_ids) + np.cumsum(n) - n
+        return gathered(np.concatenate([own_ids, ids]), place, size), size
+
     def stemmed(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """-> ids of all strings, and their numbers. Marks behind a letter or digit are always tokens of
         their own, so only distinct stems that are not known yet are encoded."""
@@ -301,12 +362,13 @@ class Encoder:
         marked = np.flatnonzero(cut)
         stem = pc.if_else(pa.array(cut), stems, strings).dictionary_encode()
         code, names = stem.indices.to_numpy(zero_copy_only=False).astype(np.int64), stem.dictionary
-        h = mixed(hashed_strings(names) + np.uint64(2))  # stems are kept apart from the pieces that encode() looks up
-        at, n = self.cache.find(h)
+        h = mixed(hashed_strings(names) + np.uint64(STEM))  # kept apart from the pieces that encode() looks up
+        at, n = self.cache.find(h, names, STEM)
         new = np.flatnonzero(at < 0)
         if len(new):
-            ids, n[new] = self.pieces(names.take(pa.array(new)).to_pylist())
-            at[new] = self.cache.add(h[new], ids, n[new])
+            unknown = names.take(pa.array(new))
+            ids, n[new] = self.words(unknown)
+            at[new] = self.cache.add(h[new], unknown, STEM, ids, n[new])
         tails = pc.utf8_slice_codeunits(strings.take(pa.array(marked)), 0)
         lengths = pc.utf8_length(stems.take(pa.array(marked))).to_pylist()
         tails = pa.array([x[k:] for x, k in zip(tails.to_pylist(), lengths)], pa.large_string()).dictionary_encode()
@@ -335,17 +397,21 @@ class Encoder:
         heads, head_code = np.unique(code[cuts[:-1]], return_inverse=True)  # the first pieces have no space before them
         code[cuts[:-1]] = len(seen) + head_code
         h = hashed_strings(seen)
-        h = np.concatenate([h, mixed(h[heads] + np.uint64(1))])
-        if len(self.cache) + len(h) > CACHED:
+        if len(self.cache) + len(h) + len(heads) > CACHED:
             self.cache = Cache()
-        at, n = self.cache.find(h)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            own_heads = new[new >= len(seen)] - len(seen)
-            spaced = seen.take(pa.array(new[new < len(seen)]))
-            spaced = pc.if_else(pc.starts_with(spaced, "\n"), spaced, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), spaced, pa.scalar("", pa.large_string())))
-            ids, n[new] = joined(self.stemmed(spaced), self.pieces([x.as_py() for x in seen.take(pa.array(heads[own_heads]))]))
-            at[new] = self.cache.add(h[new], ids, n[new])
+        found = []
+        for kind, own_h, names in ((PIECE, h, seen), (HEAD, mixed(h[heads] + np.uint64(HEAD)), seen.take(pa.array(heads)))):
+            at, n = self.cache.find(own_h, names, kind)
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                unknown = names.take(pa.array(new))
+                if kind == HEAD:
+                    ids, n[new] = self.words(unknown)
+                else:
+                    ids, n[new] = self.stemmed(pc.if_else(pc.starts_with(unknown, "\n"), unknown, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), unknown, pa.scalar("", pa.large_string()))))
+                at[new] = self.cache.add(own_h[new], unknown, kind, ids, n[new])
+            found.append((at, n))
+        at, n = joined(*found)
         rest = self.whole([texts[i].as_py() for i in own.tolist()])
         rest_n = np.fromiter(map(len, rest), np.int64, len(rest))
         rest_at = len(self.cache.flat) + 1 + np.cumsum(rest_n) - rest_n
@@ -376,7 +442,7 @@ def blocks_of(tokenizer_path: str, end_id: int, literal: bool):
         from pyspark import TaskContext
 
         encoder, part, seq = encoder_of(tokenizer_path, literal), TaskContext.get().partitionId(), 0
-        for batch in steps(batches, "text", 14_000_000):
+        for batch in steps(batches, "text", 9_000_000):
             ids, bounds = encoder.encode(batch.column("text"), end_id)
             doc_ids = batch.column("doc_id").to_pylist()
             cut = np.flatnonzero(np.diff(bounds[:-1] // BLOCK_IDS)) + 1
