@@ -2,14 +2,19 @@
 
 Every bigram of the training documents is put into a Bloom filter once for each level of its count, a level being a power of two;
 asking for level 1, 2, ... until a level is missing gives the count back, quantised. The filter has BITS bits an entry and so
-grows with the corpus; it is cut by hash into segments, and broadcast in parts of at most PART_BYTES, one pass of scoring for
-each part, so that a worker's memory is bounded whatever the corpus. Word counts are exact, by a join on words.
+grows with the corpus; it is cut by hash into segments, whose number follows from the bytes of the texts alone (SEGMENT_BYTES of
+text a segment), so the bits, and with them the scores, do not depend on how the work is dealt out. A filter of at most PART_BYTES
+is broadcast to the workers. A larger one stays where its segments were built: the chunks' pairs are sent to their segments,
+probed there, and the levels sent back, which is one more exchange, linear in the corpus, and gives the same levels. Word counts
+are exact, by a join on words.
 
 Documents are read once: each step of a task becomes a chunk (its documents as codes of the chunk's own words), the counts of its
 distinct words and of its distinct bigrams, in compressed arrays by hash segment. What is exchanged are these arrays.
 
 The model: (q + STRENGTH * p(w)) / (c(v) + STRENGTH) for word w after v, with q the lower edge of the bigram's level, c the word
-counts and p the smoothed word probability of the base score; texts begin after a start mark and end with an end mark.
+counts and p the smoothed word probability of the base score; texts begin after a start mark and end with an end mark. As q is
+the lower edge, probabilities after a word add up to 1 at most (but for false hits of the filter, about one in eighty look-ups);
+what quantising takes away is not spread over other words.
 
 Defined cases: a null text is empty and has the end mark only; a null doc_id counts as training; rows that repeat a doc_id are
 documents of their own; an empty table gives no rows; extra columns are ignored.
@@ -28,10 +33,11 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import hashed_words, mixed, split_words, steps, table, written
 
-BITS, PROBES, PART_BYTES, STRENGTH = 10, 4, 256 << 20, 100.0
+BITS, PROBES, PART_BYTES, STRENGTH = 10, 4, 128 << 20, 100.0
+SEGMENT_BYTES, LEAST_SEGMENTS = 128 << 20, 64
 #: Hashes of the marks; word hashes are 64 bits and don't meet them in practice.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-CHUNK, WORDS, PAIRS, COUNTS, TOTAL = range(5)
+CHUNK, WORDS, PAIRS, COUNTS, TOTAL, ASKED, LEVELS = range(7)
 ROW = "kind byte, k long, seg int, data binary"
 
 
@@ -144,18 +150,22 @@ def probe_places(pair: np.ndarray, level: int, size: np.ndarray | int) -> Iterat
             yield ((a + np.uint64(i) * b) >> np.uint64(11)) % np.asarray(size, np.uint64)
 
 
-def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def filters(bits_each: int):
     """The bits of each segment; k is their number."""
-    for seg, held in groups(batches, "seg"):
-        parts = [unpacked(data, np.uint32, np.uint32) for _, _, data in held]
-        pair, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        level = levels_of(np.bincount(which, np.concatenate([p[1] for p in parts])))
-        size = -(-int(level.sum()) * BITS // 64) * 64
-        bits = np.zeros(size, np.uint8)
-        for j in range(1, int(level.max()) + 1):
-            for place in probe_places(pair[level >= j], j, size):
-                bits[place] = 1
-        yield batch_of(PAIRS, [size], [seg], [np.packbits(bits, bitorder="little").tobytes()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, held in groups(batches, "seg"):
+            parts = [unpacked(data, np.uint32, np.uint32) for _, _, data in held]
+            pair, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            level = levels_of(np.bincount(which, np.concatenate([p[1] for p in parts])))
+            size = -(-int(level.sum()) * bits_each // 64) * 64
+            bits = np.zeros(size, np.uint8)
+            for j in range(1, int(level.max()) + 1):
+                for place in probe_places(pair[level >= j], j, size):
+                    bits[place] = 1
+            yield batch_of(PAIRS, [size], [seg], [np.packbits(bits, bitorder="little").tobytes()])
+
+    return run
 
 
 class Filter:
@@ -187,88 +197,114 @@ class Filter:
         return out
 
 
-def scored(part, segments: int, n_train: int, n_distinct: int, n_docs: int, first: bool):
-    """Chunks with the counts of their words, together by chunk -> a row for each document; `part` broadcasts a Filter. A pair is
-    scored in the pass that has its segment."""
+def decoded(chunk: bytes) -> tuple[np.ndarray, ...]:
+    """doc_ids, which are null, bounds, the hash of every token, of its pair with the one before, and the chunk's words."""
+    ids, null, cuts, code, names = unpacked(chunk, np.int64, np.uint8, np.int64, np.int32, np.uint64)
+    h = names[code]
+    return ids, null, cuts, code, names, pairs_of(h, context(h, cuts[:-1]))
+
+
+def asked(segments: int):
+    """Chunks -> their distinct pairs, ascending, and where they stand among them, by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = part.value
         for _, held in groups(batches, "k"):
-            chunk = next(data for kind, _, data in held if kind == CHUNK)
-            ids, null, cuts, code, names = unpacked(chunk, np.int64, np.uint8, np.int64, np.int32, np.uint64)
+            for _, k, chunk in held:
+                pair = np.unique(decoded(chunk)[-1])
+                order, at = by_segment((pair >> np.uint64(40)) % np.uint64(segments), segments)
+                full = [s for s in range(segments) if at[s + 1] > at[s]]
+                yield batch_of(ASKED, [k] * len(full), full, [packed(pair[o], o.astype(np.uint32)) for s in full for o in [order[at[s] : at[s + 1]]]])
+
+    return run
+
+
+def probed(segments: int):
+    """A segment's bits, then the pairs that chunks ask for -> their levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, None
+        for batch in batches:
+            for seg, kind, k, data in zip(*(batch.column(c).to_pylist() for c in ("seg", "kind", "k", "data"))):
+                if kind == PAIRS:
+                    at, found = seg, Filter(segments, {seg: data})
+                    continue
+                pair, place = unpacked(data, np.uint64, np.uint32)
+                level = found.levels(pair) if seg == at else np.zeros(len(pair), np.int64)  # a segment that holds nothing
+                some = level > 0
+                yield batch_of(LEVELS, [k], [seg], [packed(place[some], level[some].astype(np.uint8))])
+
+    return run
+
+
+def scored(part, n_train: int, n_distinct: int, n_docs: int):
+    """Chunks with the counts of their words, together by chunk -> a row for each document. `part` broadcasts a Filter; without one
+    the levels of the chunk's pairs come with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in groups(batches, "k"):
+            ids, null, cuts, code, names, pair = decoded(next(data for kind, _, data in held if kind == CHUNK))
             count = np.zeros(len(names))
+            distinct, which = np.unique(pair, return_inverse=True)
+            level = np.zeros(len(distinct), np.int64) if part is None else part.value.levels(distinct)
             for kind, _, data in held:
                 if kind == COUNTS:
                     at, total = unpacked(data, np.uint32, np.uint64)
                     count[at] = total
-            h, starts = names[code], cuts[:-1]
+                elif kind == LEVELS:
+                    at, found = unpacked(data, np.uint32, np.uint8)
+                    level[at] = found
+            starts = cuts[:-1]
             c = count[code]
             word = (c + 1) / (n_train + n_distinct + 1)
-            pair = pairs_of(h, context(h, starts))
             before = np.empty(len(c))
             before[1:] = c[:-1]
             before[starts] = n_docs
-            distinct, which = np.unique(pair, return_inverse=True)
-            level = found.levels(distinct)[which]
-            here = found.size[((pair >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)] > 0
-            if first:  # pairs of segments that hold nothing are scored once
-                here |= ~part_covers(found, pair, segments)
+            level = level[which]
             q = np.where(level > 0, 2.0 ** (level - 1), 0.0)
             q = np.minimum(q, np.minimum(before, c))  # a pair is no more frequent than its words
-            log = np.where(here, np.log10((q + STRENGTH * word) / (before + STRENGTH)), 0.0)
+            log = np.log10((q + STRENGTH * word) / (before + STRENGTH))
             add = lambda x: np.add.reduceat(x, starts)
             doc_ids = pa.array(ids, mask=null.astype(bool))
             out = held_out(doc_ids.to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(out), pa.array(np.diff(cuts)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(ids), n_train)), pa.array(add(np.log10(word))), pa.array(add(log)), pa.array((held[0][1] << 20) + np.arange(len(ids)))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "row"],
+                [doc_ids, pa.array(out), pa.array(np.diff(cuts)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(ids), n_train)), pa.array(add(np.log10(word))), pa.array(add(log))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
     return run
 
 
-def part_covers(found: Filter, pair: np.ndarray, segments: int) -> np.ndarray:
-    """Whether some part of the filter has the pair's segment."""
-    return found.known[((pair >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)]
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, row long"
+def segments_for(size: int) -> int:
+    """A power of two that grows with the bytes of the texts."""
+    out = LEAST_SEGMENTS
+    while out * SEGMENT_BYTES < size:
+        out *= 2
+    return out
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    segments = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    training = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
+    n_docs, size = docs.agg(F.count(F.when(training, 1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    segments = segments_for(size)
     base = written(docs.select("doc_id", "text").mapInArrow(chunks(segments), ROW))
     of = lambda kind: base.filter(F.col("kind") == kind)
     counts = written(of(WORDS).repartition("seg").sortWithinPartitions("seg").mapInArrow(totals, ROW))
     sums = counts.filter(F.col("kind") == TOTAL).select(F.sum("k"), F.sum(F.col("data").cast("string").cast("long"))).first()
     n_distinct, n_train = int(sums[0] or 0), int(sums[1] or 0)
-    n_docs = docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))).count()
-    built = written(of(PAIRS).repartition("seg").sortWithinPartitions("seg").mapInArrow(filters, ROW))
-    sizes = sorted((r[0], r[1]) for r in built.select("seg", "k").collect())
-    parts, room = [[]], PART_BYTES
-    for seg, size in sizes:
-        if size // 8 > room and parts[-1]:
-            parts, room = [*parts, []], PART_BYTES
-        parts[-1].append(seg)
-        room -= size // 8
-    together = of(CHUNK).unionByName(counts.filter(F.col("kind") == COUNTS)).repartition("k").sortWithinPartitions("k", "kind")
-    known = np.zeros(segments, bool)
-    known[[s for s, _ in sizes]] = True
-    passes = []
-    for i, segs in enumerate(parts):
-        got = built.filter(F.col("seg").isin(segs)).select("seg", "data").toArrow() if segs else None
-        found = Filter(segments, dict(zip(got.column("seg").to_pylist(), got.column("data").to_pylist())) if got else {})
-        found.known = known
-        passes.append(together.mapInArrow(scored(spark.sparkContext.broadcast(found), segments, n_train, n_distinct, n_docs, i == 0), SCORES))
-    if len(passes) == 1:
-        return passes[0].drop("row")
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    same = [F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")]
-    return every.groupBy("row").agg(*same, F.sum("score").alias("score")).drop("row")
+    built = written(of(PAIRS).repartition("seg").sortWithinPartitions("seg").mapInArrow(filters(bits), ROW))
+    together, part = of(CHUNK).unionByName(counts.filter(F.col("kind") == COUNTS)), None
+    if (built.agg(F.sum("k")).first()[0] or 0) <= 8 * PART_BYTES:
+        got = built.select("seg", "data").toArrow()
+        part = spark.sparkContext.broadcast(Filter(segments, dict(zip(got.column("seg").to_pylist(), got.column("data").to_pylist()))))
+    else:
+        asking = of(CHUNK).mapInArrow(asked(segments), ROW)
+        together = together.unionByName(built.unionByName(asking).repartition("seg").sortWithinPartitions("seg", "kind").mapInArrow(probed(segments), ROW))
+    return together.repartition("k").sortWithinPartitions("k", "kind").mapInArrow(scored(part, n_train, n_distinct, n_docs), SCORES)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
