@@ -7,8 +7,9 @@ finish times and cut where the total budget is reached.
 No step sorts a whole source or the corpus in one task: prefix sums are taken over hash buckets of a source and then within a
 bucket, and the cut is found by two rounds of bucket sums before one exact sort of a single small bucket.
 
-Defined cases: null text counts 0 words; a null source is a source of its own, last in order; repeated rows are documents of
-their own; an empty table gives no rows; extra columns are kept by apply_mix() and ignored by mix().
+Defined cases: null text counts 0 words; a null source is a source of its own, last in order; rows are queued one by one, so rows
+that repeat a doc_id, or are equal in all, are documents of their own; rows with a null doc_id are shuffled by their text; an empty
+table gives no rows; extra columns are kept by apply_mix(), whatever their names, and ignored by mix().
 """
 
 from __future__ import annotations
@@ -44,27 +45,57 @@ def finish(passed: Column) -> Column:
     return (passed * F.col("source_size") + F.col("_upto")) / F.col("target")
 
 
+def source_key() -> Column:
+    """'a...' sorts by code point and before 'b', which stands for null."""
+    return F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))
+
+
+def digest() -> Column:
+    """By which a source is shuffled."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+
+
+#: The order within a source; rows that tie in all of it are alike to the queue.
+SHUFFLED = ("_h", "doc_id", "size")
+
+
+class Queue:
+    """What is known of all rows before they are queued: words by source and hash bucket, sources' targets, and the cut."""
+
+    def __init__(self, docs: DataFrame, weights=WEIGHTS, passes: int = MOST_PASSES, budget: int | None = None):
+        self.passes = passes
+        sized = written(docs.select("doc_id", source_key().alias("_s"), word_count(F.col("text")).alias("size"), digest().alias("_h")))
+        n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        self.digits = max(2, min(6, len(f"{max(1, n // 2000):x}")))  # of the hash: about two thousand rows of all in a bucket
+        sized = sized.withColumn("_b", F.substring("_h", 1, self.digits))
+        base = sized.groupBy("_s", "_b").agg(F.sum("size").alias("_n"))
+        goal = targets(sized, weights, passes, budget)
+        self.base = base.withColumn("_base", F.sum("_n").over(W.partitionBy("_s").orderBy("_b")) - F.col("_n")).drop("_n").join(goal, "_s")
+        self.rows = written(self.placed(sized))
+        self.cut = cut_at(self.rows, passes, total if budget is None else budget)
+
+    def placed(self, sized: DataFrame) -> DataFrame:
+        """Rows (_s, _b, _h, doc_id, size) with source_size, target and _upto: the source's words up to and with each."""
+        within = W.partitionBy("_s", "_b").orderBy(*SHUFFLED).rowsBetween(W.unboundedPreceding, 0)
+        return sized.join(self.base, ["_s", "_b"]).withColumn("_upto", F.col("_base") + F.sum("size").over(within)).drop("_b", "_base")
+
+    def takes(self) -> Column:
+        """How many times a placed row is taken; one without words never."""
+        if self.cut is None:
+            return F.lit(0)
+        last = F.struct(F.lit(self.cut[0]), F.lit(self.cut[1]), F.lit(self.cut[2]), F.lit(self.cut[3]).cast("long"))
+        return sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & (F.struct(finish(F.lit(e)), "_s", "_h", place_of_id()) <= last), 1).otherwise(0) for e in range(self.passes)), F.lit(0))
+
+
+def place_of_id() -> Column:
+    """A null doc_id comes before all others."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, passes: int = MOST_PASSES, budget: int | None = None) -> DataFrame:
     """docs (doc_id, source, text) -> doc_id, size, source_size, target, taken (words, repeats counted)."""
-    # 'a...' sorts by code point and before 'b', which stands for null
-    key = F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = written(docs.select("doc_id", key.alias("_s"), word_count(F.col("text")).alias("size"), digest.alias("_h")))
-    n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    digits = max(2, min(6, len(f"{max(1, n // 2000):x}")))  # of the hash: about two thousand rows of all in a bucket
-    sized = sized.withColumn("_b", F.substring("_h", 1, digits))
-    goal = targets(sized, weights, passes, budget)
-    base = sized.groupBy("_s", "_b").agg(F.sum("size").alias("_n"))
-    base = base.withColumn("_base", F.sum("_n").over(W.partitionBy("_s").orderBy("_b")) - F.col("_n")).drop("_n").join(goal, "_s")
-    within = W.partitionBy("_s", "_b").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    queued = written(sized.join(base, ["_s", "_b"]).withColumn("_upto", F.col("_base") + F.sum("size").over(within)).drop("_b", "_base"))
-    cut = cut_at(queued, passes, total if budget is None else budget)
-    if cut is None:
-        taken = F.lit(0)
-    else:
-        last = F.struct(F.lit(cut[0]), F.lit(cut[1]), F.lit(cut[2]), F.lit(cut[3]).cast("long"))
-        taken = sum((F.when((F.col("target") > 0) & (F.struct(finish(F.lit(e)), "_s", "_h", "doc_id") <= last), 1).otherwise(0) for e in range(passes)), F.lit(0))
-    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"), "_s")
+    queue = Queue(docs, weights, passes, budget)
+    return queue.rows.select("doc_id", "size", "source_size", "target", (F.col("size") * queue.takes()).cast("long").alias("taken"), "_s")
 
 
 def cut_at(queued: DataFrame, passes: int, budget: int) -> tuple | None:
@@ -87,19 +118,21 @@ def cut_at(queued: DataFrame, passes: int, budget: int) -> tuple | None:
         runs = runs.filter(F.col(c) == slot)
         if c == "_slot":
             first = slot
-    order = W.orderBy("_f", "_s", "_h", "doc_id").rangeBetween(W.unboundedPreceding, 0)
-    tail = runs.select("_f", "_s", "_h", "doc_id", "size").withColumn("_sum", F.sum("size").over(W.orderBy(F.struct("_f", "_s", "_h", "doc_id")).rangeBetween(W.unboundedPreceding, 0)) + before)
-    got = tail.filter(F.col("_sum") <= budget).agg(F.max(F.struct("_f", "_s", "_h", "doc_id")).alias("m")).first()["m"]
+    tail = runs.select(F.struct("_f", "_s", "_h", place_of_id().alias("_i")).alias("_at"), "size")
+    tail = tail.withColumn("_sum", F.sum("size").over(W.orderBy("_at").rangeBetween(W.unboundedPreceding, 0)) + before)
+    got = tail.filter(F.col("_sum") <= budget).agg(F.max("_at").alias("m")).first()["m"]
     if got is None:  # the cut lies at the start of this fine slot
         return (first / SLOTS + slot / SLOTS / SLOTS, "", "", -(1 << 62))
     return tuple(got)
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix with all their columns; a document taken k times is k rows, one not taken is none."""
-    cols = docs.columns
-    plan = mix(docs, **how).filter("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_k"))
-    return docs.join(plan, "doc_id").withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_k")))).select(*cols)
+    """The documents of the mix with all their columns; a row taken k times is k rows, one not taken is none. Whole rows are placed
+    in the queue as their sizes were, so each gets takes of its own; texts are exchanged once."""
+    queue = Queue(docs, **how)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), "doc_id", source_key().alias("_s"), word_count(F.col("text")).alias("size"), digest().alias("_h"))
+    placed = queue.placed(own.withColumn("_b", F.substring("_h", 1, queue.digits)))
+    return placed.select("_own", F.explode(F.array_repeat(F.lit(0), queue.takes()))).select("_own.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +140,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, coalesce('a' || source, 'b') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, coalesce('a' || source, 'b') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS h FROM documents),
 p AS (SELECT s, sum(size)::BIGINT AS ss FROM d GROUP BY s),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY s) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS w, 3 * ss AS lim, (sum(ss) OVER ())::BIGINT AS al FROM p),
 v AS (SELECT *, (al - coalesce(sum(lim) OVER (ORDER BY lim / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY lim / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
