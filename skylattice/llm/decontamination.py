@@ -5,8 +5,11 @@ corpus' own counts. Documents keep only positions of such words; each is joined
 offset of that word bounds where the window can start, lengths bound where it can end, and the words there are compared exactly.
 
 All of it is DataFrame expressions. The windows are broadcast only when their number is within MOST_BROADCAST; beyond that the
-same joins run shuffled. Defined cases: a null text has no words; null item texts and items without words have no windows;
-repeated doc_ids keep their rows but pool their hits; repeated item texts each count; extra columns are ignored.
+same joins run shuffled. Both ways give all hits. Defined cases: a null text has no words; null item texts and items without words
+have no windows; rows are judged one by one, under a number of their own, so a null or repeated doc_id changes nothing; items that
+repeat an item_id are one item with the windows of all its texts; an item with a null item_id hits words but is in no list and no
+number of ids; repeated item texts each count; an empty table gives no rows; extra columns are ignored, and
+kept by without_items(), whatever their names.
 """
 
 from __future__ import annotations
@@ -43,22 +46,25 @@ def among(ws: Column, terms: list[str]) -> Column:
 
 
 def placed(docs: DataFrame, terms: DataFrame, literal: bool) -> DataFrame:
-    """docs (doc_id, ws) -> doc_id, ws, at: where terms (word) occur. Without a literal set by a shuffled join of all words."""
+    """docs (ws) -> at: where terms (word) occur. Without a literal set by a shuffled join of all words, by _row."""
     if literal:
-        return docs.select("doc_id", "ws", among(F.col("ws"), [r[0] for r in terms.select(F.lower("word")).distinct().collect()]).alias("at"))
-    found = docs.select("doc_id", F.posexplode("ws").alias("i", "_t")).select("doc_id", (F.col("i") + 1).alias("i"), F.lower("_t").alias("word"))
-    found = found.join(terms.select(F.lower("word").alias("word")).distinct(), "word").groupBy("doc_id").agg(F.collect_set("i").alias("at"))
-    return docs.join(found, "doc_id", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+        return docs.select("*", among(F.col("ws"), [r[0] for r in terms.select(F.lower("word")).distinct().collect()]).alias("at"))
+    found = docs.select("_row", F.posexplode("ws").alias("i", "_t")).select("_row", (F.col("i") + 1).alias("i"), F.lower("_t").alias("word"))
+    found = found.join(terms.select(F.lower("word").alias("word")).distinct(), "word").groupBy("_row").agg(F.collect_set("i").alias("at"))
+    return docs.join(found, "_row", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs (doc_id, text), items (item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs (carried columns, text), items (item_id, text) -> carried columns, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = written(windows_of(items, span))
     vocabulary = windows.select(F.explode("w").alias("word")).distinct()
     n_windows, n_words = windows.count(), vocabulary.count()
     literal, small = n_words <= MOST_LITERAL, n_windows <= MOST_BROADCAST
     hint = F.broadcast if small else (lambda x: x)
-    ws = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    ws = docs.select(*carried, words(F.col("text")).alias("ws"))
+    numbered = lambda df: df.withColumn("_row", F.monotonically_increasing_id())
+    if not literal:  # the shuffled join of words goes by row, so rows are numbered in a table
+        ws = written(numbered(ws))
 
     # rarity of the benchmark's words over the whole corpus
     if literal:
@@ -72,18 +78,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     keyed = written(windows.join(rank, "w").select("w", "n", "items", F.concat_ws(" ", "w").alias("_text"), F.col("_r.word").alias("rare"), F.col("_r.off").alias("off")))
 
     around = F.transform("at", lambda i: F.struct(i.alias("pos"), F.element_at("ws", i).alias("word"), F.slice("ws", F.greatest(i - (span - 1), F.lit(1)), F.lit(2 * span - 1)).alias("ctx")))
-    scan = written(placed(ws, keyed.select(F.col("rare").alias("word")), literal).select("doc_id", F.size("ws").cast("long").alias("n_words"), around.alias("spots")))
-    seen = scan.select("doc_id", F.explode("spots").alias("c")).select("doc_id", "c.pos", "c.ctx", ascii_lower(F.col("c.word")).alias("rare"))
+    scan = placed(ws, keyed.select(F.col("rare").alias("word")), literal).select(*[c for c in ws.columns if c != "ws"], F.size("ws").cast("long").alias("n_words"), around.alias("spots"))
+    scan = written(numbered(scan) if literal else scan)
+    seen = scan.select("_row", F.explode("spots").alias("c")).select("_row", "c.pos", "c.ctx", ascii_lower(F.col("c.word")).alias("rare"))
     start = F.col("pos") - F.col("off")
     there = F.concat_ws(" ", F.slice("ctx", start - F.greatest(F.col("pos") - (span - 1), F.lit(1)) + 1, F.col("n")))
     fits = (F.lower(there) == F.lower("_text")) & (ascii_lower(there) == F.col("_text"))
-    hits = seen.join(hint(keyed), "rare").filter(start >= 1).filter(fits).select("doc_id", F.struct(start.alias("s"), F.col("n").alias("n")).alias("span"), "items")
-    per = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
+    hits = seen.join(hint(keyed), "rare").filter(start >= 1).filter(fits).select("_row", F.struct(start.alias("s"), F.col("n").alias("n")).alias("span"), "items")
+    per = hits.groupBy("_row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
     none = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate("spans", none, lambda a, x: F.struct((a["k"] + F.greatest(F.lit(0), x["s"] + x["n"] - F.greatest(a["end"], x["s"]))).alias("k"), F.greatest(a["end"], x["s"] + x["n"]).cast("long").alias("end")))["k"]
-    per = per.select("doc_id", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",").alias("_ids"))
-    out = scan.select("doc_id", "n_words").join(per, "doc_id", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("_ids", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    per = per.select("_row", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",").alias("_ids"))
+    out = scan.select("_row", *carried, "n_words").join(per, "_row", "left")
+    return out.select(*carried, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("_ids", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def without_items(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
+    """The rows whose text holds no window, with all their columns. Texts are told apart by 128 bits of hash."""
+    hashed = [F.xxhash64("text").alias("_a"), F.xxhash64(F.lit(1), "text").alias("_b")]
+    bad = decontaminate(docs.select(*hashed, "text"), items, span, ("_a", "_b")).filter("contaminated").select("_a", "_b").distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), *hashed)
+    return own.join(bad, ["_a", "_b"], "left_anti").select("_own.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
