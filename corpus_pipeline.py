@@ -6,6 +6,12 @@
 3. decontamination: documents that hold a window of a benchmark item go.
 4. mixing: sources are brought to their target weights; a document that is taken k times is k rows from here on.
 5. token_output: the ids of what is left are written in the binary format; one row a document, as read back from the files.
+
+Rows are judged one by one, so rows with a null or a repeated doc_id go through all stages: they are documents of their own to
+quality, decontamination, mixing and token output. The n-gram join goes by doc_id: a row with a null one links with nothing and
+stays, and rows that repeat one are one document, of which all rows stay or go. Null and empty texts go in the first stage, as
+they have no word. Empty tables of documents, benchmark items or labels give empty or unfiltered stages. Extra columns stay to the
+last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -27,8 +33,7 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontamination.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(judged.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
