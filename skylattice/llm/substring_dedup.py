@@ -14,8 +14,9 @@ the documents that can match it:
 4. Marks are united for each document and its words are deleted.
 
 Anchors of more than HOT runs (near copies of one passage) are dealt out window by window instead, where all that is equal is
-settled in the tasks, so no shard grows with a common passage. Texts are shuffled by doc_id once (the second join reads the same
-exchange again). Hashes of 64 bits route; matches within a shard compare words.
+settled in the tasks, so no shard grows with a common passage; a shard is streamed, and only its distinct runs are held. Texts are
+shuffled by doc_id once (the second join reads the same exchange again). Hashes of 64 bits route and find; nothing is removed
+before the words themselves have been compared, in the task's own texts or in a shard.
 
 Defined cases: null and empty texts have no words; doc_id is the key: rows that repeat a doc_id repeat its text, don't count as
 copies of each other, and each get the result; a null doc_id keeps all its words and is no reference; extra columns are kept by
@@ -107,13 +108,23 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], reach[last] - shift[last]
 
 
-def settle(key: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows equal in key and whole: which are of the smallest doc, and which of a later one."""
+def same_words(code: np.ndarray, start: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the stretches of n word codes from start are those of m from other, pair by pair."""
+    n = np.where(n == m, n, 0)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    wrong = code[np.repeat(start, n) + within] != code[np.repeat(other, n) + within]
+    return (np.bincount(np.repeat(np.arange(len(n)), n)[wrong], minlength=len(n)) == 0) & (n > 0)
+
+
+def settle(key: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows equal in key and whole: which are of the smallest doc, which of a later one, and a row of the former for each of the
+    latter."""
     order = np.lexsort((doc, whole, key))
     k, w, d = key[order], whole[order], doc[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])]) if len(k) else np.empty(0, bool)
-    first = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else d
-    return order[d == first], order[d > first]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else order
+    later = d > doc[head]
+    return order[~later], order[later], head[later]
 
 
 def rows(k, doc, start, n, kind) -> pa.RecordBatch:
@@ -132,12 +143,16 @@ def anchored(span: int, gram: int):
             if not batch.num_rows:
                 continue
             bounds, words = split_words(batch.column("text"))
-            h, _ = hashed_words(words)
+            coded = words.dictionary_encode()
+            code, h = coded.indices.to_numpy(zero_copy_only=False), hashed_words(words)[0]
             start, n, k, whole = runs_of(h, bounds, span, gram)
             row = np.searchsorted(bounds, start, "right") - 1
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
+            keep, gone, first = settle(k, whole, doc)
+            equal = same_words(code, start[gone], n[gone] + span - 1, start[first], n[first] + span - 1)
+            if not equal.all():  # one hash, other words: they go on
+                keep, gone = np.concatenate([keep, gone[~equal]]), gone[equal]
             start = start - bounds[row]
-            keep, gone = settle(k, whole, doc)
             yield rows(k[keep], doc[keep], start[keep], n[keep], np.full(len(keep), RUN))
             yield marks(doc[gone], start[gone], start[gone] + n[gone] + span - 1)
 
@@ -205,10 +220,12 @@ def contexts(span: int):
                         doc.append(d)
                         start.append(a)
                         n.append(c)
-            whole, _ = hashed_words(pa.array(text, pa.large_binary()))
+            texts = pa.array(text, pa.large_binary())
+            whole, _ = hashed_words(texts)
+            exact = texts.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
             key = np.array([signed(whole[i : i + 1])[0] if k is None else k for i, k in enumerate(key)], np.int64)
             doc, start, n = (np.array(x, np.int64) for x in (doc, start, n))
-            keep, gone = settle(key, whole, doc)
+            keep, gone, _ = settle(key, exact, doc)
             more = [np.concatenate([np.array(a, np.int64), b]) for a, b in zip(mark, (doc[gone], start[gone], start[gone] + n[gone] + span - 1))]
             m = marks(*more)
             yield pa.RecordBatch.from_arrays([*m.columns, pa.nulls(m.num_rows, pa.binary())], ["key", "doc", "p", "words"])
@@ -284,44 +301,41 @@ class SuffixAutomaton:
         return out
 
 
-def streamed(span: int):
-    """Shard by shard, sorted by kind, key, doc: streams each document's words through the automaton of those before it."""
+class Shard:
+    """One anchor's runs in order of doc_id: what is found of each, with the distinct runs of earlier documents held."""
 
-    def shard(group: list[tuple]) -> Iterator[tuple]:
+    def __init__(self, span: int):
+        self.span, self.doc, self.new = span, None, []
         # words added as they were found: equal words again are matched from end to end
-        whole, waiting, automaton = {}, [], None
-        i = 0
-        while i < len(group):
-            j = i
-            while j < len(group) and group[j][0] == group[i][0]:
-                j += 1
-            new = []
-            for doc, start, n, words in group[i:j]:
-                if words in whole:
-                    yield doc, start, start + n + span - 1
-                    continue
-                parts = words.split(b" ")
-                if whole:
-                    if automaton is None:
-                        automaton = SuffixAutomaton()
-                    for w, d in waiting:
-                        automaton.add(w.split(b" "), d)
-                    waiting = []
-                    found = automaton.matches(parts, span, doc)
-                    for s in found:
-                        yield doc, start + s, start + s + span
-                    if len(found) == n:
-                        continue
-                new.append((words, doc))
-            for words, doc in new:
-                if words not in whole:
-                    whole[words] = doc
-                    waiting.append((words, doc))
-            i = j
+        self.whole, self.waiting, self.automaton = set(), [], None
+
+    def step(self, doc: int, start: int, n: int, words: bytes) -> list[tuple[int, int, int]]:
+        """-> stretches of the document to remove."""
+        if doc != self.doc:  # the last document's runs become reference
+            for w, d in self.new:
+                if w not in self.whole:
+                    self.whole.add(w)
+                    self.waiting.append((w, d))
+            self.doc, self.new = doc, []
+        if words in self.whole:
+            return [(doc, start, start + n + self.span - 1)]
+        out = []
+        if self.whole:
+            self.automaton = self.automaton or SuffixAutomaton()
+            for w, d in self.waiting:
+                self.automaton.add(w.split(b" "), d)
+            self.waiting = []
+            out = [(doc, start + s, start + s + self.span) for s in self.automaton.matches(words.split(b" "), self.span, doc)]
+        if len(out) < n:
+            self.new.append((words, doc))
+        return out
+
+
+def streamed(span: int):
+    """Shard by shard, sorted by kind, key, doc: streams each document's words through the automaton of those before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        at = None
+        shard, at = None, None
         for batch in batches:
             start, n, kind = placed(batch.column("p").to_numpy())
             mark, spans = kind == MARK, []
@@ -330,16 +344,11 @@ def streamed(span: int):
                 batch, start, n = batch.filter(pa.array(~mark)), start[~mark], n[~mark]
             for k, doc, a, m, words in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist(), start.tolist(), n.tolist(), batch.column("words").to_pylist()):
                 if k != at:
-                    if len(group) > 1:
-                        spans += shard(group)
-                    group, at = [], k
-                group.append((doc, a, m, words))
+                    shard, at = Shard(span), k
+                spans += shard.step(doc, a, m, words)
             if spans:
                 d, s, e = merged(*(np.array(x, np.int64) for x in zip(*spans)))
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["doc", "start", "end"])
-        if len(group) > 1 and (spans := list(shard(group))):
-            d, s, e = merged(*(np.array(x, np.int64) for x in zip(*spans)))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["doc", "start", "end"])
 
     return run
 
