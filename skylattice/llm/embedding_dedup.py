@@ -224,7 +224,7 @@ def dense_links(usable: DataFrame, centres: np.ndarray, least: float) -> DataFra
         (inner if r["inner"] else other)[r["g"]] = r["k"]
         if r["inner"]:
             one[r["g"]] = (r["n"], r["c"])
-    out = usable.mapInArrow(tiled(centres, least, inner, other, TILE), "tile long, left boolean, right boolean, rim boolean, c long, n long, v array<double>")
+    out = usable.mapInArrow(tiled(centres, least, inner, other, TILE), f"tile long, left boolean, right boolean, rim boolean, c long, n long, v {dict(usable.dtypes)['v']}")
     out = out.repartition("tile").sortWithinPartitions("tile").mapInArrow(compared_tiles(least), "kind byte, c long, other long")
     if one:
         whole = F.broadcast(usable.sparkSession.createDataFrame([(g, *v) for g, v in one.items()], "g int, _n long, _c long"))
@@ -299,7 +299,7 @@ def compared(trees: int, least: float, block: int = 1024):
 
     def leaf_of(c, n, leaf, codes, x):
         order = np.argsort(c, kind="stable")
-        c, n, codes, x = c[order], n[order], codes[order], unit(x[order])
+        c, n, codes, x = c[order], n[order], codes[order], unit(x[order].astype(np.float64))
         linked, i_all, j_all = np.zeros(len(c), np.int64), [], []
         for s in range(0, len(c), block):
             for u in range(s, len(c), block):
@@ -338,7 +338,7 @@ def compared(trees: int, least: float, block: int = 1024):
             size = np.diff(lists.offsets.to_numpy())
             codes = np.full((len(leaf), int(size.max(initial=0))), -1)
             codes[np.repeat(np.arange(len(leaf)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
-            x = batch.column("v").flatten().to_numpy().reshape(len(leaf), -1).astype(np.float64)
+            x = batch.column("v").flatten().to_numpy().reshape(len(leaf), -1)
             cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
             for a, b in zip(cuts, cuts[1:]):
                 if b == a:
@@ -361,7 +361,7 @@ def links(usable: DataFrame, total: int, least: float, trees: int, leaf: int, sa
     centres = dense(x, total, leaf, least)
     rest = x[grouped(x, centres, least)[0] < 0] if len(centres) else x
     grown = forest(rest, round(total * len(rest) / len(x)), trees, leaf)
-    spread = usable.mapInArrow(routed(grown, centres, least), "c long, n long, leaf long, leaves array<long>, v array<double>")
+    spread = usable.mapInArrow(routed(grown, centres, least), f"c long, n long, leaf long, leaves array<long>, v {dict(usable.dtypes)['v']}")
     out = spread.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compared(len(grown), least), "kind byte, c long, other long")
     return out.union(dense_links(usable, centres, least)) if len(centres) else out
 
@@ -375,9 +375,11 @@ def dedup_embeddings(rows: DataFrame, least: float = LEAST, trees: int = TREES,
     # equal vectors are one class, named by its smallest id; -0.0 and 0.0 are equal
     classed = base.filter("v is not null").select("vec_id", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)).alias("v"))
     classes = written(classed.groupBy("v").agg(F.min("vec_id").alias("c"), F.count("*").alias("n")).select("c", "n", "v", F.size("v").alias("_d")))
+    # vectors travel in the type they came in
     named, found = classes.drop("_d"), []
+    sent = named.withColumn("v", F.col("v").cast(dict(rows.dtypes)["embedding"])) if dict(rows.dtypes)["embedding"] == "array<float>" else named
     for r in classes.groupBy("_d").count().filter("count > 1").orderBy("_d").collect():
-        found.append(written(links(named.filter(F.size("v") == r["_d"]), r["count"], least, trees, leaf, sample)))
+        found.append(written(links(sent.filter(F.size("v") == r["_d"]), r["count"], least, trees, leaf, sample)))
     out = reduce(DataFrame.union, found) if found else written(spark.createDataFrame([], "kind byte, c long, other long"))
     counts = out.filter("kind = 0").groupBy("c").agg(F.sum("other").alias("_l"))
     comps = connected_components(out.filter("kind = 1").select(F.col("c").alias("a"), F.col("other").alias("b")))
