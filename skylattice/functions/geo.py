@@ -68,6 +68,11 @@ def flight_level_metres(level: Column | float) -> Column | float:
     return level * 100 * 0.3048
 
 
+def base_altitude(levels: list[tuple[int, float, str]]) -> float:
+    """Metres of the layer on which a graph is built before it is lifted: the mean of its levels."""
+    return sum(m for _, m, _ in levels) / len(levels)
+
+
 def levels(raw: str | float | list, unit: str = "FL") -> list[tuple[int, float, str]]:
     """Flight levels from a number, a list or their text -> (index, metres, tag), distinct and ascending."""
     if isinstance(raw, str):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ ICAO = "^[A-Z]{4}$"
 KNOT, SPEEDS, DEFAULT_SPEED = 0.51444, (430, 450, 480), 450.0
 
 
+#: Rate from which a distribution's lower end is passed over.
+BAND = 500
+
+
 def clean_code(c: Column) -> Column:
     """Trimmed and upper-cased; a missing mark is null."""
     t = F.upper(F.trim(c))
@@ -60,6 +66,11 @@ def capacity(is_airport: Column, airport: int, enroute: int) -> Column:
     return F.when(is_airport, airport).otherwise(enroute)
 
 
+def airport_flag(identifier: Column, listed: Column, any_listed: Column) -> Column:
+    """Whether a vertex is an airport: its code is in the list, or, where the list is empty, looks like one."""
+    return F.when(any_listed, F.coalesce(listed, F.lit(False))).otherwise(is_icao(F.upper(F.trim(identifier))))
+
+
 def safe_int(c: Column) -> Column:
     """The whole number a text stands for, else -1."""
     return F.coalesce(c.cast("string").try_cast("double").cast("long"), F.lit(-1).cast("long"))
@@ -83,15 +94,23 @@ def uniform(seed: int, stream: str, *key: Column) -> Column:
 
 
 def poisson(rate: Column, u: Column) -> Column:
-    """Inverse distribution function, summed term by term up to ten deviations over the mean."""
+    """Inverse distribution function, summed term by term up to ten deviations over the mean. Terms are kept as logarithms, so a
+    rate of any size has its mass; from BAND on the terms that are lower by twelve deviations are passed over, as they add nothing."""
+    wide = F.when(rate < BAND, rate + 1).otherwise(12 * F.sqrt(rate))
+    first = F.greatest(F.lit(0.0), F.floor(rate - wide)).cast("int")
     top = (F.ceil(rate + 10 * F.sqrt(rate)) + 20).cast("int")
-    zero = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("s"), F.when(u >= F.exp(-rate), 1).otherwise(0).alias("k"))
+    # the first term by Stirling's series where it isn't exp(-rate)
+    n = F.greatest(first.cast("double"), F.lit(1.0))
+    factorial = n * F.log(n) - n + F.log(2 * math.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)
+    log_first = F.when(first == 0, -rate).otherwise(first * F.log(rate) - rate - factorial)
+    start = F.struct(log_first.alias("p"), F.exp(log_first).alias("s"), (first + F.when(u >= F.exp(log_first), 1).otherwise(0)).cast("int").alias("k"))
 
     def step(a, i):
-        p = a["p"] * rate / i
-        return F.struct(p.alias("p"), (a["s"] + p).alias("s"), (a["k"] + F.when(u >= a["s"] + p, 1).otherwise(0)).alias("k"))
+        p = a["p"] + F.log(rate / i)
+        s = a["s"] + F.exp(p)
+        return F.struct(p.alias("p"), s.alias("s"), (a["k"] + F.when(u >= s, 1).otherwise(0)).alias("k"))
 
-    return F.when(rate <= 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), top), zero, step)["k"])
+    return F.when(rate <= 0, 0).otherwise(F.aggregate(F.sequence(first + 1, top), start, step)["k"])
 
 
 def laplace(u: Column, scale: float) -> Column:

@@ -130,6 +130,8 @@ def shortest_costs(arcs: DataFrame, sources: DataFrame, most_rounds: int = 10_00
         best, fresh = both.drop("new"), both.filter("new").drop("new")
         if not fresh.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"costs still change after {most_rounds} rounds")
     before = best.select("src", F.col("node").alias("u"), F.col("dist").alias("du"))
     prev = before.join(arcs, "u").join(best.withColumnRenamed("node", "v"), ["src", "v"]).filter("du + w = dist and u <> v").groupBy("src", F.col("v").alias("node")).agg(F.min("u").alias("prev"))
     return best.join(prev, ["src", "node"], "left").select("src", "node", "dist", F.when(F.col("node") != F.col("src"), F.col("prev")).alias("prev"))
@@ -146,6 +148,8 @@ def routes(tree: DataFrame, wanted: DataFrame, most_rounds: int = 10_000) -> Dat
         if not walk.limit(1).count():
             break
         out.append(walk)
+    else:
+        raise RuntimeError(f"routes are longer than {most_rounds} steps")
     every = out[0]
     for w in out[1:]:
         every = every.unionByName(w)
@@ -181,6 +185,12 @@ def without_repeats(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("_b", F.lag("position").over(w)).filter(~F.col("_b").eqNullSafe(F.col("position")) | F.col("_b").isNull()).drop("_b")
 
 
+def chunks(vertices: DataFrame, size: int) -> DataFrame:
+    """vertices (id, ordinal) -> id, sector: groups of `size` in order, where there are no edges to grow along."""
+    place = first_appearance(vertices.select(F.col("id").alias("name"), "ordinal"), "name", F.col("ordinal"))
+    return place.select(F.col("name").alias("id"), F.format_string("SECTOR_%06d", (F.floor(F.col("id") / size) + 1).cast("long")).alias("sector"))
+
+
 def keep_first(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

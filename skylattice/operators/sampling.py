@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.functions.scalar import DEFAULT_SPEED, poisson, uniform
+from skylattice.session import cut
 
 
 def counts(rates: DataFrame, scale: float, seed: int, round_no: int = 0) -> DataFrame:
@@ -66,15 +67,22 @@ def destinations(rows: DataFrame, probs: DataFrame, frequency: DataFrame, seed:
     return out.withColumn("destination", other).drop("cdf", "_g")
 
 
-def bootstrapped(rows: DataFrame, pool: DataFrame, seed: int, *key: str, value: str = "duration_min", min_samples: int = 1) -> DataFrame:
-    """A sample for each row (origin, destination, key): of its pair's pool, else of all samples."""
+def bootstrapped(rows: DataFrame, pool: DataFrame, seed: int, *key: str, value: str = "duration_min", min_samples: int = 1, default: float | None = None) -> DataFrame:
+    """A sample for each row (origin, destination, key): of its pair's pool, else of all samples, else `default`."""
     order = W.partitionBy("origin", "destination").orderBy(value, "flight_id")
     pairs = pool.withColumn("_i", F.row_number().over(order) - 1)
     sizes = pool.groupBy("origin", "destination").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_samples)
     own = pairs.join(sizes, ["origin", "destination"]).select(F.col("origin").alias("_o"), F.col("destination").alias("_d"), "_i", F.col(value).alias("_v"))
-    # all samples, numbered over value ranges so that no task sorts them all
-    every = pool.groupBy(value).agg(F.count("*").alias("_c")).withColumn("_hi", F.sum("_c").over(W.orderBy(value))).select((F.col("_hi") - F.col("_c")).alias("_lo"), "_hi", F.col(value).alias("_v"))
+    # all samples, numbered by ranges of values and then within a range, so that no task sorts them all
+    ordered = cut(pool.groupBy(value).agg(F.count("*").alias("_c")).repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
+    base = ordered.groupBy("_p").agg(F.sum("_c").alias("_n")).withColumn("_base", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).drop("_n")  # a row a partition
+    ordered = ordered.withColumn("_to", F.sum("_c").over(W.partitionBy("_p").orderBy(value))).join(F.broadcast(base), "_p")
+    every = ordered.select((F.col("_base") + F.col("_to") - F.col("_c")).alias("_lo"), (F.col("_base") + F.col("_to")).alias("_hi"), F.col(value).alias("_v"))
     total = pool.count()
+    if not total:
+        if default is None:
+            raise ValueError(f"there is no {value} to draw from, and no default")
+        return rows.withColumn(value, F.lit(float(default)))
     u = uniform(seed, "boot", *[F.col(k) for k in key])
     drawn = rows.join(sizes, ["origin", "destination"], "left").withColumn("_u", u)
     good = drawn.filter("_n is not null").withColumn("_at", F.floor(F.col("_u") * F.col("_n")))

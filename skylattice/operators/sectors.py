@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
-from collections import deque
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,73 +14,87 @@ from pyspark.sql import functions as F
 from skylattice.operators.graph import components, first_appearance
 
 
-def grow_connected(order: list, links: dict, size: int) -> list[list]:
-    """Breadth-first groups of at most `size`, seeds and neighbours in the given order."""
-    place, free, out = {v: i for i, v in enumerate(order)}, set(order), []
-    for seed in order:
-        if seed not in free:
-            continue
-        group, seen, todo = [], {seed}, deque([seed])
-        while todo and len(group) < size:
-            v = todo.popleft()
-            group.append(v)
-            free.discard(v)
-            for y in sorted((y for y in links.get(v, {}) if y in free and y not in seen), key=place.__getitem__):
-                seen.add(y)
-                todo.append(y)
-        out.append(group)
-    return out
-
-
-def on_shortest_paths(links: dict, start, ends: set) -> dict:
-    """For every end the vertices of all shortest paths from start to it."""
-    dist, before, heap, done = {start: 0.0}, {start: set()}, [(0.0, start)], set()
-    while heap and not ends <= done:
-        d, v = heapq.heappop(heap)
-        if v in done:
+class Net:
+    """A component with its vertices numbered in order: of vertex i the neighbours to[first[i]:first[i + 1]], ascending."""
+
+    def __init__(self, n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray):
+        a, b, w = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([d, d])
+        by = np.lexsort((b, a))
+        self.n, self.to, self.metres = n, b[by].tolist(), w[by].tolist()
+        self.first = np.searchsorted(a[by], np.arange(n + 1)).tolist()
+
+    def around(self, i: int) -> Iterator[tuple[int, float]]:
+        for k in range(self.first[i], self.first[i + 1]):
+            yield self.to[k], self.metres[k]
+
+    def outward(self, seed: int, owner: list[int]) -> Iterator[int]:
+        """Free vertices in breadth-first order."""
+        line, reached = [seed], {seed}
+        for i in line:
+            yield i
+            fresh = [j for j, _ in self.around(i) if owner[j] < 0 and j not in reached]
+            reached.update(fresh)
+            line += fresh
+
+    def between(self, start: int, ends: set[int]) -> set[int]:
+        """All vertices on shortest paths from start to the ends: distances first, then a sweep back over them."""
+        dist, settled, missing = {start: 0.0}, [], len(ends)
+        heap, known = [(0.0, start)], set()
+        while heap and missing:
+            far, i = heapq.heappop(heap)
+            if i in known:
+                continue
+            known.add(i)
+            settled.append(i)
+            missing -= i in ends
+            for j, w in self.around(i):
+                if far + w < dist.get(j, float("inf")):
+                    dist[j] = far + w
+                    heapq.heappush(heap, (far + w, j))
+        on = ends & known
+        for i in reversed(settled):
+            if i in on:
+                on |= {j for j, w in self.around(i) if j in known and dist[j] + w == dist[i]}
+        return on
+
+
+def grow_connected(net: Net, size: int) -> list[int]:
+    """The sector of each vertex: the first `size` free vertices outward from the first free one, and again."""
+    owner, k = [-1] * net.n, 0
+    for seed in range(net.n):
+        if owner[seed] < 0:
+            for i in list(islice(net.outward(seed, owner), size)):
+                owner[i] = k
+            k += 1
+    return owner
+
+
+def grow_convex(net: Net, size: int) -> list[int]:
+    """Sectors in which all shortest paths between members stay: a vertex comes in only if the paths to all members run over
+    members or free vertices, which come in with it, so a sector can get larger than `size`."""
+    owner, k = [-1] * net.n, 0
+    for seed in range(net.n):
+        if owner[seed] >= 0:
             continue
-        done.add(v)
-        for y, w in links.get(v, {}).items():
-            if y not in dist or d + w < dist[y]:
-                dist[y], before[y] = d + w, {v}
-                heapq.heappush(heap, (d + w, y))
-            elif d + w == dist[y]:
-                before[y].add(v)
-    out = {}
-    for e in ends & done:
-        path, todo = {e}, [e]
-        while todo:
-            for p in before[todo.pop()]:
-                if p not in path:
-                    path.add(p)
-                    todo.append(p)
-        out[e] = path
-    return out
-
-
-def grow_convex(order: list, links: dict, size: int) -> list[list]:
-    """Groups in which all shortest paths between members stay: a vertex comes in only if the paths to all members run over
-    members or free vertices, which come in with it, so a group can get larger than `size`."""
-    free, out = dict.fromkeys(order), []
-    while free:
-        todo, group = deque([next(iter(free))]), {}
-        while todo and len(group) < size:
-            v = todo.popleft()
-            paths = on_shortest_paths(links, v, set(group))
-            need = set().union(*paths.values()) - set(group) - {v} if paths else set()
-            if any(x not in free for x in need):
+        members: set[int] = set()
+        line, waiting = [seed], {seed}
+        for i in line:
+            if len(members) >= size:
+                break
+            waiting.discard(i)
+            if owner[i] >= 0:
                 continue
-            new = [v, *sorted(need, key=order.index)]
-            for x in new:
-                group[x] = True
-                free.pop(x)
-            todo = deque(x for x in todo if x not in group)
-            for x in new:
-                todo.extend(y for y in links.get(x, {}) if y in free and y not in todo)
-        if not group:
-            break
-        out.append(list(group))
-    return out
+            with_it = net.between(i, members) - members - {i}
+            if all(owner[j] < 0 for j in with_it):
+                for j in (i, *sorted(with_it)):
+                    owner[j] = k
+                    members.add(j)
+                for j in (i, *sorted(with_it)):
+                    fresh = [x for x, _ in net.around(j) if owner[x] < 0 and x not in waiting]
+                    waiting.update(fresh)
+                    line += fresh
+        k += 1
+    return owner
 
 
 def sectors(vertices: DataFrame, edges: DataFrame, size: int, convex: bool = False) -> DataFrame:
@@ -91,13 +107,12 @@ def sectors(vertices: DataFrame, edges: DataFrame, size: int, convex: bool = Fal
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         inner, outer = pdf[pdf["ordinal"].isna()], pdf[pdf["ordinal"].notna()].sort_values(["ordinal", "a"])
-        adj: dict = {}
-        for u, v, d in zip(inner["a"], inner["b"], inner["d"]):
-            adj.setdefault(u, {})[v] = d
-            adj.setdefault(v, {})[u] = d
-        order = outer["a"].tolist()
-        groups = (grow_convex if convex else grow_connected)(order, adj, size)
-        return pd.DataFrame([(x, g[0]) for g in groups for x in g], columns=["id", "seed"])
+        names = pd.Index(outer["a"])
+        shortest = inner.assign(u=names.get_indexer(inner["a"]), v=names.get_indexer(inner["b"])).groupby(["u", "v"], as_index=False)["d"].min()
+        net = Net(len(names), shortest["u"].to_numpy(), shortest["v"].to_numpy(), shortest["d"].to_numpy())
+        owner = np.array((grow_convex if convex else grow_connected)(net, size))
+        _, seeds = np.unique(owner, return_index=True)  # sectors are numbered by their first vertices
+        return pd.DataFrame({"id": names, "seed": names[seeds[owner]]})
 
     grouped = own.unionByName(links).groupBy("component").applyInPandas(run, f"id {kind}, seed {kind}")
     seeds = vertices.join(grouped.select(F.col("seed").alias("id")).distinct(), "id", "left_semi")

@@ -92,13 +92,29 @@ def knn_attach(airports: DataFrame, points: DataFrame, k: int, metres: float) ->
     return some.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), F.col("s").alias("d")).unionByName(one)
 
 
-def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
-    """u, v, d: the nearest right point of each left one, by haversine, ties by id; for few left points."""
-    a = left.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "lat", "lon", "alt")])
-    b = right.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "lat", "lon", "alt")])
-    h = haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    best = a.join(b).groupBy("id_a").agg(F.min(F.struct(h.alias("h"), F.col("id_b").alias("v"), between().alias("d"))).alias("m"))
-    return best.select(F.col("id_a").alias("u"), "m.v", "m.d")
+def nearest(left: DataFrame, right: DataFrame, metres: float = 50_000.0) -> DataFrame:
+    """u, v, d: the nearest right point of each left one, by haversine, ties by id. Points are looked for within `metres`, and those
+    without any within four times as much, and so on to the other side of the earth, so far points are met only by what has no
+    near one."""
+    from skylattice.session import cut
+
+    a, b = left.select("id", "lat", "lon", "alt"), right.select("id", "lat", "lon", "alt")
+    if not b.limit(1).count():
+        a = a.limit(0)
+    rest, out = cut(a), []
+    while rest.limit(1).count():
+        best = near(rest, b, metres).groupBy("id_a").agg(F.min(F.struct("d", F.col("id_b").alias("v"), between().alias("s"))).alias("m"))
+        best = cut(best.select(F.col("id_a").alias("u"), F.col("m.v").alias("v"), F.col("m.s").alias("d")))
+        out.append(best)
+        if metres > math.pi * EARTH:
+            break
+        rest, metres = cut(rest.join(best.select(F.col("u").alias("id")), "id", "left_anti")), 4 * metres
+    if not out:
+        return a.select(F.col("id").alias("u")).limit(0).join(b.select(F.col("id").alias("v")).limit(0)).withColumn("d", F.lit(0.0))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def closest_pair(left: DataFrame, right: DataFrame) -> DataFrame:

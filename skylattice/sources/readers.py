@@ -108,8 +108,9 @@ def fixes(spark: SparkSession, path: str) -> DataFrame:
     return _first_named(rows.select("n", t[0].try_cast("double").alias("lat"), t[1].try_cast("double").alias("lon"), F.upper(t[2]).alias("id")))
 
 
-def aids(spark: SparkSession, path: str, ident_token: int = 7) -> DataFrame:
-    """id, lat, lon of a navigation text; lines that start with 99 are passed over. compat: ident_token 8."""
+def aids(spark: SparkSession, path: str, ident_token: int = 8) -> DataFrame:
+    """id, lat, lon of a navigation text; lines that start with 99 are passed over. The ident is token `ident_token` from 0, or the
+    last one; 7 is where the format itself has it."""
     t = F.split(F.trim("line"), r"\s+")
     rows = _lines(spark, path).filter(~F.trim("line").startswith("99") & (F.size(t) >= 3)).filter(t[0].try_cast("int").isin(*AID_CODES))
     ident = F.when(F.size(t) > ident_token, F.element_at(t, ident_token + 1)).otherwise(F.element_at(t, -1))

@@ -8,6 +8,7 @@ import os
 import random
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,14 +107,24 @@ def check_groups(groups, links, size, order):
         assert size is None or len(g) <= size
 
 
+def grown(grow, order, links, size):
+    """Groups of a dictionary of neighbours."""
+    u, v, d = zip(*((a, b, w) for a, x in links.items() for b, w in x.items() if a < b))
+    owner = grow(sectors.Net(len(order), np.array(u), np.array(v), np.array(d)), size)
+    groups = {}
+    for x, k in zip(order, owner):
+        groups.setdefault(k, []).append(x)
+    return [groups[k] for k in sorted(groups)]
+
+
 def test_growth_of_sectors():
     r = random.Random(4)
     path = {i: {} for i in range(7)}
     for i in range(6):
         path[i][i + 1] = path[i + 1][i] = 1.0
-    assert sectors.grow_connected(list(range(7)), path, 3) == [[0, 1, 2], [3, 4, 5], [6]]
+    assert grown(sectors.grow_connected, list(range(7)), path, 3) == [[0, 1, 2], [3, 4, 5], [6]]
     star = {0: {i: 1.0 for i in range(1, 6)}} | {i: {0: 1.0} for i in range(1, 6)}
-    assert sectors.grow_connected(list(range(6)), star, 3) == [[0, 1, 2], [3], [4], [5]]
+    assert grown(sectors.grow_connected, list(range(6)), star, 3) == [[0, 1, 2], [3], [4], [5]]
     for _ in range(15):
         n = 25
         links = {i: {} for i in range(n)}
@@ -121,13 +132,13 @@ def test_growth_of_sectors():
             a, b = r.randrange(n), r.randrange(n)
             if a != b:
                 links[a][b] = links[b][a] = float(r.randint(1, 5))
-        check_groups(sectors.grow_connected(list(range(n)), links, 4), links, 4, range(n))
-        convex = sectors.grow_convex(list(range(n)), links, 4)
+        check_groups(grown(sectors.grow_connected, list(range(n)), links, 4), links, 4, range(n))
+        convex = grown(sectors.grow_convex, list(range(n)), links, 4)
         check_groups(convex, links, None, range(n))
     cycle = {i: {} for i in range(6)}
     for a, b in ring(6):
         cycle[a][b] = cycle[b][a] = 1.0
-    assert sorted(map(sorted, sectors.grow_convex(list(range(6)), cycle, 3))) == sorted(map(sorted, [[0, 1, 5], [2, 3, 4]]))
+    assert sorted(map(sorted, grown(sectors.grow_convex, list(range(6)), cycle, 3))) == sorted(map(sorted, [[0, 1, 5], [2, 3, 4]]))
 
 
 def test_sectors_are_numbered_by_seed(spark):
@@ -258,7 +269,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "fix.dat").write_text("I\n1101 Version\n\n 50.0  8.0 alpha ENRT\nx y z\n51.0 9.0 ALPHA\n52.0 9.5 BETA\n99\n53.0 9.0 GAMMA\n")
     assert [(r["id"], r["lat"]) for r in readers.fixes(spark, readers.navigation_file(str(tmp_path), "fix")).orderBy("id").collect()] == [("ALPHA", 50.0), ("BETA", 52.0)]
     (tmp_path / "earth_nav.dat").write_text("I\n3 50.0 8.0 1 2 3 4 FFM ENRT name\n99 stop\n2 51.0 8.0 1 2\n4 1 1 1 1 1 1 XXX\n")
-    assert {r["id"] for r in readers.aids(spark, readers.navigation_file(str(tmp_path), "nav")).collect()} == {"FFM", "2"}
+    assert {r["id"] for r in readers.aids(spark, readers.navigation_file(str(tmp_path), "nav"), 7).collect()} == {"FFM", "2"}
+    assert {r["id"] for r in readers.aids(spark, readers.navigation_file(str(tmp_path), "nav")).collect()} == {"ENRT", "2"}
     (tmp_path / "od.csv").write_text("Origin,DESTINATION\neddf,lfpg\n")
     assert readers.od_pairs(spark, str(tmp_path / "od.csv")).count() == 1
     (tmp_path / "aircraft.csv").write_text("a,b\nAC1,450\n")
