@@ -13,16 +13,23 @@ ROTATED = "scenario string, flight_id string, aircraft_id string, origin string,
 
 def rotate(pdf: pd.DataFrame) -> pd.DataFrame:
     """Departures in order take the aircraft that is ready longest at their origin, or a new one."""
+    pdf = pdf.sort_values(["departure", "idx"], kind="stable", ignore_index=True)
+    start = pdf["departure"].to_numpy().astype("datetime64[us]").astype("int64")  # whole microseconds throughout
+    back = start + ((pdf["duration_min"] + pdf["tat_min"]) * 60e6).round().astype("int64").to_numpy()
     ready: dict[str, list] = defaultdict(list)
-    speed: dict[str, int] = {}
-    out = []
-    for i, r in enumerate(pdf.sort_values(["departure", "idx"], kind="stable").itertuples(index=False), 1):
-        heap = ready[r.origin]
-        craft = heapq.heappop(heap)[1] if heap and heap[0][0] <= r.departure else f"AC{len(speed) + 1:06d}"
-        speed.setdefault(craft, int(r.speed_kts))
-        heapq.heappush(ready[r.destination], (r.departure + pd.Timedelta(minutes=r.duration_min) + pd.Timedelta(minutes=r.tat_min), craft))
-        out.append((r.scenario, f"F{i:07d}", craft, r.origin, r.destination, r.departure, speed[craft]))
-    return pd.DataFrame(out, columns=["scenario", "flight_id", "aircraft_id", "origin", "destination", "departure", "speed_kts"])
+    speed: list[int] = []
+    crafts = []
+    for dep, end, origin, destination, knots in zip(start.tolist(), back.tolist(), pdf["origin"], pdf["destination"], pdf["speed_kts"].tolist()):
+        heap = ready[origin]
+        if heap and heap[0][0] <= dep:
+            craft = heapq.heappop(heap)[1]
+        else:
+            speed.append(int(knots))
+            craft = len(speed)
+        heapq.heappush(ready[destination], (end, craft))
+        crafts.append(craft)
+    flights = {"flight_id": [f"F{i:07d}" for i in range(1, len(pdf) + 1)], "aircraft_id": [f"AC{c:06d}" for c in crafts], "speed_kts": [speed[c - 1] for c in crafts]}
+    return pdf.assign(**flights)[["scenario", "flight_id", "aircraft_id", "origin", "destination", "departure", "speed_kts"]]
 
 
 def rotation(departures: DataFrame) -> DataFrame:

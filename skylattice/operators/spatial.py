@@ -121,10 +121,9 @@ def closest_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     """u, v, d: one row, the closest pair of two sets, ties by ids. The radius starts at the distance of any one pair, and only
     pairs in reach of the cells are looked at."""
     a, b = left.select("id", "lat", "lon", "alt"), right.select("id", "lat", "lon", "alt")
-    start = nearest(a.orderBy("id").limit(1), b).first()
-    if start is None:
-        return a.sparkSession.createDataFrame([], "u long, v long, d double")
-    found = near(a, b, float(start["d"]) * (1 + 1e-6) + 1.0)
+    one = a.orderBy("id").first()
+    start = b.agg(F.min(haversine(F.lit(one["lat"]), F.lit(one["lon"]), F.col("lat"), F.col("lon")))).first()[0] if one else None
+    found = near(a, b, float(start) * (1 + 1e-6) + 1.0) if start is not None else near(a.limit(0), b.limit(0), 1.0)
     return found.groupBy().agg(F.min(F.struct("d", F.col("id_a").alias("u"), F.col("id_b").alias("v"))).alias("m")).select("m.u", "m.v", "m.d")
 
 

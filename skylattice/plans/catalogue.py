@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo, scalar
 from skylattice.operators import fleet, graph, model, sampling, sectors, spatial
+from skylattice.plans import sequential
 from skylattice.plans import standins as S
 from skylattice.plans.standins import heads
 from skylattice.sinks import writers
@@ -413,33 +414,30 @@ def sample_without_replacement(spark, d):
     return sampling.thinned(S.table(spark, d, "events").select("event_id"), 500, 7, "event_id")
 
 
-# --- sequential kernels and sinks: no SQL ---------------------------------------------------------------------
+# --- sequential kernels and sinks ---------------------------------------------------------------------
 
 
-def departures(spark, d, n: int | None = None):
-    """Departures of a synthetic day with all their draws."""
-    rates = dep_rate_by_hour(spark, d)
-    drawn = sampling.events(sampling.counts(rates, 1.0, 7), "2024-02-01", MINUTES, 7) if n is None else sampling.exact_events(rates, n, "2024-02-01", MINUTES, 7)
-    keyed = drawn.withColumn("key", F.concat_ws("-", "origin", "bin", "idx"))
-    dest = sampling.destinations(keyed, od_time_model(spark, d), global_dest_freq(spark, d), 7, "key")
-    pool = model.durations(S.legs(spark, d))
-    timed = sampling.bootstrapped(dest.select("key", "origin", "bin", "departure", "destination"), pool, 7, "key")
-    timed = model.speed_classes(timed)
-    return timed.select(F.lit("s1").alias("scenario"), F.col("key").alias("idx"), F.col("origin").cast("string").alias("origin"), F.col("destination").cast("string").alias("destination"), "departure", "duration_min", (30 + 60 * scalar.uniform(7, "tat", F.col("key"))).alias("tat_min"), "speed_kts")
+def departures(spark, d):
+    """Every leg as a departure; the days are scenarios."""
+    legs = S.legs(spark, d)
+    return legs.select(
+        F.date_format("firstseen", "yyyy-MM-dd").alias("scenario"), F.col("flight_id").alias("idx"), F.col("origin").cast("string").alias("origin"), F.col("destination").cast("string").alias("destination"), F.col("firstseen").alias("departure"),
+        scalar.minutes_between(F.col("firstseen"), F.col("lastseen")).alias("duration_min"), (20 + F.col("flight_id") % 40).cast("double").alias("tat_min"), (430 + 25 * (F.col("flight_id") % 3)).cast("int").alias("speed_kts"),
+    )
 
 
-@query()
+@query(sequential.ROTATION)
 def rotation(spark, d):
-    return fleet.rotation(departures(spark, d))
+    return fleet.rotation(departures(spark, d)).withColumn("departure", F.col("departure").cast("timestamp_ntz"))
 
 
-@query()
+@query(sequential.OVERLAP_REPAIR)
 def overlap_repair(spark, d):
     span = horizon_clamp(spark, d).groupBy("flight_id").agg(F.min("time").alias("first"), F.max("time").alias("last"))
     return fleet.overlap_repair(S.flights(spark, d).join(span, "flight_id"), 96)
 
 
-@query()
+@query(sequential.BFS_SECTORS)
 def bfs_sectors(spark, d):
     return sectors.sectors(S.navpoints(spark, d), _pairs(spark, d), 20)
 
@@ -449,18 +447,35 @@ def convex_sectors(spark, d):
     return sectors.sectors(S.navpoints(spark, d), spatial.gabriel(_pairs(spark, d)), 8, convex=True)
 
 
-@query()
+FAR = {"CENTRAL_EUROPE": geo.bounds(S.CENTRAL_EUROPE), "NORTH": (50.0, 0.0, 60.0, 20.0), "FAR": (10.0, 100.0, 20.0, 117.0)}
+
+
+def _bridged(spark, method: str):
+    grid = spatial.grid_points(spark, list(FAR.items()), 5, 7, 0.0)
+    return graph.bridges(grid, spatial.grid_edges(grid), method).select("u", "v", metres())
+
+
+@query(sequential.bridges(FAR, 7, 5))
 def mst_bridges(spark, d):
-    grid = spatial.grid_points(spark, [*BOXES, ("far", (10.0, 100.0, 20.0, 110.0))], 5, 7, 0.0)
-    return graph.bridges(grid, spatial.grid_edges(grid), "mst").select("u", "v", metres())
+    return _bridged(spark, "mst")
 
 
-@query()
+@query(sequential.bridges(FAR, 7, 5))
+def greedy_bridges(spark, d):
+    return _bridged(spark, "greedy")
+
+
+@query(sequential.bridges(FAR, 7, 5, closest=True))
+def closest_bridges(spark, d):
+    return _bridged(spark, "closest")
+
+
+@query(sequential.MIN_SEPARATION)
 def min_separation(spark, d):
     return spatial.separated(S.vertices(spark, d), 10_000.0).select("id", "is_airport")
 
 
-@query()
+@query(sequential.SIMULATOR_SCRIPT)
 def simulator_script(spark, d):
     """Lines of the simulator's script over all trajectories."""
     t = S.trajectories(spark, d).groupBy("flight_id", "time").agg(F.min("position").alias("position"))
@@ -468,7 +483,7 @@ def simulator_script(spark, d):
     return writers.scenario_lines(t, S.flights(spark, d), model.speed_classes(S.aircrafts(spark, d), "x"), v, 900.0)
 
 
-@query()
+@query(sequential.SOLVER_EDGES)
 def solver_edges(spark, d):
     """The solver's integer edge table."""
     v = S.navpoints(spark, d)
