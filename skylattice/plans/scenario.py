@@ -1,23 +1,30 @@
 """The whole scenario: model, graph, sectors, sampled days, routes, repair and files, in one session.
 
 Parameters come from the command line, then the configuration, then the defaults. What a stage has written is kept when its
-parameters are the same, unless forced.
+parameters and inputs are the same, unless forced; a stage that is made anew is written beside the old one and takes its place
+when it is whole.
+
+    python -m skylattice.plans.scenario --config c.json --legs in/ --airports airports.csv --out out/ [--seeds 1;2 ...]
 """
 
 from __future__ import annotations
 
+import argparse
 import hashlib
 import json
+import warnings
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.functions.scalar import start_slot
+from skylattice.functions import geo
+from skylattice.functions.scalar import DEFAULT_SPEED, start_slot
 from skylattice.operators import fleet, graph, model, sampling, sectors, spatial
 from skylattice.session import cut
 from skylattice.sinks import writers
+from skylattice.sources import readers, storage
 
 
 @dataclass
@@ -40,6 +47,12 @@ class Parameters:
     nx: int = 5
     ny: int = 5
     altitude: float = 9144.0
+    #: grid, or points with edges by radius, gabriel or relative (neighbours)
+    graph: str = "grid"
+    levels: str = ""
+    min_separation_m: float = -1.0
+    solver: bool = False
+    script: bool = False
     max_edge_m: float = 400_000.0
     nearest: int = 4
     connect: str = "closest"
@@ -83,10 +96,32 @@ def grid(p: Parameters) -> list[tuple[float, int]]:
     return [(s, k) for s in p.scales for k in p.seeds]
 
 
-def current(folder: Path, mark: str, force: bool) -> bool:
-    """Whether a stage's files are there and were made with the same parameters."""
-    at = folder / "parameters.txt"
-    return not force and at.exists() and at.read_text() == mark
+def made(spark: SparkSession, folder: str, mark: str, force: bool, write: Callable[[str], None]) -> bool:
+    """Writes a stage's folder unless it is there with the same mark. The new folder is whole before it takes the old one's place."""
+    if not force and storage.exists(spark, f"{folder}/parameters.txt") and storage.read_text(spark, f"{folder}/parameters.txt") == mark:
+        return False
+    fresh = f"{folder}.making"
+    storage.remove(spark, fresh)
+    write(fresh)
+    storage.write_text(spark, f"{fresh}/parameters.txt", mark)
+    storage.remove(spark, folder)
+    storage.move(spark, fresh, folder)
+    return True
+
+
+def fingerprint(*tables: DataFrame | None) -> list:
+    """Number of rows and an order-free sum of row hashes of each table."""
+    row = lambda t: F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in t.columns]).cast("decimal(38,0)")
+    return [None if t is None else [str(x) for x in t.agg(F.count("*"), F.sum(row(t))).first()] for t in tables]
+
+
+def in_regions(ports: DataFrame, polygons: list[list[float]]) -> DataFrame:
+    """Airports in any of the polygons; where none is, polygons don't count."""
+    inside = ports.filter(geo.in_regions(F.col("lat"), F.col("lon"), polygons))
+    if polygons and not inside.limit(1).count():
+        warnings.warn("no airport lies in the regions; they are not used", stacklevel=2)
+        return ports
+    return inside
 
 
 def models(legs: DataFrame, p: Parameters) -> dict[str, DataFrame]:
@@ -105,18 +140,41 @@ def models(legs: DataFrame, p: Parameters) -> dict[str, DataFrame]:
     }
 
 
-def navigation(spark: SparkSession, ports: DataFrame, boxes: list, p: Parameters) -> tuple[DataFrame, DataFrame]:
-    """Grid points of the boxes with their neighbours, airports attached, and everything joined up."""
-    points = spatial.grid_points(spark, boxes, p.nx, p.ny, p.altitude)
-    fields_ = ("id", "lat", "lon", "alt")
-    air = ports.select(F.col("icao").alias("id"), "lat", "lon", F.lit(0.0).alias("alt"))
-    edges = spatial.grid_edges(points).unionByName(spatial.knn_attach(air, points.select(*fields_), p.nearest, p.max_edge_m))
-    v = air.withColumn("is_airport", F.lit(1)).unionByName(points.select(*fields_, F.lit(0).alias("is_airport")))
+def linked(points: DataFrame, p: Parameters) -> DataFrame:
+    """Edges among points by the scenario's rule."""
+    pairs = cut(spatial.radius_pairs(points, p.max_edge_m))
+    return {"radius": lambda x: x, "gabriel": spatial.gabriel, "relative": spatial.relative_neighbours}[p.graph](pairs)
+
+
+def navigation(spark: SparkSession, ports: DataFrame, boxes: list, p: Parameters, points: DataFrame | None = None, polygons: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """Grid points of the boxes with their neighbours, or given points (id, lat, lon, ordinal) of the regions with edges by rule;
+    airports attached, everything joined up and, where levels are asked for, lifted to them."""
+    up = geo.levels(p.levels) if p.levels else []
+    altitude, names = geo.base_altitude(up) if up else p.altitude, ("id", "lat", "lon", "alt")
+    air = ports.select(F.col("icao").alias("id"), "lat", "lon", F.lit(0.0).alias("alt"), F.lit(1).alias("is_airport"))
+    if p.graph == "grid":
+        grid_ = spatial.grid_points(spark, boxes, p.nx, p.ny, altitude)
+        inner, edges = grid_.select(*names, F.lit(0).alias("is_airport")), spatial.grid_edges(grid_)
+    else:
+        inner = points.filter(geo.in_regions(F.col("lat"), F.col("lon"), polygons or [])).join(air.select("id"), "id", "left_anti")
+        inner = inner.select("id", "lat", "lon", F.lit(float(altitude)).alias("alt"), F.lit(0).alias("is_airport"))
+    v = air.unionByName(inner)
     ids = v.select(F.col("id").alias("name"), (1 - F.col("is_airport")).alias("o"))
     numbers = graph.first_appearance(ids, "name", F.col("o")).select(F.col("name"), F.col("id").alias("ordinal"))
     v = cut(v.join(numbers, v["id"] == numbers["name"]).drop("name"))
+    if p.graph != "grid":
+        if p.min_separation_m >= 0:
+            v = cut(spatial.separated(v, p.min_separation_m))
+        edges = linked(v.filter("is_airport = 0").select(*names), p)
+    edges = edges.unionByName(spatial.knn_attach(v.filter("is_airport = 1").select(*names), v.filter("is_airport = 0").select(*names), p.nearest, p.max_edge_m))
     edges = cut(graph.graph(edges))
-    return v, cut(edges.unionByName(graph.bridges(v, edges, p.connect)))
+    edges = cut(edges.unionByName(graph.bridges(v, edges, p.connect)))
+    if not up:
+        return v, edges
+    high = spatial.expanded(v.select("id", "lat", "lon", "is_airport"), up)
+    order = v.select(F.col("id").alias("base"), "ordinal")
+    high = cut(high.join(order, "base").withColumn("ordinal", F.col("ordinal") * len(up) + F.greatest("level", F.lit(0))))
+    return high.select(*names, "is_airport", "ordinal"), cut(spatial.lifted(edges, high))
 
 
 def sampled(m: dict[str, DataFrame], p: Parameters, scale: float, seed: int) -> DataFrame:
@@ -127,11 +185,12 @@ def sampled(m: dict[str, DataFrame], p: Parameters, scale: float, seed: int) ->
         drawn = sampling.events(sampling.counts(m["airport_bins"], scale, seed), p.day, p.bin_minutes, seed).withColumn("round", F.lit(0))
     keyed = drawn.withColumn("key", F.concat_ws("-", "round", "origin", "bin", "idx"))
     to = sampling.destinations(keyed, m["od_time_model"], m["global_dest_freq"], seed, "key").select("key", "origin", "departure", "destination")
-    timed = sampling.bootstrapped(to, m["od_dur_dist"], seed, "key", min_samples=p.min_samples)
+    timed = sampling.bootstrapped(to, m["od_dur_dist"], seed, "key", min_samples=p.min_samples, default=90.0)
     speeds = m["od_dur_dist"].groupBy("duration_min").agg(F.min("speed_kts").alias("speed_kts"))
     tat = m["tat_dist"].select(F.col("flight_id"), F.col("tat_min"), F.lit("").alias("origin"), F.lit("").alias("destination"))
-    out = sampling.bootstrapped(timed, tat, seed + 1, "key", value="tat_min")
-    return out.join(speeds, "duration_min").select(F.lit("day").alias("scenario"), F.col("key").alias("idx"), "origin", "destination", "departure", "duration_min", "tat_min", F.col("speed_kts").cast("int").alias("speed_kts"))
+    out = sampling.bootstrapped(timed, tat, seed + 1, "key", value="tat_min", default=0.0)
+    out = out.join(speeds, "duration_min", "left").withColumn("speed_kts", F.coalesce(F.col("speed_kts").cast("double"), F.lit(DEFAULT_SPEED)))
+    return out.select(F.lit("day").alias("scenario"), F.col("key").alias("idx"), "origin", "destination", "departure", "duration_min", "tat_min", F.col("speed_kts").cast("int").alias("speed_kts"))
 
 
 def filed(flights: DataFrame, vertices: DataFrame, edges: DataFrame, p: Parameters) -> tuple[DataFrame, DataFrame]:
@@ -159,35 +218,93 @@ def filed(flights: DataFrame, vertices: DataFrame, edges: DataFrame, p: Paramete
     return moved, flights.drop("aircraft_id").join(fixed.select("flight_id", F.col("new_aircraft_id").alias("aircraft_id")), "flight_id")
 
 
-def run(spark: SparkSession, legs: DataFrame, ports: DataFrame, p: Parameters, out: str, boxes: list) -> list[str]:
+def sector_tables(v: DataFrame, e: DataFrame, p: Parameters) -> tuple[DataFrame, DataFrame]:
+    """id, capacity of all vertices, and id, sector: grown among the enroute vertices, airports alone."""
+    enroute = v.filter("is_airport = 0")
+    inner = e.join(enroute.select(F.col("id").alias("u")), "u", "left_semi").join(enroute.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v", "d")
+    grouped = sectors.sectors(enroute.select("id", "ordinal"), inner, p.sector_size, p.convex).select("id", "sector")
+    own = v.filter("is_airport = 1").select("id", F.concat(F.lit("SECTOR_SINGLE_"), "id").alias("sector"))
+    size = F.when(F.col("is_airport") == 1, p.airport_capacity).otherwise(p.enroute_capacity)
+    return v.select("id", size.alias("capacity")), cut(grouped.unionByName(own))
+
+
+def run(spark: SparkSession, legs: DataFrame, ports: DataFrame, p: Parameters, out: str, boxes: list, points: DataFrame | None = None, polygons: list | None = None) -> list[str]:
     """Writes everything under a new or known folder and returns the names of the datasets."""
-    root, m = Path(out), {k: cut(v) for k, v in models(legs, p).items()}
-    mark = hashlib.sha256(json.dumps(asdict(p) | {"force": None}, sort_keys=True).encode()).hexdigest()
-    v, e = navigation(spark, ports, boxes, p)
-    if not current(root / "model", mark, p.force):
-        writers.model_artifacts(str(root / "model"), m, p.bin_minutes)
-        (root / "model/parameters.txt").write_text(mark)
-    if not current(root / "navgraph", mark, p.force):
-        writers.graph_files(str(root / "navgraph"), v, e)
-        enroute = v.filter("is_airport = 0")
-        inner = e.join(enroute.select(F.col("id").alias("u")), "u", "left_semi").join(enroute.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v", "d")
-        grouped = sectors.sectors(enroute.select("id", "ordinal"), inner, p.sector_size, p.convex).select("id", "sector")
-        own = v.filter("is_airport = 1").select("id", F.concat(F.lit("SECTOR_SINGLE_"), "id").alias("sector"))
-        size = F.when(F.col("is_airport") == 1, p.airport_capacity).otherwise(p.enroute_capacity)
-        writers.sector_files(str(root / "navgraph"), v.select("id", size.alias("capacity")), grouped.unionByName(own))
-        (root / "navgraph/parameters.txt").write_text(mark)
+    ports = cut(in_regions(ports, polygons or []))
+    inputs = [fingerprint(legs, ports, points), boxes, polygons]
+    mark = hashlib.sha256(json.dumps([asdict(p) | {"force": None}, inputs], sort_keys=True, default=str).encode()).hexdigest()
+    m = {k: cut(x) for k, x in models(legs, p).items()}
+    v, e = navigation(spark, ports, boxes, p, points, polygons)
+    capacities, assigned = sector_tables(v, e, p)
+
+    def graph_stage(folder: str) -> None:
+        writers.graph_files(folder, v, e)
+        writers.sector_files(folder, capacities, assigned)
+        report = graph.sector_connectivity(assigned, e).select("sector", "n_components", F.array_join(F.transform("sizes", lambda x: x.cast("string")), " ").alias("sizes"))
+        writers.csv(report, f"{folder}/sector_connectivity.csv", "sector")
+        writers.document(spark, f"{folder}/run_config.json", asdict(p))
+
+    def model_stage(folder: str) -> None:
+        writers.model_artifacts(folder, m, p.bin_minutes)
+        writers.document(spark, f"{folder}/run_config.json", asdict(p))
+
+    made(spark, f"{out}/model", mark, p.force, model_stage)
+    made(spark, f"{out}/navgraph", mark, p.force, graph_stage)
     names = []
     for scale, seed in grid(p):
         name = dataset_name(scale, seed)
-        folder = root / name
-        if not current(folder, mark, p.force):
-            flights = cut(fleet.rotation(sampled(m, p, scale, seed)))
-            if flights.limit(2).count() < 2:
-                continue  # a day of one flight is none
-            rows, flights = filed(flights, v, e, p)
-            writers.synthetic_day(str(folder), flights)
-            writers.csv(rows.select(F.col("flight_id").alias("Flight_ID"), F.col("position").alias("Position"), F.col("time").alias("Time")), str(folder / "filed_flights.csv"), "Flight_ID", "Time")
-            (folder / "parameters.txt").write_text(mark)
+        folder = f"{out}/{name}"
+        if not p.force and storage.exists(spark, f"{folder}/parameters.txt") and storage.read_text(spark, f"{folder}/parameters.txt") == mark:
+            names.append(name)
+            continue
+        day = cut(fleet.rotation(sampled(m, p, scale, seed)))
+        if day.limit(2).count() < 2:
+            storage.remove(spark, folder)
+            continue  # a day of one flight is none
+        rows, flights = filed(day, v, e, p)
+
+        def day_stage(folder: str, rows: DataFrame = rows, flights: DataFrame = flights, seed: int = seed) -> None:
+            writers.synthetic_day(folder, flights)
+            writers.csv(rows.select(F.col("flight_id").alias("Flight_ID"), F.col("position").alias("Position"), F.col("time").alias("Time")), f"{folder}/filed_flights.csv", "Flight_ID", "Time", whole=False)
+            craft = flights.groupBy("aircraft_id").agg(F.min("speed_kts").alias("speed_kts"))
+            if p.solver:
+                lines = writers.edge_lines(e, v).select(F.col("V0").alias("u"), F.col("V1").alias("v"), F.col("D").cast("double").alias("d")).withColumn("line", F.concat_ws(",", "u", "v"))
+                order = graph.first_appearance(lines, "line", F.col("line")).select("line", F.col("id").alias("ordinal"))
+                ordered = lines.join(order, "line").drop("line")
+                tables = writers.solver_tables(v, ordered, flights, rows, craft, capacities, assigned.join(v.select("id", "ordinal"), "id"))
+                writers.solver_bundle(f"{folder}/solver", tables, seed)
+            if p.script:
+                writers.scenario(f"{folder}/scenario.scn", writers.scenario_lines(rows, flights, craft, v, writers.slot_seconds(None, p.granularity)))
+            writers.document(spark, f"{folder}/run_config.json", asdict(p) | {"scale": scale, "seed": seed})
+
+        made(spark, folder, mark, True, day_stage)
         names.append(name)
-    writers.document(str(root / "manifest.json"), {"datasets": names, "parameters": asdict(p)})
+    writers.document(spark, f"{out}/manifest.json", {"datasets": names, "parameters": asdict(p)})
     return names
+
+
+def main(argv: list[str] | None = None) -> list[str]:
+    """The command line: files in, a scenario's folders out."""
+    from skylattice.session import session, ship
+
+    parser = argparse.ArgumentParser(prog="skylattice.plans.scenario")
+    for name in ("config", "legs", "airports", "out", "fixes", "aids"):
+        parser.add_argument(f"--{name}", required=name in ("legs", "airports", "out"))
+    for f in fields(Parameters):
+        parser.add_argument(f"--{f.name.replace('_', '-')}")
+    given = vars(parser.parse_args(argv))
+    spark = session("scenario")
+    ship(spark)
+    cfg = readers.config(spark, given["config"]) if given["config"] else {}
+    kinds = {f.name: f.type for f in fields(Parameters)}
+    own = {k: {"int": int, "float": float}.get(kinds[k], str)(x) for k, x in given.items() if k in kinds and x is not None}
+    areas = readers.regions(cfg, "poly{}", "world")
+    legs = readers.parsed_times(readers.flight_list(spark, given["legs"])).withColumn("flight_id", F.monotonically_increasing_id().cast("string"))
+    found = [f(spark, given[k]) for k, f in (("fixes", readers.fixes), ("aids", readers.aids)) if given[k]]
+    points = graph.keep_first(found[0].unionByName(found[1]) if len(found) > 1 else found[0], ["id"], "ordinal") if found else None
+    boxes = [(name, geo.bounds(polygon) if polygon else (-60.0, -180.0, 75.0, 180.0)) for name, polygon in areas]
+    return run(spark, cut(legs), readers.airports(spark, given["airports"]), Parameters.of(cfg, own), given["out"], boxes, points, [polygon for _, polygon in areas if polygon])
+
+
+if __name__ == "__main__":
+    main()

@@ -20,15 +20,21 @@ def session(app: str = "skylattice", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. In local mode one is made where none is set; a cluster has to name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_shared_dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark._shared_dir = tempfile.mkdtemp(prefix="skylattice-")
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, as a table in the cluster's shared checkpoint folder; a temporary one only where none is
-    set. A table, as a checkpoint would keep size estimates that multiply from round to round."""
+    """The rows without their lineage, as a table in the cluster's shared checkpoint folder. A table, as a checkpoint would keep
+    size estimates that multiply from round to round."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_shared_dir", None) or tempfile.mkdtemp(prefix="skylattice-")
-        spark._shared_dir = folder
-    path = f"{folder}/t-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

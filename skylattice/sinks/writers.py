@@ -1,26 +1,27 @@
-"""Writers of model artifacts, graphs, flights, solver bundles and simulator scenarios. Paths are new; nothing is read and
-overwritten in place."""
+"""Writers of model artifacts, graphs, flights, solver bundles and simulator scenarios, on any file system. Paths are new; nothing is
+read and overwritten in place."""
 
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.scalar import DEFAULT_SPEED, clock
+from skylattice.operators.model import all_numeric
 from skylattice.operators.graph import first_appearance, without_repeats
+from skylattice.sources import storage
 
 
-def csv(df: DataFrame, path: str, *order: str) -> None:
-    """One sorted CSV folder with a header."""
-    (df.orderBy(*order) if order else df).coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+def csv(df: DataFrame, path: str, *order: str, whole: bool = True) -> None:
+    """A sorted CSV folder with headers: one file, or (`whole=False`, for what grows with the flights) files that follow each other."""
+    rows = df.orderBy(*order) if order else df
+    (rows.coalesce(1) if whole else rows).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def document(path: str, content: dict) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(content, indent=2, default=str))
+def document(spark: SparkSession, path: str, content: dict) -> None:
+    storage.write_text(spark, path, json.dumps(content, indent=2, default=str))
 
 
 def model_artifacts(folder: str, models: dict, minutes: int) -> None:
@@ -35,8 +36,8 @@ def model_artifacts(folder: str, models: dict, minutes: int) -> None:
 
 def synthetic_day(folder: str, flights: DataFrame) -> None:
     when = F.date_format("departure", "yyyy-MM-dd'T'HH:mm:ssZ").alias("departure_time")
-    csv(flights.select("flight_id", "aircraft_id", "origin", "destination", when), f"{folder}/flights.csv", "flight_id")
-    csv(flights.select("aircraft_id", "speed_kts").distinct(), f"{folder}/aircrafts.csv", "aircraft_id")
+    csv(flights.select("flight_id", "aircraft_id", "origin", "destination", when), f"{folder}/flights.csv", "flight_id", whole=False)
+    csv(flights.select("aircraft_id", "speed_kts").distinct(), f"{folder}/aircrafts.csv", "aircraft_id", whole=False)
 
 
 def graph_files(folder: str, vertices: DataFrame, edges: DataFrame) -> None:
@@ -44,7 +45,10 @@ def graph_files(folder: str, vertices: DataFrame, edges: DataFrame) -> None:
     if missing:
         raise ValueError(f"vertices lack {', '.join(sorted(missing))}")
     airport = F.coalesce("is_airport", F.lit(0)) if "is_airport" in vertices.columns else F.lit(0)
-    csv(vertices.select(F.col("id").alias("IDENTIFIER"), F.col("lat").alias("LAT"), F.col("lon").alias("LON"), F.col("alt").alias("ALTITUDE"), airport.alias("IS_AIRPORT")), f"{folder}/vertices.csv", "IDENTIFIER")
+    # in the order that edges by number refer to
+    order = "ordinal" if "ordinal" in vertices.columns else "id"
+    rows = vertices.orderBy(order).select(F.col("id").alias("IDENTIFIER"), F.col("lat").alias("LAT"), F.col("lon").alias("LON"), F.col("alt").alias("ALTITUDE"), airport.alias("IS_AIRPORT"))
+    csv(rows, f"{folder}/vertices.csv")
     csv(edge_lines(edges, vertices), f"{folder}/edges.csv", "V0", "V1")
 
 
@@ -78,12 +82,14 @@ def _numbers(rows: DataFrame) -> DataFrame:
 
 def solver_tables(vertices: DataFrame, edges: DataFrame, flights: DataFrame, filed: DataFrame, aircraft: DataFrame, capacities: DataFrame, assignment: DataFrame) -> dict[str, DataFrame]:
     """The seven integer tables of the solver and the three maps. Flights without a filed route, and rows of unknown flights or
-    vertices, are left out; sectors that are no vertex are dropped."""
+    vertices, are left out; sectors that are no vertex are dropped. Flights and aircraft are numbered as they first appear among
+    the flights (column `ordinal`, where there is one, else by flight_id)."""
     vid = vertex_numbers(edges, vertices)
     known = flights.join(filed.select("flight_id").distinct(), "flight_id", "left_semi")
-    fid = _numbers(known.select(F.col("flight_id").alias("id"), F.col("flight_id").alias("o")))
+    at = F.col("ordinal") if "ordinal" in flights.columns else F.col("flight_id")
+    fid = _numbers(known.groupBy(F.col("flight_id").alias("id")).agg(F.min(at).alias("o")))
     used = known.select("aircraft_id").distinct()
-    aid = _numbers(used.select(F.col("aircraft_id").alias("id"), F.col("aircraft_id").alias("o")))
+    aid = _numbers(known.groupBy(F.col("aircraft_id").alias("id")).agg(F.min(at).alias("o")))
     # numbers get names of their own, as columns are matched without regard to case
     to = lambda m, key, out: m.select(F.col("id").alias(key), F.col("number").alias(out))
     named = lambda df, **cols: df.select(*[F.col(c).alias(n) for n, c in cols.items()])
@@ -101,13 +107,33 @@ def solver_tables(vertices: DataFrame, edges: DataFrame, flights: DataFrame, fil
     }
 
 
+def airport_vertices(vertices: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """id of the airports among the vertices (id, ordinal, is_airport): those of the list (code: identifiers, or numbers where all are),
+    else the flagged ones; none of either is an empty table."""
+    if listed is None:
+        return vertices.filter("is_airport = 1").select("id")
+    code = F.upper(F.trim(F.col("code").cast("string")))
+    if listed.agg(all_numeric(listed, "code").alias("x")).first()["x"]:
+        return vertices.join(listed.select(code.try_cast("double").cast("long").alias("ordinal")).distinct(), "ordinal", "left_semi").select("id")
+    return vertices.join(listed.select(code.alias("id")).distinct(), "id", "left_semi").select("id")
+
+
+def id_maps(folder: str, tables: dict[str, DataFrame]) -> None:
+    """The maps of identifiers to numbers and back, a row each, as JSON lines."""
+    for name in ("vertices", "flights", "airplanes"):
+        rows = tables[f"_{name}"].select(F.col("id").cast("string").alias("id"), "number")
+        rows.orderBy("number").write.mode("errorifexists").json(f"{folder}/mappings/id_maps/{name}")
+
+
 def solver_bundle(root: str, tables: dict[str, DataFrame], seed: int, n_flights: int | None = None) -> str:
     """Writes the bundle under NNNNNNN_SEEDxx and returns its folder."""
+    spark = tables["flights"].sparkSession
     n = n_flights if n_flights is not None else tables["flights"].select(F.countDistinct("Flight_ID")).first()[0]
     folder = f"{root}/{n:07d}_SEED{seed:02d}"
     for name, df in tables.items():
-        csv(df, f"{folder}/{name}.csv" if name[0] != "_" else f"{folder}/mappings/{name[1:]}_map.csv", *df.columns[:2])
-    document(f"{folder}/transform_manifest.json", {"n_flights": n, "seed": seed, "files": sorted(f"{k}.csv" for k in tables if k[0] != "_")})
+        csv(df, f"{folder}/{name}.csv" if name[0] != "_" else f"{folder}/mappings/{name[1:]}_map.csv", *df.columns[:2], whole=name in ("airports", "sectors", "airplanes"))
+    id_maps(folder, tables)
+    document(spark, f"{folder}/transform_manifest.json", {"n_flights": n, "seed": seed, "files": sorted(f"{k}.csv" for k in tables if k[0] != "_")})
     return folder
 
 

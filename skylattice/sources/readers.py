@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.scalar import BAD_TOKENS, ICAO, clean_code
 from skylattice.operators.model import all_numeric, cleaned, renormalised, same_day
+from skylattice.sources import storage
 
 #: The columns of a flight list.
 FLIGHT_LIST = ("callsign", "number", "aircraft_uid", "typecode", "origin", "destination", "firstseen", "lastseen", "day", "latitude_1", "longitude_1", "altitude_1", "latitude_2", "longitude_2", "altitude_2")
@@ -26,7 +26,7 @@ AID_CODES = (2, 3, 12, 13)
 
 def text_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if Path(path).is_dir():
+    if storage.is_folder(spark, path):
         reader = reader.option("pathGlobFilter", "*.csv")
     df = reader.csv(path)
     if columns is None:
@@ -52,7 +52,7 @@ def flight_list(spark: SparkSession, path: str, day: str | None = None, start: s
     """Legs of one file or of all CSV files in a folder, filtered to a day or range, with clean codes."""
     if (start is None) != (end is None):
         raise ValueError("a range needs both its ends")
-    if Path(path).is_dir() and not list(Path(path).glob("*.csv")):
+    if storage.is_folder(spark, path) and not any(n.endswith(".csv") for n in storage.names(spark, path)):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in KEPT))
     df = text_csv(spark, path, FLIGHT_LIST)
     return cleaned(same_day(df, day, start, end).select(*KEPT))
@@ -81,7 +81,7 @@ def airports(spark: SparkSession, path: str, icao_only: bool = True) -> DataFram
 
 def icao_set(spark: SparkSession, path: str | None) -> DataFrame:
     """icao: all four-letter codes of the three code columns; none where there is no file."""
-    if not path or not Path(path).exists():
+    if not path or not storage.exists(spark, path):
         return spark.createDataFrame([], "icao string")
     df = text_csv(spark, path)
     cols = [c for c in df.columns if c.lower() in ("icao_code", "ident", "gps_code")]
@@ -117,10 +117,10 @@ def aids(spark: SparkSession, path: str, ident_token: int = 8) -> DataFrame:
     return _first_named(rows.select("n", t[1].try_cast("double").alias("lat"), t[2].try_cast("double").alias("lon"), F.upper(ident).alias("id")))
 
 
-def navigation_file(folder: str, name: str) -> str:
+def navigation_file(spark: SparkSession, folder: str, name: str) -> str:
     """fix or nav data under either of its usual names."""
     for candidate in (f"{folder}/{name}.dat", f"{folder}/earth_{name}.dat"):
-        if Path(candidate).exists():
+        if storage.exists(spark, candidate):
             return candidate
     raise FileNotFoundError(f"{folder}/{name}.dat")
 
@@ -135,7 +135,7 @@ def od_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def aircraft(spark: SparkSession, folder: str) -> DataFrame:
     for name in ("aircrafts.csv", "aircraft.csv"):
-        if Path(f"{folder}/{name}").exists():
+        if storage.exists(spark, f"{folder}/{name}"):
             df = resolve(text_csv(spark, f"{folder}/{name}"), {"aircraft_id": ("id", "airplane_id"), "speed_kts": ("speed", "speed_knots")}, positional=True)
             return df.select("aircraft_id", F.col("speed_kts").try_cast("double").alias("speed_kts")).dropna()
     raise FileNotFoundError(f"{folder}/aircrafts.csv")
@@ -164,12 +164,33 @@ def artifacts(spark: SparkSession, folder: str) -> dict:
     }
 
 
+def in_order(rows: DataFrame, mark: str) -> DataFrame:
+    """ordinal: row numbers from 0 in the order of monotonically increasing ids, from the sizes of the partitions that gave them."""
+    part = F.shiftright(mark, 33)
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    base = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row a partition
+    out = rows.withColumn("_p", part).join(F.broadcast(base), "_p")
+    return out.withColumn("ordinal", F.col("_base") + F.col(mark).bitwiseAND((1 << 33) - 1)).drop("_p", "_base", mark)
+
+
+def assignment(spark: SparkSession, path: str) -> DataFrame:
+    """id, sector as whole numbers; rows in which either isn't one go."""
+    df = resolve(text_csv(spark, path), {"id": ("navaid_id", "vertex"), "sector": ("sector_id",)}, positional=True)
+    return df.select(*[F.col(c).try_cast("double").cast("long").alias(c) for c in ("id", "sector")]).dropna()
+
+
+def integer_edges(spark: SparkSession, path: str) -> DataFrame:
+    """u, v, d with whole numbers as ends, of repeated edges the last."""
+    df = resolve(text_csv(spark, path), {"u": ("source", "v0", "from"), "v": ("target", "v1", "to"), "d": ("dist_m", "dist", "weight")}, positional=True)
+    return df.select(*[F.col(c).try_cast("double").cast("long").alias(c) for c in ("u", "v")], F.col("d").try_cast("double").alias("d")).dropna(subset=["u", "v"])
+
+
 def graph_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """vertices (id, lat, lon, alt, is_airport, ordinal) and edges (u, v, d). Where every end of an edge is a number, ends are row
     numbers of the vertices."""
     v = resolve(text_csv(spark, f"{folder}/vertices.csv"), {"id": ("identifier",), "lat": ("latitude",), "lon": ("longitude",), "alt": ("altitude",), "is_airport": ("isairport",)})
     v = v.select(F.upper(F.trim("id")).alias("id"), *[F.col(c).try_cast("double").alias(c) for c in ("lat", "lon", "alt")], F.coalesce(F.col("is_airport").try_cast("int"), F.lit(0)).alias("is_airport"), F.monotonically_increasing_id().alias("_m"))
-    v = v.withColumn("ordinal", F.row_number().over(W.orderBy("_m")) - 1).drop("_m")
+    v = in_order(v, "_m")
     e = resolve(text_csv(spark, f"{folder}/edges.csv"), {"u": ("v0", "source", "from"), "v": ("v1", "target", "to"), "d": ("dist", "dist_m", "distance", "weight")}, positional=True)
     e = e.select(F.upper(F.trim("u")).alias("u"), F.upper(F.trim("v")).alias("v"), F.col("d").try_cast("double").alias("d"))
     if e.agg(all_numeric(e, "u", "v").alias("x")).first()["x"]:
@@ -194,25 +215,28 @@ def filed(spark: SparkSession, path: str) -> DataFrame:
     return df.select("flight_id", F.upper(F.trim("position")).alias("position"), F.col("time").cast("double").cast("long").alias("time"))
 
 
-def config(path: str) -> dict:
+def config(spark: SparkSession, path: str) -> dict:
     """A JSON configuration with names taken alike with hyphens and underscores."""
-    return {k.replace("-", "_"): v for k, v in json.loads(Path(path).read_text()).items()}
+    return {k.replace("-", "_"): v for k, v in json.loads(storage.read_text(spark, path)).items()}
 
 
-def regions(cfg: dict) -> list[tuple[str, list[float]]]:
+def regions(cfg: dict, name: str = "REGION_{}", none: str | None = None) -> list[tuple[str, list[float]]]:
+    """Names and polygons; regions without a name get one by their place, and `none` stands for a configuration without any. Scenario
+    folders call them poly0, poly1, ... and world."""
     out = []
     for i, r in enumerate(cfg.get("considered_geographic_regions") or []):
         r = {k.replace("-", "_"): v for k, v in r.items()}
-        out.append((r.get("region_name") or f"REGION_{i}", r.get("polygon") or []))
-    return out
+        out.append((r.get("region_name") or name.format(i), r.get("polygon") or []))
+    return out or ([(none, [])] if none else [])
 
 
-def include_list(spec: str | list | None) -> list[str] | None:
+def include_list(spec: str | list | None, spark: SparkSession | None = None) -> list[str] | None:
     """Airports as a list, as text or in a file; None for none."""
     if not spec:
         return None
     if isinstance(spec, str):
-        spec = Path(spec).read_text() if Path(spec).is_file() else spec
+        if spark is not None and re.fullmatch(r"[^\s,;]*[./][^\s,;]*", spec) and storage.exists(spark, spec):
+            spec = storage.read_text(spark, spec)
         spec = re.split(r"[,\s;]+", spec)
     found = [s.strip().upper() for s in spec]
     return list(dict.fromkeys(s for s in found if re.fullmatch(ICAO, s))) or None

@@ -267,16 +267,16 @@ def test_readers(spark, tmp_path):
     assert {r[0] for r in readers.icao_set(spark, str(tmp_path / "ap.csv")).collect()} == {"EDDF", "LFPG", "XXXX"}
     assert readers.icao_set(spark, str(tmp_path / "nope.csv")).count() == 0
     (tmp_path / "fix.dat").write_text("I\n1101 Version\n\n 50.0  8.0 alpha ENRT\nx y z\n51.0 9.0 ALPHA\n52.0 9.5 BETA\n99\n53.0 9.0 GAMMA\n")
-    assert [(r["id"], r["lat"]) for r in readers.fixes(spark, readers.navigation_file(str(tmp_path), "fix")).orderBy("id").collect()] == [("ALPHA", 50.0), ("BETA", 52.0)]
+    assert [(r["id"], r["lat"]) for r in readers.fixes(spark, readers.navigation_file(spark, str(tmp_path), "fix")).orderBy("id").collect()] == [("ALPHA", 50.0), ("BETA", 52.0)]
     (tmp_path / "earth_nav.dat").write_text("I\n3 50.0 8.0 1 2 3 4 FFM ENRT name\n99 stop\n2 51.0 8.0 1 2\n4 1 1 1 1 1 1 XXX\n")
-    assert {r["id"] for r in readers.aids(spark, readers.navigation_file(str(tmp_path), "nav"), 7).collect()} == {"FFM", "2"}
-    assert {r["id"] for r in readers.aids(spark, readers.navigation_file(str(tmp_path), "nav")).collect()} == {"ENRT", "2"}
+    assert {r["id"] for r in readers.aids(spark, readers.navigation_file(spark, str(tmp_path), "nav"), 7).collect()} == {"FFM", "2"}
+    assert {r["id"] for r in readers.aids(spark, readers.navigation_file(spark, str(tmp_path), "nav")).collect()} == {"ENRT", "2"}
     (tmp_path / "od.csv").write_text("Origin,DESTINATION\neddf,lfpg\n")
     assert readers.od_pairs(spark, str(tmp_path / "od.csv")).count() == 1
     (tmp_path / "aircraft.csv").write_text("a,b\nAC1,450\n")
     assert readers.aircraft(spark, str(tmp_path)).first()["speed_kts"] == 450.0
     (tmp_path / "c.json").write_text(json.dumps({"bin-minutes": 15, "considered_geographic_regions": [{"region-name": "X", "polygon": [0, 0, 0, 1, 1, 1]}, {"polygon": [0, 0, 0, 1, 1, 1]}]}))
-    cfg = readers.config(str(tmp_path / "c.json"))
+    cfg = readers.config(spark, str(tmp_path / "c.json"))
     assert cfg["bin_minutes"] == 15 and [n for n, _ in readers.regions(cfg)] == ["X", "REGION_1"]
     assert readers.include_list("eddf; LFPG,x\nEDDF") == ["EDDF", "LFPG"] and readers.include_list("x") is None
     good = tmp_path / "fl.csv"
@@ -346,6 +346,107 @@ def test_whole_scenario(spark, tmp_path):
     assert os.path.isdir(tmp_path / "out/DATA_S0p2_3/flights.csv")
 
 
+def test_scenario_is_made_again_when_asked_and_when_inputs_change(spark, tmp_path):
+    from dataclasses import replace
+
+    from skylattice.plans import standins
+
+    legs = standins.legs(spark, SF).withColumns({c: F.concat(F.lit("AP"), F.col(c).cast("string")) for c in ("origin", "destination")}).limit(400)
+    # one leg an aircraft: there is no turnaround to draw from
+    legs = legs.withColumn("aircraft_uid", F.col("flight_id"))
+    p = scenario.Parameters(scales=[1.0], seeds=[3], sector_size=3, granularity=4, start="2024-01-01", end="2024-01-30", bin_minutes=60, graph="gabriel", levels="100,200", min_separation_m=1000.0, exact_flights=12, solver=True, script=True, max_edge_m=900_000.0)
+    ports = spark.createDataFrame([(f"AP{i}", 50.0 + i, 8.0 + i) for i in range(5)], "icao string, lat double, lon double")
+    points = spark.createDataFrame([(f"P{i}", 49.0 + i * 37 % 60 / 10, 7.0 + i * 53 % 70 / 10, i) for i in range(40)], "id string, lat double, lon double, ordinal int")
+    region = [[48.0, 6.0, 48.0, 15.0, 57.0, 15.0, 57.0, 6.0]]
+    out, box = str(tmp_path / "out"), [("box", (49.0, 7.0, 56.0, 14.0))]
+    stamp = lambda name: os.stat(f"{out}/{name}/parameters.txt").st_mtime_ns
+    stages = ("model", "navgraph", "DATA_S1p0_3")
+    assert scenario.run(spark, legs, ports, p, out, box, points, region) == ["DATA_S1p0_3"]
+    flights = spark.read.option("header", True).csv(f"{out}/DATA_S1p0_3/flights.csv")
+    assert flights.count() == 12
+    vertices, edges = readers.graph_files(spark, f"{out}/navgraph")
+    kinds = {r["alt"]: r["n"] for r in vertices.groupBy("alt").agg(F.count("*").alias("n")).collect()}
+    assert kinds[0.0] == 5 and kinds[3048.0] == kinds[6096.0] > 5 and edges.count() > 40
+    assert sorted(r["ordinal"] for r in vertices.collect()) == list(range(vertices.count()))
+    bundle = next((tmp_path / "out/DATA_S1p0_3/solver").iterdir())
+    assert {"flights.csv", "graph_edges.csv", "mappings", "transform_manifest.json"} <= {x.name for x in bundle.iterdir()}
+    numbers = spark.read.json(f"{bundle}/mappings/id_maps/vertices")
+    assert numbers.count() == vertices.count() and (tmp_path / "out/DATA_S1p0_3/scenario.scn").is_dir()
+    assert spark.read.option("header", True).csv(f"{out}/navgraph/sector_connectivity.csv").count() > 0
+    first = [stamp(s) for s in stages]
+    scenario.run(spark, legs, ports, p, out, box, points, region)
+    assert [stamp(s) for s in stages] == first
+    scenario.run(spark, legs.filter("flight_id % 5 <> 0"), ports, replace(p, solver=False), out, box, points, region)
+    assert all(a < b for a, b in zip(first, [stamp(s) for s in stages]))
+    assert scenario.in_regions(ports, region).count() == 5
+    with pytest.warns(UserWarning):
+        assert scenario.in_regions(ports, [[0.0, 0.0, 0.0, 1.0, 1.0, 1.0]]).count() == 5
+
+
+def test_a_stage_takes_the_place_of_the_old_one(spark, tmp_path):
+    written, folder = [], str(tmp_path / "stage")
+
+    def write(at):
+        written.append(at)
+        spark.range(len(written)).write.csv(f"{at}/rows")
+
+    assert scenario.made(spark, folder, "a", False, write) and not scenario.made(spark, folder, "a", False, write)
+    assert scenario.made(spark, folder, "a", True, write) and scenario.made(spark, folder, "b", False, write)
+    assert spark.read.csv(f"{folder}/rows").count() == 3 and [x.name for x in tmp_path.iterdir()] == ["stage"]
+
+    def broken(at):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        scenario.made(spark, folder, "c", False, broken)
+    assert spark.read.csv(f"{folder}/rows").count() == 3
+
+
+def test_counts_of_large_rates(spark):
+    for rate in (3.0, 499.0, 501.0, 760.0, 1000.0, 50_000.0):
+        term, total, want = (math.exp(-rate) if rate < 700 else 0.0), 0.0, {}
+        us = (0.01, 0.3, 0.5, 0.9)
+        log = -rate
+        for k in range(int(rate + 12 * rate**0.5) + 30):
+            total += math.exp(log)
+            log += math.log(rate / (k + 1))
+            for u in us:
+                if u < total and u not in want:
+                    want[u] = k
+        got = spark.createDataFrame([(u,) for u in us], "u double").select("u", scalar.poisson(F.lit(rate), F.col("u")).alias("k")).collect()
+        assert {r["u"]: r["k"] for r in got} == want, rate
+
+
+def test_empty_pools(spark):
+    rows = spark.createDataFrame([("k", "A", "B")], "key string, origin string, destination string")
+    none = spark.createDataFrame([], "flight_id string, origin string, destination string, tat_min double")
+    assert sampling.bootstrapped(rows, none, 1, "key", value="tat_min", default=0.0).first()["tat_min"] == 0.0
+    with pytest.raises(ValueError):
+        sampling.bootstrapped(rows, none, 1, "key", value="tat_min")
+
+
+def test_small_rules(spark, tmp_path):
+    v = points(spark, [(i, 50, 10, 0) for i in range(5)]).withColumn("is_airport", (F.col("id") == 3).cast("int"))
+    named = v.withColumn("id", F.concat(F.lit("V"), F.col("id").cast("string")))
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(writers.airport_vertices(named)) == ["V3"]
+    assert ids(writers.airport_vertices(named, spark.createDataFrame([(" v1",), ("V9",)], "code string"))) == ["V1"]
+    assert ids(writers.airport_vertices(named, spark.createDataFrame([("2",), ("4",)], "code string"))) == ["V2", "V4"]
+    assert ids(writers.airport_vertices(named.withColumn("is_airport", F.lit(0)))) == []
+    groups = {r["id"]: r["sector"] for r in graph.chunks(v, 2).collect()}
+    assert groups == {i: f"SECTOR_{i // 2 + 1:06d}" for i in range(5)}
+    assert geo.base_altitude(geo.levels("100,200")) == 4572.0
+    assert readers.regions({}, "poly{}", "world") == [("world", [])] and readers.regions({"considered_geographic_regions": [{"polygon": [1]}]}, "poly{}")[0][0] == "poly0"
+    flagged = spark.createDataFrame([("EDDF", True, True), ("LFPG", False, True), ("LFPG", None, False), ("x1", None, False)], "id string, listed boolean, some boolean")
+    assert [r[0] for r in flagged.select(scalar.airport_flag(F.col("id"), F.col("listed"), F.col("some"))).collect()] == [True, False, True, False]
+    (tmp_path / "a.csv").write_text("Navaid_ID,Sector_ID\n1,2\nx,3\n4.0,5\n")
+    assert sorted(map(tuple, readers.assignment(spark, str(tmp_path / "a.csv")).collect())) == [(1, 2), (4, 5)]
+    (tmp_path / "e.csv").write_text("source,target,dist_m\n1,2,3.5\n1,x,3\n")
+    assert [tuple(r) for r in readers.integer_edges(spark, str(tmp_path / "e.csv")).collect()] == [(1, 2, 3.5)]
+    (tmp_path / "list.txt").write_text("eddf lfpg")
+    assert readers.include_list(str(tmp_path / "list.txt"), spark) == ["EDDF", "LFPG"]
+
+
 def test_stream_equals_batch(spark):
     from skylattice.streaming import rates
 
