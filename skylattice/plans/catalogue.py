@@ -313,11 +313,6 @@ def semi_known_flights(spark, d):
     return S.flights(spark, d).join(filed, "flight_id", "left_semi")
 
 
-@query(PAIRS + " SELECT id FROM nav WHERE id NOT IN (SELECT u FROM sym)")
-def anti_missing_vertices(spark, d):
-    return S.navpoints(spark, d).select("id").join(spatial.symmetric(_pairs(spark, d)).select(F.col("u").alias("id")), "id", "left_anti")
-
-
 TERTILES = "q AS (SELECT quantile_cont(c_acctbal, 1 / 3.0::DOUBLE) AS a, quantile_cont(c_acctbal, 2 / 3.0::DOUBLE) AS b FROM customer), craft AS (SELECT c_custkey, CASE WHEN c_acctbal < a THEN 430 WHEN c_acctbal < b THEN 450 ELSE 480 END AS s FROM customer, q)"
 
 

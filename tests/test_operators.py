@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo, scalar
 from skylattice.operators import fleet, graph, model, sampling, sectors, spatial
-from skylattice.plans import catalogue, scenario
+from skylattice.plans import catalogue, round_trips, scenario  # noqa: F401
 from skylattice.sinks import writers
 from skylattice.sources import readers
 
