@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.session import shared_folder
+
 #: White space of the word contracts, as a regular-expression class body.
 WHITE = r"\x20\x09-\x0D"
 #: Text bytes that one numpy step works on at once; bounds a Python worker's memory.
@@ -24,12 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_llm_shared_dir", None) or tempfile.mkdtemp(prefix="llm-")
-        spark._llm_shared_dir = found
-    return found
+    """The folder that driver and executors share; in local mode one is made where none is set, a cluster has to name it."""
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

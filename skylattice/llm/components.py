@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             total = total.join(on, "to", "left").select("node", F.coalesce("_t", "to").alias("to"))
         ends = [step.select(F.col("node").alias(x), F.col("to").alias(y)) for x, y in (("a", "_a"), ("b", "_b"))]
         left = now.join(ends[0], "a").join(ends[1], "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-        now = written(left.filter("a < b").distinct())
+        last, now = now, written(left.filter("a < b").distinct())
+        dropped(last)
     if total is None:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return total.select("node", F.col("to").alias("component"))

@@ -72,7 +72,9 @@ def ahead(suffixes: DataFrame, by: int) -> DataFrame:
 def first_round(lines: DataFrame) -> DataFrame:
     found = written(classes(lines, "a", "b"))
     one = before(found.withColumn("_g", F.lit(0)), ["_g"], F.shiftright("a", 48), ["a", "b"])
-    return written(placed(lines, one, ["a", "b"], F.col("_r")))
+    out = written(placed(lines, one, ["a", "b"], F.col("_r")))
+    dropped(found)
+    return out
 
 
 def next_round(suffixes: DataFrame, by: int) -> DataFrame:
