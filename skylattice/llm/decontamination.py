@@ -77,14 +77,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, carried:
     rank = spots.join(counts, F.lower("word") == F.col("_t"), "left").groupBy("w").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("c"), "word", "off")).alias("_r"))
     keyed = written(windows.join(rank, "w").select("w", "n", "items", F.concat_ws(" ", "w").alias("_text"), F.col("_r.word").alias("rare"), F.col("_r.off").alias("off")))
 
-    around = F.transform("at", lambda i: F.struct(i.alias("pos"), F.element_at("ws", i).alias("word"), F.slice("ws", F.greatest(i - (span - 1), F.lit(1)), F.lit(2 * span - 1)).alias("ctx")))
+    # the words around a spot, from `base` on; of a word that only stands for itself none, as it may be a common one
+    if literal:
+        longer = [r[0] for r in keyed.filter("n > 1").select(F.lower("rare")).distinct().collect()]
+        several = lambda i: F.lower(F.element_at("ws", i)).isin(longer) if longer else F.lit(False)
+    else:
+        several = lambda i: F.lit(True)
+    base = lambda i: F.when(several(i), F.greatest(i - (span - 1), F.lit(1))).otherwise(i)
+    around = F.transform("at", lambda i: F.struct(i.alias("pos"), base(i).alias("base"), F.element_at("ws", i).alias("word"), F.slice("ws", base(i), F.when(several(i), 2 * span - 1).otherwise(1)).alias("ctx")))
     scan = placed(ws, keyed.select(F.col("rare").alias("word")), literal).select(*[c for c in ws.columns if c != "ws"], F.size("ws").cast("long").alias("n_words"), around.alias("spots"))
     scan = written(numbered(scan) if literal else scan)
-    seen = scan.select("_row", F.explode("spots").alias("c")).select("_row", "c.pos", "c.ctx", ascii_lower(F.col("c.word")).alias("rare"))
+    seen = scan.select("_row", F.explode("spots").alias("c")).select("_row", "c.pos", "c.base", "c.ctx", ascii_lower(F.col("c.word")).alias("rare"))
     start = F.col("pos") - F.col("off")
-    there = F.concat_ws(" ", F.slice("ctx", start - F.greatest(F.col("pos") - (span - 1), F.lit(1)) + 1, F.col("n")))
+    there = F.concat_ws(" ", F.slice("ctx", start - F.col("base") + 1, F.col("n")))
     fits = (F.lower(there) == F.lower("_text")) & (ascii_lower(there) == F.col("_text"))
-    hits = seen.join(hint(keyed), "rare").filter(start >= 1).filter(fits).select("_row", F.struct(start.alias("s"), F.col("n").alias("n")).alias("span"), "items")
+    hits = seen.join(hint(keyed), "rare").filter(start >= F.col("base")).filter(fits).select("_row", F.struct(start.alias("s"), F.col("n").alias("n")).alias("span"), "items")
     per = hits.groupBy("_row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
     none = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate("spans", none, lambda a, x: F.struct((a["k"] + F.greatest(F.lit(0), x["s"] + x["n"] - F.greatest(a["end"], x["s"]))).alias("k"), F.greatest(a["end"], x["s"] + x["n"]).cast("long").alias("end")))["k"]
