@@ -44,27 +44,31 @@ def exact_events(rates: DataFrame, n: int, day: str, minutes: int, seed: int, sc
 
 
 def cumulative(probs: DataFrame, value: str = "prob") -> DataFrame:
-    """origin, bin, cdf: destinations in order with the upper ends of their shares."""
+    """origin, bin, cdf: destinations in order with both ends of their shares."""
     w = W.partitionBy("origin", "bin").orderBy("destination")
-    share = F.sum(value).over(w) / F.sum(value).over(W.partitionBy("origin", "bin"))
-    return probs.withColumn("hi", share).groupBy("origin", "bin").agg(F.array_sort(F.collect_list(F.struct("hi", "destination"))).alias("cdf"))
+    every = W.partitionBy("origin", "bin")
+    low = F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    ends = probs.withColumns({"lo": low / F.sum(value).over(every), "hi": F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(value).over(every)})
+    return ends.groupBy("origin", "bin").agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "destination"))).alias("cdf"))
 
 
-def destinations(rows: DataFrame, probs: DataFrame, frequency: DataFrame, seed: int, *key: str, attempts: int = 8, compat: bool = False) -> DataFrame:
-    """A destination for each row (origin, bin, key): from its origin and bin, else by global frequency. Draws are repeated while
-    they equal the origin, up to `attempts`. compat: the global frequency always decides."""
+def destinations(rows: DataFrame, probs: DataFrame, frequency: DataFrame, seed: int, *key: str, redraw: bool = True, compat: bool = False) -> DataFrame:
+    """A destination for each row (origin, bin, key): from its origin and bin, else by global frequency. A draw that equals the
+    origin is made again among the others, in the proportions that redrawing without end would give them; where there are no
+    others it stays. compat: the global frequency always decides."""
     glob = frequency.withColumns({"origin": F.lit(0), "bin": F.lit(0)})
-    table = cumulative(glob, "freq").select(F.col("cdf").alias("_g"))
+    table = cumulative(glob, "freq").select(F.col("cdf").alias("_g"))  # one row
     out = rows.join(cumulative(probs), ["origin", "bin"], "left").join(F.broadcast(table))
-    cdf = F.col("_g") if compat else F.coalesce("cdf", "_g")
-
-    def drawn(i: int):
-        u = uniform(seed, f"dest{i}", *[F.col(k) for k in key])
-        return F.coalesce(F.filter(cdf, lambda x: x["hi"] > u)[0]["destination"], F.element_at(cdf, -1)["destination"])
-
-    tries = [drawn(i) for i in range(attempts)]
-    other = F.coalesce(*[F.when(t != F.col("origin"), t) for t in tries], tries[-1])
-    return out.withColumn("destination", other).drop("cdf", "_g")
+    out = out.withColumn("_cdf", F.col("_g") if compat else F.coalesce("cdf", "_g")).drop("cdf", "_g")
+    u = [uniform(seed, f"dest{i}", *[F.col(k) for k in key]) for i in range(2)]
+    out = out.withColumns({"_u": u[0], "_v": u[1], "_own": F.filter("_cdf", lambda x: x["destination"] == F.col("origin"))[0]})
+    first = F.coalesce(F.filter("_cdf", lambda x: x["hi"] > F.col("_u"))[0]["destination"], F.element_at("_cdf", -1)["destination"])
+    share = F.col("_own.hi") - F.col("_own.lo")
+    left = lambda x: x["hi"] - F.when(x["hi"] > F.col("_own.hi"), share).otherwise(0.0)
+    others = F.filter("_cdf", lambda x: x["destination"] != F.col("origin"))
+    again = F.coalesce(F.filter("_cdf", lambda x: (x["destination"] != F.col("origin")) & (left(x) > F.col("_v") * (1 - share)))[0]["destination"], F.get(others, F.size(others) - 1)["destination"], F.col("origin").cast(dict(probs.dtypes)["destination"]))
+    found = F.when(first == F.col("origin"), again).otherwise(first) if redraw else first
+    return out.withColumn("destination", found).drop("_cdf", "_u", "_v", "_own")
 
 
 def bootstrapped(rows: DataFrame, pool: DataFrame, seed: int, *key: str, value: str = "duration_min", min_samples: int = 1, default: float | None = None) -> DataFrame:

@@ -370,7 +370,7 @@ def poisson_counts(spark, d):
 
 
 def _draw(spark, d):
-    return sampling.destinations(model.binned(S.legs(spark, d), MINUTES).select("flight_id", "origin", "bin"), od_time_model(spark, d), global_dest_freq(spark, d), 7, "flight_id", attempts=1)
+    return sampling.destinations(model.binned(S.legs(spark, d), MINUTES).select("flight_id", "origin", "bin"), od_time_model(spark, d), global_dest_freq(spark, d), 7, "flight_id", redraw=False)
 
 
 @query(

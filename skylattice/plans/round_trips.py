@@ -239,19 +239,44 @@ def isolated_vertices(spark, d):
     return S.navpoints(spark, d).select("id").join(ends, "id", "left_anti")
 
 
-INSTANTS = RATES + f""", l AS (SELECT origin, bin, rate, {_u('count0', 'origin', 'bin')} AS u FROM r),
-k AS (SELECT origin, bin, u, i, sum(CASE WHEN i = 0 THEN exp(-rate) ELSE exp(-rate + i * ln(rate) - lgamma(i + 1)) END) OVER (PARTITION BY origin, bin ORDER BY i) AS cdf FROM l, (SELECT unnest(range(0, 400)) AS i) WHERE rate > 0),
-c AS (SELECT origin, bin, count(i) AS n FROM k WHERE u >= cdf GROUP BY 1, 2),
-x AS (SELECT origin, bin, unnest(range(n))::INTEGER AS idx FROM c)
-"""
+def _instants(r: int) -> str:
+    """The departures of one round of drawing, as the bodies of WITH clauses."""
+    return f"""l{r} AS (SELECT origin, bin, rate, {_u(f'count{r}', 'origin', 'bin')} AS u FROM r),
+k{r} AS (SELECT origin, bin, u, i, sum(CASE WHEN i = 0 THEN exp(-rate) ELSE exp(-rate + i * ln(rate) - lgamma(i + 1)) END) OVER (PARTITION BY origin, bin ORDER BY i) AS cdf FROM l{r}, (SELECT unnest(range(0, 400)) AS i) WHERE rate > 0),
+x{r} AS (SELECT origin, bin, unnest(range(n))::INTEGER AS idx, {r} AS round FROM (SELECT origin, bin, count(i) AS n FROM k{r} WHERE u >= cdf GROUP BY 1, 2)),
+d{r} AS (SELECT *, make_timestamp(epoch_us(TIMESTAMP '2024-02-01') + trunc((bin + {_u(f'instant{r}', 'origin', 'bin', 'idx')}) * 3600000000.0::DOUBLE)::BIGINT) AS departure FROM x{r})"""
 
 
-@query(INSTANTS + f"SELECT origin, bin, idx, make_timestamp(epoch_us(TIMESTAMP '2024-02-01') + trunc((bin + {_u('instant0', 'origin', 'bin', 'idx')}) * 3600000000.0::DOUBLE)::BIGINT) AS departure FROM x")
+@query(RATES + f", {_instants(0)} SELECT origin, bin, idx, departure FROM d0")
 def departure_instants(spark, d):
     drawn = sampling.counts(catalogue.dep_rate_by_hour(spark, d), 1.0, 7)
     return _plain(sampling.events(drawn, "2024-02-01", MINUTES, 7), "departure")
 
 
+@query(RATES + f", {_instants(0)}, {_instants(1)}, {_instants(2)} SELECT origin, bin, idx, round, departure FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 WHERE (SELECT count(*) FROM d0) + (SELECT count(*) FROM d1) < 500) ORDER BY {_u('drop', 'round', 'origin', 'bin', 'idx')}, round, origin, bin, idx LIMIT 500")
+def exact_departures(spark, d):
+    """Whole days until there are 500 departures, then the surplus is dropped evenly."""
+    return _plain(sampling.exact_events(catalogue.dep_rate_by_hour(spark, d), 500, "2024-02-01", MINUTES, 7), "departure")
+
+
+@query(
+    heads("legs")
+    + f""", n AS (SELECT origin, hour(firstseen) AS bin, destination, count(*)::DOUBLE AS n FROM legs GROUP BY 1, 2, 3),
+p AS (SELECT origin, bin, destination, n / sum(n) OVER (PARTITION BY origin, bin) AS prob FROM n),
+c AS (SELECT origin, bin, destination, coalesce(sum(prob) OVER (PARTITION BY origin, bin ORDER BY destination ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(prob) OVER (PARTITION BY origin, bin) AS lo, sum(prob) OVER (PARTITION BY origin, bin ORDER BY destination ROWS UNBOUNDED PRECEDING) / sum(prob) OVER (PARTITION BY origin, bin) AS hi FROM p),
+o AS (SELECT origin, bin, hi AS oh, hi - lo AS os FROM c WHERE destination = origin),
+e AS (SELECT flight_id, origin, hour(firstseen) AS bin, {_u('dest0', 'flight_id')} AS u, {_u('dest1', 'flight_id')} AS v FROM legs),
+a AS (SELECT flight_id, e.origin, e.bin, v, min(destination) AS destination FROM e JOIN c ON c.origin = e.origin AND c.bin = e.bin AND hi > u GROUP BY ALL),
+b AS (SELECT flight_id, min(c.destination) AS destination FROM a JOIN o ON o.origin = a.origin AND o.bin = a.bin JOIN c ON c.origin = a.origin AND c.bin = a.bin AND c.destination <> a.origin AND hi - CASE WHEN hi > oh THEN os ELSE 0 END > v * (1 - os) WHERE a.destination = a.origin GROUP BY 1)
+SELECT flight_id, a.origin, coalesce(b.destination, a.destination) AS destination FROM a LEFT JOIN b USING (flight_id)"""
+)
+def categorical_redraw(spark, d):
+    """Destinations other than the origin."""
+    flights = model.binned(S.legs(spark, d), MINUTES).select("flight_id", "origin", "bin")
+    drawn = sampling.destinations(flights, catalogue.od_time_model(spark, d), catalogue.global_dest_freq(spark, d), 7, "flight_id")
+    return drawn.select("flight_id", "origin", "destination")
+
+
 @query("SELECT o_orderkey AS key, 0.0::DOUBLE AS tat_min FROM orders")
 def empty_pool_turnaround(spark, d):
     """Where no turnaround is known every flight gets 0 minutes."""

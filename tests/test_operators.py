@@ -248,7 +248,7 @@ def test_destination_is_not_the_origin(spark):
     probs = spark.createDataFrame([("A", 0, "A", 0.5), ("A", 0, "B", 0.5)], "origin string, bin int, destination string, prob double")
     freq = spark.createDataFrame([("C", 1.0)], "destination string, freq double")
     rows = spark.createDataFrame([("A", 0, i) for i in range(200)] + [("Z", 3, 500)], "origin string, bin int, key int")
-    got = sampling.destinations(rows, probs, freq, 1, "key", attempts=20).collect()
+    got = sampling.destinations(rows, probs, freq, 1, "key").collect()
     assert {r["destination"] for r in got if r["origin"] == "A"} == {"B"} and {r["destination"] for r in got if r["origin"] == "Z"} == {"C"}
     assert {r["destination"] for r in sampling.destinations(rows, probs, freq, 1, "key", compat=True).collect()} == {"C"}
 
