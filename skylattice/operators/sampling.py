@@ -61,12 +61,12 @@ def destinations(rows: DataFrame, probs: DataFrame, frequency: DataFrame, seed:
     out = rows.join(cumulative(probs), ["origin", "bin"], "left").join(F.broadcast(table))
     out = out.withColumn("_cdf", F.col("_g") if compat else F.coalesce("cdf", "_g")).drop("cdf", "_g")
     u = [uniform(seed, f"dest{i}", *[F.col(k) for k in key]) for i in range(2)]
-    out = out.withColumns({"_u": u[0], "_v": u[1], "_own": F.filter("_cdf", lambda x: x["destination"] == F.col("origin"))[0]})
-    first = F.coalesce(F.filter("_cdf", lambda x: x["hi"] > F.col("_u"))[0]["destination"], F.element_at("_cdf", -1)["destination"])
-    share = F.col("_own.hi") - F.col("_own.lo")
+    out = out.withColumns({"_u": u[0], "_v": u[1], "_own": F.get(F.filter("_cdf", lambda x: x["destination"] == F.col("origin")), 0)})
+    first = F.coalesce(F.get(F.filter("_cdf", lambda x: x["hi"] > F.col("_u")), 0)["destination"], F.element_at("_cdf", -1)["destination"])
+    share = F.coalesce(F.col("_own.hi") - F.col("_own.lo"), F.lit(0.0))
     left = lambda x: x["hi"] - F.when(x["hi"] > F.col("_own.hi"), share).otherwise(0.0)
     others = F.filter("_cdf", lambda x: x["destination"] != F.col("origin"))
-    again = F.coalesce(F.filter("_cdf", lambda x: (x["destination"] != F.col("origin")) & (left(x) > F.col("_v") * (1 - share)))[0]["destination"], F.get(others, F.size(others) - 1)["destination"], F.col("origin").cast(dict(probs.dtypes)["destination"]))
+    again = F.coalesce(F.get(F.filter("_cdf", lambda x: (x["destination"] != F.col("origin")) & (left(x) > F.col("_v") * (1 - share))), 0)["destination"], F.get(others, F.size(others) - 1)["destination"], F.col("origin").cast(dict(probs.dtypes)["destination"]))
     found = F.when(first == F.col("origin"), again).otherwise(first) if redraw else first
     return out.withColumn("destination", found).drop("_cdf", "_u", "_v", "_own")
 
