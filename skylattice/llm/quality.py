@@ -235,13 +235,17 @@ def among(buckets: np.ndarray):
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on posteriors y, by Newton's steps."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    """Weights and intercept of a logistic regression on posteriors y, by Newton's steps. The last column of x is 1."""
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
     ridge[-1] = 1e-4
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        bend, slope = np.diag(ridge), ridge * w
+        for a in range(0, len(x), 512):  # the driver has little memory
+            rows = x[a : a + 512].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+            bend += (rows.T * (p * (1 - p))) @ rows
+            slope += rows.T @ (p - y[a : a + 512])
+        step = np.linalg.solve(bend, slope)
         w = w - step * min(1.0, 10 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
@@ -256,7 +260,8 @@ def train(target: str, at: np.ndarray, row: np.ndarray, col: np.ndarray, count:
     place = np.full(DIMENSIONS, -1)
     place[at] = np.arange(len(at))
     own = np.flatnonzero(place[col] >= 0)
-    x = np.zeros((len(n), len(views) * len(at)))
+    x = np.zeros((len(n), len(views) * len(at) + 1), np.float32)
+    x[:, -1] = 1
     for k, view in enumerate(views):
         x[row[own], k * len(at) + place[col[own]]] = view[own]
     w, b = logistic(x, y)
