@@ -7,8 +7,8 @@ A document's set is its distinct 3-word shingles; two documents link at a Jaccar
    passage brings nothing together. What meets is compared by size and a 256-bit sketch, and the candidates of a shingle are
    returned as a forest, not as pairs: members of a tight ball hang on its centre, and balls are joined wherever members of both
    could link. Equal sets within a task are one document from the start.
-2. Tiles. The components of the candidates are cut into size bands, a tenth apart, and a band into blocks; a tile holds one band
-   with the one below, or two blocks. Within a tile bitmaps bound each overlap from above by bit counts, and only what passes is
+2. Tiles. The components of the candidates are cut into size bands, a tenth apart, and a band into blocks of a bounded number of
+   documents and of members; a tile holds one band with the one below, or two blocks. Within a tile bitmaps bound each overlap from above by bit counts, and only what passes is
    intersected exactly as sorted arrays, unless both are linked already. Tiles return spanning links.
 3. The components of the links are the result.
 
@@ -38,8 +38,9 @@ from skylattice.llm.common import hashed_words, inside, mixed, rolling, signed,
 from skylattice.llm.components import connected_components
 
 SHINGLE, LEAST, BUCKETS, SKETCH, DEVIATIONS = 3, 90, 1 << 15, 256, 9
-#: Candidates up to SMALL are one tile; tiles of larger ones hold about TILE documents.
-SMALL, TILE = 200, 2000
+#: Candidates up to SMALL are one tile; blocks of larger ones hold about TILE documents, and none more than about MEMBERS members of
+#: their sets, but for a single larger set. Sets travel to their tiles in batches of about BATCH_BYTES.
+SMALL, TILE, MEMBERS, BATCH_BYTES = 200, 2000, 1 << 23, 16_000_000
 TOKEN, DOCUMENT, LINK = 0, 1, 2
 
 
@@ -243,7 +244,9 @@ def met(least: int):
 TILED = "g long, band int, i int, j int, block int, below boolean, doc long, x binary"
 
 
-def arrays(size: int):
+def arrays(size: int, most: int = BATCH_BYTES):
+    """Each set once for each of its tiles, of which there can be many: no batch holds all copies of its texts' sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             x, bounds = sets(batch.column("text"), size)
@@ -252,7 +255,12 @@ def arrays(size: int):
             row = np.repeat(np.arange(batch.num_rows), count)
             raw = [x[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             flat = tiles.flatten()
-            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("g", "band", "i", "j", "block", "below")), pa.array(doc[row]), pa.array([raw[r] for r in row.tolist()], pa.binary())], ["g", "band", "i", "j", "block", "below", "doc", "x"])
+            upto = np.cumsum(8 * np.diff(bounds)[row])
+            edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(row)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    own = row[a:b]
+                    yield pa.RecordBatch.from_arrays([*(flat.field(c).slice(a, b - a) for c in ("g", "band", "i", "j", "block", "below")), pa.array(doc[own]), pa.array([raw[r] for r in own.tolist()], pa.binary())], ["g", "band", "i", "j", "block", "below", "doc", "x"])
 
     return run
 
@@ -328,12 +336,12 @@ def verified(least: int):
 
 def tiles_of(members: DataFrame, least: int) -> DataFrame:
     """members (doc, g, n) -> doc_id, tiles: where each document is compared."""
-    counted = members.join(members.groupBy("g").agg(F.count("*").alias("m")), "g")
+    counted = members.join(members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("t")), "g")
     whole = F.struct(F.lit(-1).alias("band"), F.lit(False).alias("below"))
     home = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / least))).cast("int")
     bands = F.array(F.struct(home.alias("band"), F.lit(False).alias("below")), F.struct((home + 1).alias("band"), F.lit(True).alias("below")))
-    placed = counted.withColumn("b", F.explode(F.when(F.col("m") <= SMALL, F.array(whole)).otherwise(bands))).select("doc", "g", "n", "b.band", "b.below")
-    blocks = placed.groupBy("g", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("q"), F.sum(F.when(F.col("below"), 0).otherwise(1)).alias("own")).filter("own > 0").drop("own")
+    placed = counted.withColumn("b", F.explode(F.when((F.col("m") <= SMALL) & (F.col("t") <= MEMBERS), F.array(whole)).otherwise(bands))).select("doc", "g", "n", "b.band", "b.below")
+    blocks = placed.groupBy("g", "band").agg(F.least(F.count("*"), F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / MEMBERS))).cast("int").alias("q"), F.sum(F.when(F.col("below"), 0).otherwise(1)).alias("own")).filter("own > 0").drop("own")
     placed = placed.join(blocks, ["g", "band"]).withColumn("block", F.pmod(F.hash("doc"), F.col("q")).cast("int"))
     one = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     tile = F.struct("g", "band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "below")

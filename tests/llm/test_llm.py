@@ -207,9 +207,10 @@ def jaccard_by_hand(docs, least, size=3):
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("small,tile,least,size", [(200, 2000, 90, 3), (1, 3, 90, 3), (2, 1, 60, 3), (1, 5, 80, 5)])
-def test_ngram_join(spark, docs, small, tile, least, size, monkeypatch):
+@pytest.mark.parametrize("small,tile,members,least,size", [(200, 2000, 1 << 23, 90, 3), (1, 3, 1 << 23, 90, 3), (2, 1, 1 << 23, 60, 3), (1, 5, 1 << 23, 80, 5), (200, 2000, 300, 90, 3), (200, 2000, 1, 80, 3)])
+def test_ngram_join(spark, docs, small, tile, members, least, size, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     many = list(docs)
     r = random.Random(8)
@@ -232,6 +233,17 @@ def test_ngram_join(spark, docs, small, tile, least, size, monkeypatch):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_sets_travel_in_small_batches():
+    texts = [" ".join(f"w{i}x{j}" for j in range(50 + i)) for i in range(20)]
+    places = [[{"g": 1, "band": 2, "i": k, "j": i, "block": 3, "below": False} for k in range(i % 7)] for i in range(20)]
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("band", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("below", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts), pa.array(places, kind)], ["doc_id", "text", "tiles"])
+    one, many = (list(ngram_join.arrays(3, most)([batch])) for most in (1 << 30, 1000))
+    assert len(one) == 1 and len(many) > 10 and max(sum(map(len, b.column("x").to_pylist())) for b in many) < 1000 + 8 * 70
+    assert pa.Table.from_batches(many).combine_chunks().equals(pa.Table.from_batches(one).combine_chunks())
+    assert one[0].num_rows == sum(map(len, places)) and one[0].column("i").to_pylist() == [p["i"] for x in places for p in x]
+
+
 def test_ngram_join_of_long_sets_at_the_limit(spark):
     r = random.Random(3)
     base = [f"w{i}" for i in range(2002)]  # 2,000 shingles
