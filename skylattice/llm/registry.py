@@ -1,6 +1,6 @@
 """The queries of this package and the SQL they are held against."""
 
-from skylattice.llm import decontamination, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup, token_output, url_filter
+from skylattice.llm import conversation_trie, decontamination, embedding_dedup, html_extraction, line_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+    "op12_html_extraction": html_extraction.op12_html_extraction,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE,
@@ -21,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_conversation_trie": conversation_trie.ORACLE,
 }
