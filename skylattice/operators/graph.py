@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.functions.scalar import edge_slots
-from skylattice.operators.spatial import closest_pair
-from skylattice.session import cut
+from skylattice.operators.spatial import between, closest_pairs, lightest_out, nearest_k
+from skylattice.session import Bucketed, cut
 
 
 def graph(edges: DataFrame, ordinal: str | None = None) -> DataFrame:
@@ -59,59 +59,80 @@ def centroids(vertices: DataFrame, labels: DataFrame) -> DataFrame:
     return vertices.join(labels, "id").groupBy("component").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"))
 
 
-def _tree(names: list, links: list[tuple[float, int, int]]) -> list[tuple[int, int]] | None:
-    """Kruskal; None if the links don't join everything."""
-    parent = list(range(len(names)))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for _, i, j in sorted(links):
-        a, b = find(i), find(j)
-        if a != b:
-            parent[a] = b
-            out.append((i, j))
-    return out if len(out) == len(names) - 1 else None
+def _merged(placed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """placed (..., group) with the groups joined that chosen (group, gu, gv) links, one link chosen by each group. As every group
+    chose its shortest link, the only rings are two groups that chose each other; the smaller of them stands for all."""
+    to = chosen.select("group", F.when(F.col("gu") == F.col("group"), F.col("gv")).otherwise(F.col("gu")).alias("to"))
+    ahead = lambda df: df.select(F.col("group").alias("to"), F.col("to").alias("_next"))
+    to = to.join(ahead(to), "to", "left").select("group", F.when((F.col("_next") == F.col("group")) & (F.col("group") < F.col("to")), F.col("group")).otherwise(F.col("to")).alias("to"))
+    to = cut(to)
+    while True:  # follow the choices to their ends, four at a time
+        far = to
+        for _ in range(2):
+            far = far.join(ahead(far), "to").select("group", F.col("_next").alias("to"))
+        far = cut(far.join(to.withColumnRenamed("to", "_was"), "group").select("group", "to", (F.col("to") != F.col("_was")).alias("_moved")))
+        to = far.drop("_moved")
+        if far.filter("_moved").isEmpty():
+            return cut(placed.join(to, "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to"))
+
+
+def minimum_links(points: DataFrame, metres: float = 50_000.0) -> DataFrame:
+    """points (id, lat, lon, group) -> u < v: the links of a minimum tree over the groups, by the distances of their closest points.
+
+    Rounds of every group choosing its shortest link out, after which the groups it joins are one: each round at least halves the
+    groups. Links are ordered by distance and ids, so no ring of choices is possible."""
+    placed, out = cut(points.select("id", "lat", "lon", "group")), None
+    while placed.select("group").distinct().limit(2).count() > 1:
+        chosen = lightest_out(placed, metres).select("group", "u", "v", "gu", "gv")
+        out = chosen if out is None else out.unionByName(chosen)
+        placed = _merged(placed, chosen)
+    return (out if out is not None else placed.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)).select("u", "v").distinct()
+
+
+def minimum_forest(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vertices (id), edges (u < v, d) -> the links (u, v) of a minimum forest, and id, group: its trees. The same rounds over given
+    edges, which lose those within a group from round to round."""
+    placed = cut(vertices.select("id", F.col("id").alias("group")))
+    now, out = cut(edges.select("u", "v", "d", F.col("u").alias("gu"), F.col("v").alias("gv"))), None
+    while not now.isEmpty():
+        link = F.struct("d", "u", "v", "gu", "gv").alias("l")
+        each = now.select(F.col("gu").alias("g"), link).unionByName(now.select(F.col("gv").alias("g"), link)).groupBy("g").agg(F.min("l").alias("l"))
+        chosen = cut(each.select(F.col("g").alias("group"), "l.u", "l.v", "l.gu", "l.gv"))
+        out = chosen if out is None else out.unionByName(chosen)
+        placed = _merged(placed, chosen)
+        at = lambda c, g: placed.select(F.col("id").alias(c), F.col("group").alias(g))
+        now = cut(now.select("u", "v", "d").join(at("u", "gu"), "u").join(at("v", "gv"), "v").filter("gu <> gv"))
+    links = out if out is not None else placed.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+    return links.select("u", "v").distinct(), placed
+
+
+def centroid_links(centres: DataFrame, k: int) -> DataFrame:
+    """left, right: a minimum tree over the links of each centre (component, lat, lon) to its k nearest others; trees that those
+    links leave apart are joined by the shortest links between them."""
+    p = cut(centres.select(F.col("component").alias("id"), "lat", "lon"))
+    near_k = nearest_k(p, k)
+    links, trees = minimum_forest(p, near_k)
+    more = minimum_links(p.join(trees, "id"))
+    return links.unionByName(more).select(F.col("u").alias("left"), F.col("v").alias("right"))
 
 
 def bridges(vertices: DataFrame, edges: DataFrame, method: str = "mst", k: int = 12) -> DataFrame:
-    """Edges that join the components. mst: a minimum tree over the k nearest centroids, greedy: over all centroids, closest: the
-    first component grows by the one whose points are nearest. Each tree edge becomes the closest pair of points."""
-    import math
-
-    spark, labels = vertices.sparkSession, cut(components(vertices, edges))
-    c = sorted(map(tuple, centroids(vertices, labels).collect()))  # a row a component
-    none = spark.createDataFrame([], vertices.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("d")).schema)
-    if len(c) < 2:
-        return none
-    placed = cut(vertices.join(labels, "id"))
-    of = lambda names: placed.filter(F.col("component").isin(names))
+    """Edges that join the components. mst: a minimum tree over the k nearest centroids, greedy: over all centroids, each tree link
+    becoming the closest pair of points; closest: a minimum tree by the closest points themselves, as a graph that grows from one
+    component by the nearest other one has. Components, links and points stay in tables; the driver only counts."""
+    placed = cut(vertices.select("id", "lat", "lon", "alt").join(components(vertices, edges), "id"))
     if method == "closest":
-        joined, rest, out = [c[0][0]], [x[0] for x in c[1:]], none
-        while rest:
-            pair = cut(closest_pair(of(joined), of(rest)))
-            row = pair.first()
-            comp = placed.filter(F.col("id") == row["v"]).first()["component"]
-            joined, rest, out = [*joined, comp], [x for x in rest if x != comp], out.union(pair)
-        return out
-
-    def far(i, j):
-        (_, a, b, _), (_, x, y, _) = c[i], c[j]
-        h = math.sin(math.radians(x - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(x)) * math.sin(math.radians(y - b) / 2) ** 2
-        return math.asin(min(1.0, math.sqrt(h)))
-
-    tree, reach = None, k if method == "mst" else len(c)
-    while tree is None:
-        links = {(min(i, j), max(i, j)) for i in range(len(c)) for j in sorted((j for j in range(len(c)) if j != i), key=lambda j, i=i: far(i, j))[:reach]}
-        tree, reach = _tree(c, [(far(i, j), i, j) for i, j in links]), 2 * reach
-    out = none
-    for i, j in tree:
-        out = out.union(closest_pair(of([c[i][0]]), of([c[j][0]])))
-    return out
+        links = minimum_links(placed.withColumnRenamed("component", "group"))
+        end = lambda s: placed.select(*[F.col(c).alias(f"{c}{s}") for c in ("id", "lat", "lon", "alt")])
+        ends = links.join(end("_a"), F.col("u") == F.col("id_a")).join(end("_b"), F.col("v") == F.col("id_b"))
+        return ends.select("u", "v", between().alias("d"))
+    centres = placed.groupBy("component").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    if method == "mst":
+        wanted = centroid_links(centres, k)
+    else:
+        all_links = minimum_links(centres.select(F.col("component").alias("id"), "lat", "lon", F.col("component").alias("group")))
+        wanted = all_links.select(F.col("u").alias("left"), F.col("v").alias("right"))
+    return closest_pairs(wanted, placed).select("u", "v", "d")
 
 
 def slot_weights(edges: DataFrame, speeds: DataFrame, per_hour: float) -> DataFrame:
@@ -119,22 +140,55 @@ def slot_weights(edges: DataFrame, speeds: DataFrame, per_hour: float) -> DataFr
     return edges.join(F.broadcast(speeds.select("speed_kts").distinct())).select("u", "v", "speed_kts", edge_slots(F.col("d"), F.col("speed_kts"), per_hour).alias("w"))
 
 
-def shortest_costs(arcs: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """arcs (u, v, w, both ways), sources (src) -> src, node, dist, prev: single-source costs by relaxation to a fixpoint; the
-    smallest previous node among equal costs. Rounds go on from nodes that changed only."""
-    best = cut(sources.select("src", F.col("src").alias("node"), F.lit(0).cast("long").alias("dist")).distinct())
-    fresh, arcs = best, cut(arcs.select("u", "v", "w"))
-    for _ in range(most_rounds):
-        step = fresh.join(arcs, fresh["node"] == arcs["u"]).groupBy("src", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("nd"))
-        both = cut(best.join(step, ["src", "node"], "full").select("src", "node", F.least("dist", "nd").alias("dist"), (F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")))).alias("new")))
-        best, fresh = both.drop("new"), both.filter("new").drop("new")
-        if not fresh.limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"costs still change after {most_rounds} rounds")
+def shortest_costs(arcs: DataFrame, sources: DataFrame, width: int | None = None, most_rounds: int = 10_000) -> DataFrame:
+    """arcs (u, v, w > 0, both ways), sources (src) -> src, node, dist, prev: costs from all sources together; the smallest previous
+    node among equal costs.
+
+    Costs are settled in buckets of `width` (the heaviest arc's weight where none is given), of all sources at once. Within a bucket the
+    arcs up to that width are followed from what has changed until nothing does, then the bucket is final and its heavier arcs
+    are followed once. So rounds are bounded by the buckets of the longest cost, and a node is followed for the costs of its own bucket
+    only. Arcs lie bucketed by their start and settled costs by source and node: a round shuffles what is new, not the graph."""
+    spark, n = arcs.sparkSession, int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arcs = arcs.select("u", "v", F.col("w").cast("long").alias("w"))
+    heaviest = arcs.agg(F.max("w")).first()[0]
+    width = int(width or heaviest or 1)
+    graph_at, done_at = Bucketed(spark, n, "u"), Bucketed(spark, n, "src", "node")
+    graph_at.add(arcs)
+    done = None
+    state = cut(sources.select("src", F.col("src").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(True).alias("new")).distinct())
+
+    def followed(fresh: DataFrame, which) -> DataFrame:
+        """The costs to go on with after the arcs from fresh."""
+        out = graph_at.table().filter(which)
+        step = fresh.join(out, fresh["node"] == out["u"]).groupBy("src", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("nd"))
+        if done is not None:
+            step = step.join(done, ["src", "node"], "left_anti")
+        both = state.drop("new").join(step, ["src", "node"], "full")
+        return cut(both.select("src", "node", F.least("dist", "nd").alias("dist"), (F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")))).alias("new")))
+
+    rounds = 0
+    while (low := state.agg(F.min("dist")).first()[0]) is not None:
+        end = (low // width + 1) * width
+        fresh = state.filter(F.col("dist") < end)
+        while not fresh.isEmpty():
+            if rounds == most_rounds:
+                raise RuntimeError(f"costs still change after {most_rounds} rounds")
+            state, rounds = followed(fresh, F.col("w") <= width), rounds + 1
+            fresh = state.filter(F.col("new") & (F.col("dist") < end))
+        settled = cut(state.filter(F.col("dist") < end).drop("new"))
+        done = done_at.add(settled)
+        state = state.filter(F.col("dist") >= end)
+        if width < heaviest:
+            state = followed(settled, F.col("w") > width)
+    best, out = done, graph_at.table()
+    if best is None:
+        best = state.drop("new")
     before = best.select("src", F.col("node").alias("u"), F.col("dist").alias("du"))
-    prev = before.join(arcs, "u").join(best.withColumnRenamed("node", "v"), ["src", "v"]).filter("du + w = dist and u <> v").groupBy("src", F.col("v").alias("node")).agg(F.min("u").alias("prev"))
-    return best.join(prev, ["src", "node"], "left").select("src", "node", "dist", F.when(F.col("node") != F.col("src"), F.col("prev")).alias("prev"))
+    prev = before.join(out, "u").join(best.withColumnRenamed("node", "v"), ["src", "v"]).filter("du + w = dist and u <> v").groupBy("src", F.col("v").alias("node")).agg(F.min("u").alias("prev"))
+    tree = cut(best.join(prev, ["src", "node"], "left").select("src", "node", "dist", F.when(F.col("node") != F.col("src"), F.col("prev")).alias("prev")))
+    graph_at.forget()
+    done_at.forget()
+    return tree
 
 
 def routes(tree: DataFrame, wanted: DataFrame, most_rounds: int = 10_000) -> DataFrame:

@@ -21,8 +21,9 @@ def _cells(band: Column, height: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(widest)) / height)).cast("int")
 
 
-def near(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """All pairs (left columns with suffix _a, right ones with _b, metres d by haversine) not farther apart than `metres`."""
+def near(left: DataFrame, right: DataFrame, metres: float, apart: str | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs (left columns with suffix _a, right ones with _b, metres d by haversine) not farther apart than `metres`. apart: a
+    column whose values must differ; cells without such a pair are left out before points meet. on: columns that must be equal."""
     turn = min(metres / EARTH, math.pi)
     height = max(math.degrees(turn), 1e-9) * (1 + 1e-9)
     a = left.select(*[F.col(c).alias(f"{c}_a") for c in left.columns])
@@ -40,8 +41,18 @@ def near(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     last = F.floor((F.col("lon_a") + reach + 180.0) / 360.0 * n)
     touched = F.when(last - first + 1 >= n, F.sequence(F.lit(0), n - 1)).otherwise(F.transform(F.sequence(first, last), lambda x: F.pmod(x, n).cast("int")))
     a = a.withColumn("_cell", F.explode(touched))
+    for c in on:
+        a, b = a.withColumnRenamed(f"{c}_a", c), b.withColumnRenamed(f"{c}_b", c)
+    cell = ["_band", "_cell", *on]
+    if apart:
+        kinds = lambda df, s: df.groupBy(*cell).agg(F.min(f"{apart}{s}").alias("_lo"), F.max(f"{apart}{s}").alias("_hi"))
+        other = lambda s: (F.col("_lo") != F.col(f"{apart}{s}")) | (F.col("_hi") != F.col(f"{apart}{s}"))
+        a = a.join(kinds(b, "_b"), cell).filter(other("_a")).drop("_lo", "_hi")
+        b = b.join(kinds(a, "_a"), cell).filter(other("_b")).drop("_lo", "_hi")
     d = haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(b, ["_band", "_cell"]).drop("_band", "_cell").withColumn("d", d).filter(F.col("d") <= metres)
+    out = a.join(b, cell).drop("_band", "_cell")
+    out = out.filter(F.col(f"{apart}_a") != F.col(f"{apart}_b")) if apart else out
+    return out.withColumn("d", d).filter(F.col("d") <= metres)
 
 
 def between(a: str = "_a", b: str = "_b") -> Column:
@@ -127,6 +138,76 @@ def closest_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     return found.groupBy().agg(F.min(F.struct("d", F.col("id_a").alias("u"), F.col("id_b").alias("v"))).alias("m")).select("m.u", "m.v", "m.d")
 
 
+def nearest_k(points: DataFrame, k: int, metres: float = 50_000.0) -> DataFrame:
+    """points (id, lat, lon) -> u < v, d: the links of each point to its k nearest others by haversine, ties by id. Points that have
+    fewer in reach look again within four times as much."""
+    from pyspark.sql import Window as W
+
+    from skylattice.session import cut
+
+    p = cut(points.select("id", "lat", "lon"))
+    k = min(k, p.count() - 1)
+    rest, out = p, None
+    while k > 0:
+        ranked = near(rest, p, metres).filter("id_a <> id_b").withColumn("rk", F.row_number().over(W.partitionBy("id_a").orderBy("d", "id_b"))).filter(F.col("rk") <= k)
+        full = cut(ranked.withColumn("_n", F.count("*").over(W.partitionBy("id_a"))).filter(F.col("_n") == k).select("id_a", "id_b", "d"))
+        out = full if out is None else out.unionByName(full)
+        if metres > math.pi * EARTH:
+            break
+        rest, metres = cut(rest.join(full.select(F.col("id_a").alias("id")).distinct(), "id", "left_anti")), 4 * metres
+        if rest.isEmpty():
+            break
+    kind = dict(points.dtypes)["id"]
+    out = points.sparkSession.createDataFrame([], f"id_a {kind}, id_b {kind}, d double") if out is None else out
+    return out.groupBy(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).agg(F.min("d").alias("d"))
+
+
+def closest_pairs(wanted: DataFrame, points: DataFrame, metres: float = 50_000.0) -> DataFrame:
+    """wanted (left, right: components), points (id, lat, lon, alt, component) -> left, right, u, v, d: of each two components the
+    closest points by haversine, ties by ids, and their distance with altitudes. All pairs of components are looked at together,
+    within `metres`, then those without a pair within four times as much, and so on."""
+    from skylattice.session import cut
+
+    p = points.select("id", "lat", "lon", "alt", "component")
+    rest, out = cut(wanted.select("left", "right").distinct()), None
+    while not rest.isEmpty():
+        a = p.join(rest, F.col("component") == F.col("left")).drop("component")
+        b = p.join(rest, F.col("component") == F.col("right")).drop("component")
+        best = near(a, b, metres, on=("left", "right")).groupBy("left", "right").agg(F.min(F.struct("d", F.col("id_a").alias("u"), F.col("id_b").alias("v"), between().alias("s"))).alias("m"))
+        best = cut(best.select("left", "right", "m.u", "m.v", F.col("m.s").alias("d")))
+        out = best if out is None else out.unionByName(best)
+        if metres > math.pi * EARTH:
+            break
+        rest, metres = cut(rest.join(best, ["left", "right"], "left_anti")), 4 * metres
+    if out is None:
+        kind = dict(points.dtypes)["id"]
+        return wanted.select("left", "right", *(F.lit(None).cast(kind).alias(c) for c in ("u", "v")), F.lit(0.0).alias("d")).limit(0)
+    return out
+
+
+def lightest_out(points: DataFrame, metres: float) -> DataFrame:
+    """points (id, lat, lon, group) -> group, d, u < v, gu, gv: the shortest link of each group to another one, by haversine, ties by
+    ids, with both its groups. Groups without a neighbour in reach look again within four times as much; within a radius only
+    cells that hold two groups are compared, so the inside of a large group costs nothing."""
+    from skylattice.session import cut
+
+    p = points.select("id", "lat", "lon", "group")
+    rest, out = p, None
+    while True:
+        pairs = near(rest, p, metres, apart="group")
+        ends = lambda c: (F.when(F.col("id_a") < F.col("id_b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), F.when(F.col("id_a") < F.col("id_b"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")))
+        (u, v), (la, lb), (oa, ob), (gu, gv) = (ends(c) for c in ("id", "lat", "lon", "group"))
+        # distances from the smaller id to the larger one, so that both groups see the same number
+        link = F.struct(haversine(la, oa, lb, ob).alias("d"), u.alias("u"), v.alias("v"), gu.alias("gu"), gv.alias("gv"))
+        best = cut(pairs.groupBy("group_a").agg(F.min(link).alias("m")).select(F.col("group_a").alias("group"), "m.*"))
+        out = best if out is None else out.unionByName(best)
+        if metres > math.pi * EARTH:
+            return out
+        rest, metres = cut(rest.join(best.select("group"), "group", "left_anti")), 4 * metres
+        if rest.isEmpty():
+            return out
+
+
 def grid_points(spark, boxes: list[tuple[str, tuple]], nx: int, ny: int, altitude: float, prefix: str = "GRID") -> DataFrame:
     """Tile centres of each named box (lat and lon minimum, then maximum)."""
     clean = lambda s: "".join(c if c.isalnum() else "_" for c in s).upper()

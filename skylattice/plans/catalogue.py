@@ -278,6 +278,21 @@ def shortest_path_cost(spark, d):
     return graph.shortest_costs(S.arcs(spark, d), one).select("src", "node", "dist")
 
 
+@query(sequential.COSTS + " SELECT * FROM s")
+def all_origin_costs(spark, d):
+    """Costs from every node to every node."""
+    arcs = S.arcs(spark, d)
+    return graph.shortest_costs(arcs, arcs.select(F.col("u").alias("src")).distinct(), width=3).select("src", "node", "dist")
+
+
+@query(sequential.ROUTES)
+def flight_routes(spark, d):
+    """The route of every flight, whatever its origin."""
+    f = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("flight_id"), (F.col("o_custkey") % 200).cast("long").alias("src"), (F.col("o_orderkey") * 7 % 200).cast("long").alias("dst"))
+    tree = graph.shortest_costs(S.arcs(spark, d), f.select("src").distinct())
+    return graph.routes(tree, f).select("flight_id", "seq", "node", "dist")
+
+
 def _steps(spark, d):
     t = S.trajectories(spark, d)
     w = F.row_number().over(model.W.partitionBy("flight_id").orderBy(*S.TIES))
@@ -442,27 +457,25 @@ def convex_sectors(spark, d):
     return sectors.sectors(S.navpoints(spark, d), spatial.gabriel(_pairs(spark, d)), 8, convex=True)
 
 
-FAR = {"CENTRAL_EUROPE": geo.bounds(S.CENTRAL_EUROPE), "NORTH": (50.0, 0.0, 60.0, 20.0), "FAR": (10.0, 100.0, 20.0, 117.0)}
-
-
-def _bridged(spark, method: str):
-    grid = spatial.grid_points(spark, list(FAR.items()), 5, 7, 0.0)
-    return graph.bridges(grid, spatial.grid_edges(grid), method).select("u", "v", metres())
+def _bridged(spark, d, method: str):
+    """Bridges between the components of the points' graph of short links."""
+    nav = S.navpoints(spark, d)
+    return graph.bridges(nav, spatial.radius_pairs(nav, sequential.LINK), method).select("u", "v", metres())
 
 
-@query(sequential.bridges(FAR, 7, 5))
+@query(sequential.bridges("mst"))
 def mst_bridges(spark, d):
-    return _bridged(spark, "mst")
+    return _bridged(spark, d, "mst")
 
 
-@query(sequential.bridges(FAR, 7, 5))
+@query(sequential.bridges("greedy"))
 def greedy_bridges(spark, d):
-    return _bridged(spark, "greedy")
+    return _bridged(spark, d, "greedy")
 
 
-@query(sequential.bridges(FAR, 7, 5, closest=True))
+@query(sequential.bridges("closest"))
 def closest_bridges(spark, d):
-    return _bridged(spark, "closest")
+    return _bridged(spark, d, "closest")
 
 
 @query(sequential.MIN_SEPARATION)

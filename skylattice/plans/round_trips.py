@@ -253,7 +253,26 @@ def departure_instants(spark, d):
     return _plain(sampling.events(drawn, "2024-02-01", MINUTES, 7), "departure")
 
 
-@query(RATES + f", {_instants(0)}, {_instants(1)}, {_instants(2)} SELECT origin, bin, idx, round, departure FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 WHERE (SELECT count(*) FROM d0) + (SELECT count(*) FROM d1) < 500) ORDER BY {_u('drop', 'round', 'origin', 'bin', 'idx')}, round, origin, bin, idx LIMIT 500")
+def _hashed(stream: str, *key: str) -> str:
+    """The uniform number of a stream whose name ends with the round."""
+    return f"(('0x' || substr(md5('7:{stream}' || round || ':' || {" || ':' || ".join(f'{k}::VARCHAR' for k in key)}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+#: As many rounds of drawing as there can be need of, then those before which there were too few departures.
+EXACT = (
+    RATES
+    + f""", rounds AS (SELECT unnest(range(0, (8 + 3 * ceil(500 / (SELECT sum(rate) FROM r)))::BIGINT)) AS round),
+l AS (SELECT origin, bin, rate, round, {_hashed('count', 'origin', 'bin')} AS u FROM r, rounds WHERE rate > 0),
+k AS (SELECT origin, bin, i, sum(CASE WHEN i = 0 THEN exp(-rate) ELSE exp(-rate + i * ln(rate) - lgamma(i + 1)) END) OVER (PARTITION BY origin, bin ORDER BY i) AS cdf FROM r, (SELECT unnest(range(0, 400)) AS i) WHERE rate > 0),
+c AS (SELECT l.round, l.origin, l.bin, count(*) AS n FROM l JOIN k ON k.origin = l.origin AND k.bin = l.bin AND l.u >= k.cdf GROUP BY ALL),
+before AS (SELECT round, sum(n) - any_value(own) AS n FROM (SELECT a.round, b.n, a.n AS own FROM (SELECT round, sum(n) AS n FROM c GROUP BY 1) a JOIN (SELECT round, sum(n) AS n FROM c GROUP BY 1) b ON b.round <= a.round) GROUP BY 1),
+x AS (SELECT origin, bin, round, unnest(range(n))::INTEGER AS idx FROM (SELECT c.* FROM c JOIN before USING (round) WHERE before.n < 500)),
+d AS (SELECT origin, bin, idx, round::INTEGER AS round, make_timestamp(epoch_us(TIMESTAMP '2024-02-01') + trunc((bin + {_hashed('instant', 'origin', 'bin', 'idx')}) * 3600000000.0::DOUBLE)::BIGINT) AS departure FROM x)
+SELECT * FROM d ORDER BY {_u('drop', 'round', 'origin', 'bin', 'idx')}, round, origin, bin, idx LIMIT 500"""
+)
+
+
+@query(EXACT)
 def exact_departures(spark, d):
     """Whole days until there are 500 departures, then the surplus is dropped evenly."""
     return _plain(sampling.exact_events(catalogue.dep_rate_by_hour(spark, d), 500, "2024-02-01", MINUTES, 7), "departure")
@@ -277,15 +296,16 @@ def categorical_redraw(spark, d):
     return drawn.select("flight_id", "origin", "destination")
 
 
-@query("SELECT o_orderkey AS key, 0.0::DOUBLE AS tat_min FROM orders")
+@query("SELECT o_orderkey AS key, (15 + o_orderkey % 4)::DOUBLE AS tat_min FROM orders")
 def empty_pool_turnaround(spark, d):
-    """Where no turnaround is known every flight gets 0 minutes."""
+    """Where no turnaround is known, flights get a default: here one of each group of flights, 15 to 18 minutes."""
     rows = S.flights(spark, d).select(F.col("flight_id").alias("key"), F.lit("").alias("origin"), F.lit("").alias("destination"))
     none = rows.limit(0).select(F.col("key").alias("flight_id"), "origin", "destination", F.lit(0.0).alias("tat_min"))
-    return sampling.bootstrapped(rows, none, 7, "key", value="tat_min", default=0.0).select("key", "tat_min")
+    groups = [sampling.bootstrapped(rows.filter(F.col("key") % 4 == k), none, 7, "key", value="tat_min", default=15.0 + k) for k in range(4)]
+    return groups[0].unionByName(groups[1]).unionByName(groups[2]).unionByName(groups[3]).select("key", "tat_min")
 
 
-@query(DUR + f", k AS (SELECT duration_min, row_number() OVER (ORDER BY duration_min) - 1 AS i FROM p) SELECT flight_id, k.duration_min FROM p e JOIN k ON k.i = floor({_u('boot', 'flight_id')} * (SELECT count(*) FROM p))")
+@query(DUR + f", k AS (SELECT duration_min, row_number() OVER (ORDER BY duration_min) - 1 AS i FROM p), e AS (SELECT flight_id, floor({_u('boot', 'flight_id')} * (SELECT count(*) FROM p))::BIGINT AS i FROM p) SELECT flight_id, k.duration_min FROM e JOIN k ON k.i = e.i")
 def bootstrap_from_all(spark, d):
     """Pairs with too few samples draw from all of them."""
     pool = model.durations(S.legs25(spark, d))

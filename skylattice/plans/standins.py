@@ -17,7 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def legs(spark, d) -> DataFrame:
-    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return legs_of(table(spark, d, "events"))
+
+
+def legs_of(events: DataFrame) -> DataFrame:
+    """Legs from the events table, whole or as a stream."""
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     first = F.col("ts").cast("timestamp")
     last = F.timestamp_micros(F.unix_micros(first) + F.round(F.col("value") * 60).cast("long") * 1000000)
     return e.select(F.col("event_id").alias("flight_id"), F.col("user_id").alias("aircraft_uid"), (F.col("k") % 5).alias("origin"), (F.floor(F.col("k") / 5) % 5).cast("int").alias("destination"), first.alias("firstseen"), last.alias("lastseen"))

@@ -39,6 +39,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """A table of the shared folder that is bucketed by columns, so that joins on them move the other side only. Rows can be added."""
+
+    def __init__(self, spark: SparkSession, buckets: int, *columns: str):
+        self.spark, self.buckets, self.columns = spark, buckets, columns
+        self.name = f"b_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/{self.name}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        dealt = df.repartition(self.buckets, *self.columns)  # a file a bucket
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, *self.columns).sortBy(*self.columns).option("path", self.path).saveAsTable(self.name)
+        return self.table()
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def forget(self) -> None:
+        """Takes the name out of the session's catalogue; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers of the session, once; workers don't share the driver's import path."""
     context, root = spark.sparkContext, Path(__file__).resolve().parent

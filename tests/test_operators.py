@@ -455,21 +455,34 @@ def test_stream_equals_batch(spark):
     assert got == sorted(map(str, batch.collect()))
 
 
-def test_queries_match_their_sql(spark):
+@pytest.fixture(scope="module")
+def given():
     import duckdb
 
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return con
+
+
+def all_queries():
+    import __spark_entry__
+
+    found = __spark_entry__.queries()
+    return {k: (found[k], sql) for k, sql in (catalogue.ORACLES | __spark_entry__.JOB_ORACLES).items()}
+
+
+@pytest.mark.parametrize("name", list(all_queries()))
+def test_query_matches_its_sql(spark, given, name):
     plain = lambda v: "None" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v)
-    for name, sql in catalogue.ORACLES.items():
-        got, want = catalogue.QUERIES[name](spark, SF), con.execute(sql)
-        names = [c[0] for c in want.description]
-        cols = sorted(names)
-        assert sorted(got.columns) == cols, name
-        a = sorted(tuple(map(plain, r)) for r in got.select(*cols).collect())
-        b = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in want.fetchall())
-        assert a == b, name
+    query, sql = all_queries()[name]
+    got, want = query(spark, SF), given.execute(sql)
+    names = [c[0] for c in want.description]
+    cols = sorted(names)
+    assert sorted(got.columns) == cols
+    a = sorted(tuple(map(plain, r)) for r in got.select(*cols).collect())
+    b = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in want.fetchall())
+    assert a == b
 
 
 def test_entry_point_without_llm(spark):
