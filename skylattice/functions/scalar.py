@@ -87,9 +87,9 @@ def grid_index(identifier: Column) -> tuple[Column, Column]:
     return tuple(F.regexp_extract(identifier, r"_Y(\d+)X(\d+)$", i).try_cast("int") for i in (1, 2))
 
 
-def uniform(seed: int, stream: str, *key: Column) -> Column:
+def uniform(seed: int, stream: str | Column, *key: Column) -> Column:
     """A number in [0, 1) that depends on seed, stream and key only, so a draw is the same on any partitioning."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.lit(stream), *[k.cast("string") for k in key])
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(stream) if isinstance(stream, str) else stream, *[k.cast("string") for k in key])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 

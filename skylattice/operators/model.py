@@ -97,10 +97,61 @@ def durations(legs: DataFrame, least: float = 0.0, most: float = 1e9) -> DataFra
     return legs.select("flight_id", "origin", "destination", d.alias("duration_min")).filter(F.col("duration_min").between(least, most) & ~F.isnan("duration_min"))
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float], bins: int = 1024, few: int = 4096) -> list[float | None]:
+    """The exact quantiles of a column at the shares, interpolated between neighbours; nulls and NaN don't count; None where there is
+    nothing.
+
+    No value is sorted or shuffled: each pass counts all shares' intervals in bins, with partial sums, and goes on in the bins that
+    hold the wanted ranks, until those hold so few values that they are looked at one by one, or only one."""
+    x = F.col(value).cast("double")
+    rows = rows.select(x.alias("x")).filter("x is not null and not isnan(x)")
+    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares)
+    at = [q * (n - 1) for q in shares]
+    # of each share: the interval that holds the value of its lower rank, how many values are below it and in it
+    open_ = {k: (low, high, 0, n) for k in range(len(shares))}
+    found: dict[int, float] = {}
+    while open_:
+        for k in [k for k, (lo, hi, *_) in open_.items() if lo == hi]:
+            found[k] = open_.pop(k)[0]
+        small = {k: v for k, v in open_.items() if v[3] <= few}
+        if small:
+            inside = F.filter(F.array(*[F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.lit(k)) for k, (lo, hi, *_) in small.items()]), lambda k: k.isNotNull())
+            values: dict[int, list[float]] = {k: [] for k in small}
+            for r in rows.select("x", F.explode(inside).alias("k")).collect():  # at most `few` a share
+                values[r["k"]].append(r["x"])
+            for k, (_, _, below, _) in small.items():
+                found[k] = sorted(values[k])[int(at[k]) - below]
+                open_.pop(k)
+        if not open_:
+            break
+        place = lambda lo, hi: F.least(F.floor((F.col("x") - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")  # noqa: B023,E731
+        placed = F.array(*[F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.struct(F.lit(k).alias("k"), place(lo, hi).alias("bin"))) for k, (lo, hi, *_) in open_.items()])
+        counted = rows.select("x", F.explode(F.filter(placed, lambda p: p.isNotNull())).alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        by_bin = sorted((r["p"]["k"], r["p"]["bin"], r["lo"], r["hi"], r["n"]) for r in counted.collect())  # at most `bins` a share
+        for k, (_, _, below, _) in list(open_.items()):
+            for share, _, lo, hi, count in by_bin:
+                if share == k:
+                    if below + count > int(at[k]):
+                        open_[k] = (lo, hi, below, count)
+                        break
+                    below += count
+    # the next rank's value is the same one again, or the next larger one
+    ends = [(F.sum((F.col("x") <= found[k]).cast("long")), F.min(F.when(F.col("x") > found[k], F.col("x")))) for k in range(len(shares))]
+    last = rows.agg(*(e for pair in ends for e in pair)).first()
+    out = []
+    for k, p in enumerate(at):
+        up_to, larger = last[2 * k], last[2 * k + 1]
+        after = found[k] if up_to > int(p) + 1 or larger is None else larger
+        out.append(found[k] + (p - int(p)) * (after - found[k]))
+    return out
+
+
 def speed_classes(pool: DataFrame, value: str = "duration_min", out: str = "speed_kts") -> DataFrame:
     """A speed by the tertiles of all values, interpolated exactly."""
-    cuts = pool.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
-    return pool.join(F.broadcast(cuts)).withColumn(out, speed_class(F.col(value), F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    low, high = quantiles(pool, value, [1 / 3, 2 / 3])
+    return pool.withColumn(out, speed_class(F.col(value), F.lit(low).cast("double"), F.lit(high).cast("double")))
 
 
 def duration_pools(pool: DataFrame, min_samples: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,16 +12,24 @@ from skylattice.functions.scalar import DEFAULT_SPEED, poisson, uniform
 from skylattice.session import cut
 
 
+def _stream(rows: DataFrame, name: str, round_no: int) -> tuple[Column, list[str]]:
+    """The stream of a round of drawing, and the column that names the round, where there is one."""
+    has = "round" in rows.columns
+    return F.concat(F.lit(name), F.col("round").cast("string") if has else F.lit(str(round_no))), ["round"] * has
+
+
 def counts(rates: DataFrame, scale: float, seed: int, round_no: int = 0) -> DataFrame:
-    """origin, bin, n: departures drawn for each rate."""
-    u = uniform(seed, f"count{round_no}", F.col("origin"), F.col("bin"))
-    return rates.select("origin", "bin", poisson(F.greatest(F.col("rate") * scale, F.lit(0.0)), u).alias("n"))
+    """origin, bin, n: departures drawn for each rate; of each row's own round where rates has that column."""
+    stream, own = _stream(rates, "count", round_no)
+    u = uniform(seed, stream, F.col("origin"), F.col("bin"))
+    return rates.select("origin", "bin", *own, poisson(F.greatest(F.col("rate") * scale, F.lit(0.0)), u).alias("n"))
 
 
 def events(drawn: DataFrame, day: str, minutes: int, seed: int, round_no: int = 0) -> DataFrame:
     """origin, bin, idx, departure: the departures one by one, at uniform instants of their bins."""
-    one = drawn.filter("n > 0").select("origin", "bin", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
-    u = uniform(seed, f"instant{round_no}", F.col("origin"), F.col("bin"), F.col("idx"))
+    stream, own = _stream(drawn, "instant", round_no)
+    one = drawn.filter("n > 0").select("origin", "bin", *own, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
+    u = uniform(seed, stream, F.col("origin"), F.col("bin"), F.col("idx"))
     at = F.unix_micros(F.lit(f"{day} 00:00:00").cast("timestamp")) + ((F.col("bin") + u) * (minutes * 60e6)).cast("long")
     return one.withColumn("departure", F.timestamp_micros(at))
 
@@ -30,45 +40,70 @@ def thinned(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
 
 
 def exact_events(rates: DataFrame, n: int, day: str, minutes: int, seed: int, scale: float = 1.0) -> DataFrame:
-    """n departures: whole days are drawn until there are enough, then the surplus is dropped evenly."""
-    mean = rates.agg(F.sum(F.greatest(F.col("rate") * scale, F.lit(0.0)))).first()[0] or 0.0
+    """n departures: whole days are drawn until there are enough, then the surplus is dropped evenly. As many days as are likely to
+    be enough are drawn together; those after there are enough don't count."""
+    rates = rates.withColumn("rate", F.greatest(F.col("rate") * scale, F.lit(0.0)))
+    mean = rates.agg(F.sum("rate")).first()[0] or 0.0
     if mean <= 0:
         raise ValueError("all rates are 0: there is nothing to draw from")
-    out, have, r = None, 0, 0
-    while have < n:
-        more = counts(rates, scale, seed, r)
-        have += more.agg(F.sum("n")).first()[0] or 0
-        drawn = events(more, day, minutes, seed, r).withColumn("round", F.lit(r))
-        out, r = drawn if out is None else out.unionByName(drawn), r + 1
-    return thinned(out, n, seed, "round", "origin", "bin", "idx")
-
-
-def cumulative(probs: DataFrame, value: str = "prob") -> DataFrame:
-    """origin, bin, cdf: destinations in order with both ends of their shares."""
-    w = W.partitionBy("origin", "bin").orderBy("destination")
-    every = W.partitionBy("origin", "bin")
-    low = F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    ends = probs.withColumns({"lo": low / F.sum(value).over(every), "hi": F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(value).over(every)})
-    return ends.groupBy("origin", "bin").agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "destination"))).alias("cdf"))
+    days = math.ceil((n + 4 * math.sqrt(n)) / mean) + 1
+    while True:
+        drawn = cut(counts(rates.filter("rate > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))), 1.0, seed).filter("n > 0"))
+        if (drawn.agg(F.sum("n")).first()[0] or 0) >= n:
+            break
+        days *= 2
+    per = drawn.groupBy("round").agg(F.sum("n").alias("_n"))  # a row a day
+    needed = per.withColumn("_before", F.sum("_n").over(W.orderBy("round")) - F.col("_n")).filter(F.col("_before") < n).select("round")
+    return thinned(events(drawn.join(F.broadcast(needed), "round"), day, minutes, seed), n, seed, "round", "origin", "bin", "idx")
+
+
+def guide_table(probs: DataFrame, *keys: str, value: str = "prob") -> DataFrame:
+    """keys, destination, lo, hi, cell, size: each destination's share of [0, 1), listed in those of its group's cells that it reaches
+    into; a group has as many cells as destinations. A draw looks up one cell and meets two or three shares there on average."""
+    w = W.partitionBy(*keys).orderBy("destination") if keys else W.orderBy("destination")
+    every = W.partitionBy(*keys) if keys else W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    total = F.sum(value).over(every)
+    low = F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) / total
+    high = F.when(F.lead("destination").over(w).isNull(), 1.0).otherwise(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)) / total)
+    ends = probs.select(*keys, "destination", low.alias("lo"), high.alias("hi"), F.count("*").over(every).alias("size")).filter("lo < hi")
+    cell = lambda c: F.least(F.floor(F.col(c) * F.col("size")), F.col("size") - 1)
+    return ends.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, at: str, *keys: str) -> DataFrame:
+    """rows with destination, lo and hi of the share that their number `at` in [0, 1) falls into."""
+    sizes = table.select(*keys, "size").distinct()
+    sized = rows.join(sizes, list(keys)) if keys else rows.join(F.broadcast(sizes.limit(1)))  # one row: all have the same size
+    placed = sized.withColumn("cell", F.least(F.floor(F.col(at) * F.col("size")), F.col("size") - 1)).drop("size")
+    found = placed.join(table.drop("size"), [*keys, "cell"]).filter((F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi")))
+    return found.drop("cell")
 
 
 def destinations(rows: DataFrame, probs: DataFrame, frequency: DataFrame, seed: int, *key: str, redraw: bool = True, compat: bool = False) -> DataFrame:
     """A destination for each row (origin, bin, key): from its origin and bin, else by global frequency. A draw that equals the
     origin is made again among the others, in the proportions that redrawing without end would give them; where there are no
-    others it stays. compat: the global frequency always decides."""
-    glob = frequency.withColumns({"origin": F.lit(0), "bin": F.lit(0)})
-    table = cumulative(glob, "freq").select(F.col("cdf").alias("_g"))  # one row
-    out = rows.join(cumulative(probs), ["origin", "bin"], "left").join(F.broadcast(table))
-    out = out.withColumn("_cdf", F.col("_g") if compat else F.coalesce("cdf", "_g")).drop("cdf", "_g")
-    u = [uniform(seed, f"dest{i}", *[F.col(k) for k in key]) for i in range(2)]
-    out = out.withColumns({"_u": u[0], "_v": u[1], "_own": F.get(F.filter("_cdf", lambda x: x["destination"] == F.col("origin")), 0)})
-    first = F.coalesce(F.get(F.filter("_cdf", lambda x: x["hi"] > F.col("_u")), 0)["destination"], F.element_at("_cdf", -1)["destination"])
-    share = F.coalesce(F.col("_own.hi") - F.col("_own.lo"), F.lit(0.0))
-    left = lambda x: x["hi"] - F.when(x["hi"] > F.col("_own.hi"), share).otherwise(0.0)
-    others = F.filter("_cdf", lambda x: x["destination"] != F.col("origin"))
-    again = F.coalesce(F.get(F.filter("_cdf", lambda x: (x["destination"] != F.col("origin")) & (left(x) > F.col("_v") * (1 - share))), 0)["destination"], F.get(others, F.size(others) - 1)["destination"], F.col("origin").cast(dict(probs.dtypes)["destination"]))
-    found = F.when(first == F.col("origin"), again).otherwise(first) if redraw else first
-    return out.withColumn("destination", found).drop("_cdf", "_u", "_v", "_own")
+    others it stays. compat: the global frequency always decides. Each draw is one look-up by an equi-join with a guide table."""
+    u, v = (uniform(seed, f"dest{i}", *[F.col(k) for k in key]) for i in range(2))
+    rows_, columns = rows.withColumns({"_u": u, "_v": v}), rows.columns
+    own = guide_table(probs, "origin", "bin")
+    everywhere = guide_table(frequency.select("destination", F.col("freq").alias("prob")))
+    known = probs.select("origin", "bin").distinct()
+    sides = [(rows_, everywhere, ())] if compat else [(rows_.join(known, ["origin", "bin"], "left_semi"), own, ("origin", "bin")), (rows_.join(known, ["origin", "bin"], "left_anti"), everywhere, ())]
+    out = None
+    for side, table, keys in sides:
+        drawn = looked_up(side, table, "_u", *keys)
+        if redraw:
+            same = F.col("destination") == F.col("origin")
+            # a second number over the shares of the others, put beyond the origin's own share where it reaches that
+            share = F.col("hi") - F.col("lo")
+            p = F.col("_v") * (1 - share)
+            again = F.when(p < F.col("lo"), p).when(F.col("hi") >= 1.0, F.col("lo") * (1 - 2.0**-52)).otherwise(F.greatest(p + share, F.col("hi")))
+            one = drawn.filter(~same | (share >= 1)).select(*columns, "destination")
+            two = looked_up(drawn.filter(same & (share < 1)).withColumn("_w", again).drop("destination", "lo", "hi"), table, "_w", *keys)
+            drawn = one.unionByName(two.select(*columns, "destination"))
+        drawn = drawn.select(*columns, "destination")
+        out = drawn if out is None else out.unionByName(drawn)
+    return out
 
 
 def bootstrapped(rows: DataFrame, pool: DataFrame, seed: int, *key: str, value: str = "duration_min", min_samples: int = 1, default: float | None = None) -> DataFrame:

@@ -210,9 +210,14 @@ def lightest_out(points: DataFrame, metres: float) -> DataFrame:
 
 def grid_points(spark, boxes: list[tuple[str, tuple]], nx: int, ny: int, altitude: float, prefix: str = "GRID") -> DataFrame:
     """Tile centres of each named box (lat and lon minimum, then maximum)."""
+    rows = [(name, *map(float, box)) for name, box in boxes]
+    return grid_of(spark.createDataFrame(rows, "region string, lat0 double, lon0 double, lat1 double, lon1 double"), nx, ny, altitude, prefix)
+
+
+def grid_of(boxes: DataFrame, nx: int, ny: int, altitude: float, prefix: str = "GRID") -> DataFrame:
+    """Tile centres of boxes (region, lat0, lon0, lat1, lon1); names with what is no letter or digit as _."""
     clean = lambda s: "".join(c if c.isalnum() else "_" for c in s).upper()
-    rows = [(clean(name), *map(float, box)) for name, box in boxes]
-    b = spark.createDataFrame(rows, "region string, lat0 double, lon0 double, lat1 double, lon1 double")
+    b = boxes.withColumn("region", F.upper(F.regexp_replace("region", r"[^\p{L}\p{N}]", "_")))
     g = b.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ny - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
     lat = F.col("lat0") + (F.col("y") + 0.5) * (F.col("lat1") - F.col("lat0")) / ny
     lon = F.col("lon0") + (F.col("x") + 0.5) * (F.col("lon1") - F.col("lon0")) / nx
@@ -228,6 +233,38 @@ def grid_edges(grid: DataFrame) -> DataFrame:
     return a.join(b, ["region", "y", "x"]).filter("id_a < id_b").select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), between().alias("d"))
 
 
+def region_edges(regions: DataFrame, step: float = 1.0) -> DataFrame:
+    """regions (region, lats, lons: arrays of the corners) -> region, y1, x1, y2, x2, _band, _cell: the sides of the polygons, each in
+    every cell of `step` degrees where a point can lie whose ray to the east meets it: in its bands of latitude, from the west end of
+    its polygon to its own east end."""
+    n = F.size("lats")
+    side = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("lats", i).alias("y1"), F.get("lons", i).alias("x1"), F.get("lats", (i + 1) % n).alias("y2"), F.get("lons", (i + 1) % n).alias("x2")))
+    sides = regions.filter(n >= 3).select("region", F.array_min("lons").alias("_west"), F.explode(side).alias("s")).select("region", "_west", "s.*").filter("y1 <> y2")
+    flat = F.abs(F.col("y1") - F.col("y2")) < 1e-9  # where the place of the crossing depends on the guard of the formula
+    east = F.when(flat, 361.0).otherwise(F.greatest("x1", "x2") + 1e-9)
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / step), F.floor(b / step)))
+    return sides.withColumn("_band", cells(F.least("y1", "y2"), F.greatest("y1", "y2"))).withColumn("_cell", cells(F.when(flat, -361.0).otherwise(F.col("_west") - 1e-9), east)).drop("_west")
+
+
+def in_region_table(points: DataFrame, regions: DataFrame, step: float = 1.0) -> DataFrame:
+    """points (id, lat, lon), regions (region, lats, lons) -> id, region: every region that a point is in, by the even-odd rule of
+    geo.in_polygon. A point meets the sides in its own cell only, and crossings are counted with partial sums, so neither many
+    regions nor many points in one make a large task."""
+    at = points.select("id", "lat", "lon", F.floor(F.col("lat") / step).alias("_band"), F.floor(F.col("lon") / step).alias("_cell"))
+    met = at.join(region_edges(regions, step), ["_band", "_cell"])
+    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1") + 1e-15) + F.col("x1"))
+    return met.filter(crosses).groupBy("id", "region").agg(F.count("*").alias("_n")).filter("_n % 2 = 1").select("id", "region")
+
+
+def kept_in_regions(points: DataFrame, regions: DataFrame, step: float = 1.0) -> DataFrame:
+    """points (id, lat, lon), regions (scenario, region, lats, lons) -> scenario, id: the points in any region of a scenario; in a
+    scenario whose regions hold no point at all the regions don't count, and all points are kept."""
+    own = regions.select("scenario", "region").distinct()
+    inside = in_region_table(points, regions.select("region", "lats", "lons"), step).join(own, "region").select("scenario", "id").distinct()
+    none = own.select("scenario").distinct().join(inside.select("scenario").distinct(), "scenario", "left_anti")
+    return inside.unionByName(none.crossJoin(points.select("id")))  # all points of such a scenario are the result
+
+
 def expanded(vertices: DataFrame, levels: list[tuple[int, float, str]]) -> DataFrame:
     """vertices (id, lat, lon, is_airport) -> id, base, lat, lon, alt, is_airport, level: airports once on the ground (level -1),
     other points once a level."""

@@ -11,6 +11,7 @@ from skylattice.plans import standins as S
 from skylattice.plans.standins import heads
 from skylattice.sinks import writers
 from skylattice.streaming import rates as streamed
+from skylattice.streaming import turnarounds as streamed_turnarounds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -152,19 +153,54 @@ def bbox_filter(spark, d):
     return S.navpoints(spark, d).filter(geo.in_box(F.col("lat"), F.col("lon"), geo.bounds(S.CENTRAL_EUROPE))).select("id")
 
 
-BOXES = [("central europe", geo.bounds(S.CENTRAL_EUROPE)), ("north", (50.0, 0.0, 60.0, 20.0))]
-GRID = """WITH box(region, lat0, lon0, lat1, lon1) AS (VALUES ('CENTRAL_EUROPE', 45.32967::DOUBLE, 0.46895::DOUBLE, 56.64614::DOUBLE, 18.14017::DOUBLE), ('NORTH', 50.0::DOUBLE, 0.0::DOUBLE, 60.0::DOUBLE, 20.0::DOUBLE)),
+GRID = (
+    heads("nav")
+    + """, box AS (SELECT 'NATION_' || c_nationkey AS region, min(lat) AS lat0, min(lon) AS lon0, max(lat) AS lat1, max(lon) AS lon1 FROM nav JOIN customer ON c_custkey = id GROUP BY 1),
 g AS (SELECT 'GRID_' || region || '_Y' || lpad(y::VARCHAR, 2, '0') || 'X' || lpad(x::VARCHAR, 2, '0') AS id, region, y, x, lat0 + (y + 0.5::DOUBLE) * (lat1 - lat0) / 7 AS lat, lon0 + (x + 0.5::DOUBLE) * (lon1 - lon0) / 5 AS lon, 0.0::DOUBLE AS alt FROM box, (SELECT unnest(range(0, 7)) AS y), (SELECT unnest(range(0, 5)) AS x))"""
+)
+
+
+def nation_grid(spark, d):
+    """Grids over the boxes around each nation's points."""
+    nation = S.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("region"))
+    boxes = S.navpoints(spark, d).join(nation, "id").groupBy("region").agg(F.min("lat").alias("lat0"), F.min("lon").alias("lon0"), F.max("lat").alias("lat1"), F.max("lon").alias("lon1"))
+    return spatial.grid_of(boxes, 5, 7, 0.0)
 
 
 @query(GRID + " SELECT id, region, y::INTEGER AS y, x::INTEGER AS x, round(lat, 9) AS lat, round(lon, 9) AS lon FROM g")
 def grid_points(spark, d):
-    return spatial.grid_points(spark, BOXES, 5, 7, 0.0).select("id", "region", "y", "x", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    return nation_grid(spark, d).select("id", "region", "y", "x", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
 @query(GRID + f" SELECT a.id AS u, b.id AS v, round({S.slant('a', 'b')}, 3) AS d FROM g a JOIN g b ON a.region = b.region AND a.id < b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1")
 def grid_edges_8nb(spark, d):
-    return spatial.grid_edges(spatial.grid_points(spark, BOXES, 5, 7, 0.0)).select("u", "v", metres())
+    return spatial.grid_edges(nation_grid(spark, d)).select("u", "v", metres())
+
+
+def _regions(spark, d):
+    """Four-sided regions, one a part, in forty scenarios, of which some lie where there is no airport."""
+    k = F.col("p_partkey")
+    lat, lon, r = 45 + F.when(k % 40 < 3, 40).otherwise(0) + (k * 3701 % 9973) / 1000, 5 + (k * 7309 % 14983) / 1000, 0.05 + (k % 7) * 0.15
+    corner = lambda *c: F.array(*c)
+    return S.table(spark, d, "part").select(
+        (k % 40).cast("long").alias("scenario"), k.cast("long").alias("region"), corner(lat + r, lat, lat - r, lat + 0.1 * r).alias("lats"), corner(lon, lon + r, lon, lon - 0.7 * r).alias("lons")
+    )
+
+
+REGIONS = heads("air") + """, c AS (SELECT (p_partkey % 40)::BIGINT AS scenario, p_partkey::BIGINT AS region, 45 + CASE WHEN p_partkey % 40 < 3 THEN 40 ELSE 0 END + (p_partkey * 3701 % 9973)::DOUBLE / 1000 AS lat, 5 + (p_partkey * 7309 % 14983)::DOUBLE / 1000 AS lon, 0.05::DOUBLE + (p_partkey % 7) * 0.15::DOUBLE AS r FROM part),
+e AS (SELECT scenario, region, unnest([{'y1': lat + r, 'x1': lon, 'y2': lat, 'x2': lon + r}, {'y1': lat, 'x1': lon + r, 'y2': lat - r, 'x2': lon}, {'y1': lat - r, 'x1': lon, 'y2': lat + 0.1::DOUBLE * r, 'x2': lon - 0.7::DOUBLE * r}, {'y1': lat + 0.1::DOUBLE * r, 'x1': lon - 0.7::DOUBLE * r, 'y2': lat + r, 'x2': lon}]) AS s FROM c),
+inside AS (SELECT scenario, region, id FROM e, air WHERE (s.y1 > lat) <> (s.y2 > lat) AND lon < (s.x2 - s.x1) * (lat - s.y1) / (s.y2 - s.y1 + 1e-15::DOUBLE) + s.x1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+@query(REGIONS + " SELECT id, region FROM inside")
+def airports_in_many_regions(spark, d):
+    return spatial.in_region_table(S.airports(spark, d), _regions(spark, d))
+
+
+@query(REGIONS + " SELECT DISTINCT scenario, id FROM inside UNION ALL SELECT scenario, id FROM (SELECT DISTINCT scenario FROM c WHERE scenario NOT IN (SELECT scenario FROM inside)), air")
+def airports_of_scenarios(spark, d):
+    """Airports in each scenario's regions; all of them where there is none inside."""
+    return spatial.kept_in_regions(S.airports(spark, d), _regions(spark, d))
 
 
 LV = [(0, 3048.0, "FL100"), (1, 6096.0, "FL200"), (2, 9144.0, "FL300")]
@@ -504,3 +540,15 @@ def solver_edges(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_rates(spark, d):
     return streamed.hourly(spark, d)
+
+
+@query("WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_closed_windows(spark, d):
+    """Only the windows that can't change any more."""
+    return streamed.closed(spark, d)
+
+
+@query(TAT)
+def stream_turnarounds(spark, d):
+    """Turnarounds by state per aircraft."""
+    return streamed_turnarounds.of_events(spark, d).select("flight_id", "tat_min")

@@ -203,10 +203,8 @@ def keep_first(spark, d):
 @query(GRID + " SELECT id, region, y::INTEGER AS y, x::INTEGER AS x FROM g")
 def grid_names(spark, d):
     """Places in the grid, read from the names of its points."""
-    from skylattice.operators import spatial
-
     y, x = scalar.grid_index(F.col("id"))
-    return spatial.grid_points(spark, catalogue.BOXES, 5, 7, 0.0).select("id", "region", y.alias("y"), x.alias("x"))
+    return catalogue.nation_grid(spark, d).select("id", "region", y.alias("y"), x.alias("x"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 WHEN event_id % 3 = 0 THEN -1 ELSE event_id END::BIGINT AS number FROM events")
@@ -215,12 +213,14 @@ def safe_numbers(spark, d):
     return S.table(spark, d, "events").select("event_id", scalar.safe_int(text).alias("number"))
 
 
-@query("SELECT n AS level, n * 30.48::DOUBLE AS metres, 4572.0::DOUBLE AS base FROM (SELECT unnest([100, 150, 200])::DOUBLE AS n)")
+@query("""WITH l AS (SELECT DISTINCT c_nationkey::BIGINT AS nation, (50 * (1 + c_custkey % 7))::DOUBLE AS level FROM customer)
+SELECT nation, level, (row_number() OVER (PARTITION BY nation ORDER BY level) - 1)::INTEGER AS place, round(level * 30.48::DOUBLE, 6) AS metres, round(avg(level * 30.48::DOUBLE) OVER (PARTITION BY nation), 6) AS base FROM l""")
 def flight_levels(spark, d):
-    """Levels, distinct and ascending, and the altitude of the layer below them: their mean."""
-    up = geo.levels("200;100,150,100")
-    rows = [(float(tag[2:]), m, geo.base_altitude(up)) for _, m, tag in up]
-    return spark.createDataFrame(rows, "level double, metres double, base double").withColumns({"metres": F.round("metres", 6), "base": F.round("base", 6)})
+    """Each nation's levels, distinct and ascending, and the altitude of the layer below them: their mean."""
+    w = model.W.partitionBy("nation")
+    rows = S.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), (50 * (1 + F.col("c_custkey") % 7)).cast("double").alias("level")).distinct()
+    metres = geo.flight_level_metres(F.col("level"))
+    return rows.select("nation", "level", (F.row_number().over(w.orderBy("level")) - 1).alias("place"), F.round(metres, 6).alias("metres"), F.round(F.avg(metres).over(w), 6).alias("base"))
 
 
 # --- flights ----------------------------------------------------------------------------------------------
@@ -369,11 +369,14 @@ def set_operations(spark, d):
     return n.intersect(a).unionByName(a.subtract(n).select((-F.col("id")).alias("id")))
 
 
-@query("SELECT s::DOUBLE AS scale, k AS seed, (row_number() OVER (ORDER BY s, k) - 1)::BIGINT AS place FROM (SELECT unnest([0.5, 1.0]) AS s), (SELECT unnest([1, 2, 3])::BIGINT AS k)")
+@query("SELECT s AS scale, k AS seed, (row_number() OVER (ORDER BY s, k) - 1)::BIGINT AS place FROM (SELECT DISTINCT (r_regionkey + 1) / 2.0::DOUBLE AS s FROM region), (SELECT DISTINCT n_nationkey::BIGINT AS k FROM nation)")
 def experiment_grid(spark, d):
+    """Every scale with every seed, in the order of the experiments; scales and seeds are the rows of two tables."""
     from skylattice.plans import scenario
 
-    return spark.createDataFrame([(float(s), k, i) for i, (s, k) in enumerate(scenario.grid(scenario.Parameters(scales=[0.5, 1.0], seeds=[1, 2, 3])))], "scale double, seed long, place long").select("scale", "seed", "place")
+    scales = S.table(spark, d, "region").select(((F.col("r_regionkey") + 1) / 2.0).alias("scale"))
+    seeds = S.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("seed"))
+    return scenario.grid_table(scales, seeds)
 
 
 @query(

@@ -96,6 +96,12 @@ def grid(p: Parameters) -> list[tuple[float, int]]:
     return [(s, k) for s in p.scales for k in p.seeds]
 
 
+def grid_table(scales: DataFrame, seeds: DataFrame) -> DataFrame:
+    """scale, seed, place: the same of two tables."""
+    every = scales.select("scale").distinct().crossJoin(seeds.select("seed").distinct())  # each pair is a row of the result
+    return graph.first_appearance(every.withColumn("_k", F.struct("scale", "seed")), "_k", F.col("_k")).select("_k.scale", "_k.seed", F.col("id").alias("place"))
+
+
 def made(spark: SparkSession, folder: str, mark: str, force: bool, write: Callable[[str], None]) -> bool:
     """Writes a stage's folder unless it is there with the same mark. The new folder is whole before it takes the old one's place."""
     if not force and storage.exists(spark, f"{folder}/parameters.txt") and storage.read_text(spark, f"{folder}/parameters.txt") == mark:
@@ -166,8 +172,9 @@ def navigation(spark: SparkSession, ports: DataFrame, boxes: list, p: Parameters
         if p.min_separation_m >= 0:
             v = cut(spatial.separated(v, p.min_separation_m))
         edges = linked(v.filter("is_airport = 0").select(*names), p)
-    edges = edges.unionByName(spatial.knn_attach(v.filter("is_airport = 1").select(*names), v.filter("is_airport = 0").select(*names), p.nearest, p.max_edge_m))
-    edges = cut(graph.graph(edges))
+    attached = spatial.knn_attach(v.filter("is_airport = 1").select(*names), v.filter("is_airport = 0").select(*names), p.nearest, p.max_edge_m)
+    edges = edges.withColumn("ordinal", F.lit(0)).unionByName(attached.withColumn("ordinal", F.lit(1)))  # as they come in the file: the last one counts
+    edges = cut(graph.graph(edges, "ordinal"))
     edges = cut(edges.unionByName(graph.bridges(v, edges, p.connect)))
     if not up:
         return v, edges
