@@ -150,8 +150,8 @@ def shortest_costs(arcs: DataFrame, sources: DataFrame, width: int | None = None
     only. Arcs lie bucketed by their start and settled costs by source and node: a round shuffles what is new, not the graph."""
     spark, n = arcs.sparkSession, int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arcs = arcs.select("u", "v", F.col("w").cast("long").alias("w"))
-    heaviest = arcs.agg(F.max("w")).first()[0]
-    width = int(width or heaviest or 1)
+    heaviest = arcs.agg(F.max("w")).first()[0] or 0
+    width = int(width or heaviest or 1)  # 1 where there is no arc
     graph_at, done_at = Bucketed(spark, n, "u"), Bucketed(spark, n, "src", "node")
     graph_at.add(arcs)
     done = None

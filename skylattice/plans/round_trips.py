@@ -28,6 +28,13 @@ def text_file(df: DataFrame, path: str) -> str:
     return path
 
 
+def ordered_text(df: DataFrame, order: str, path: str, head: str | None = None) -> str:
+    """Lines (order, line) as one text file in their order."""
+    rows = df.select(order, "line") if head is None else df.select(order, "line").unionByName(df.sparkSession.createDataFrame([(-1, head)], f"{order} long, line string"))
+    rows.orderBy(order).select("line").coalesce(1).write.text(path)
+    return path
+
+
 def _plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -391,3 +398,57 @@ def shortest_routes(spark, d):
     tree = graph.shortest_costs(S.arcs(spark, d), spark.createDataFrame([(0,)], "src long"))
     walk = graph.routes(tree, tree.select(F.col("node").alias("flight_id"), "src", F.col("node").alias("dst")))
     return walk.select(F.col("flight_id").alias("dst"), "seq", "node", "dist")
+
+
+# --- texts whose lines have an order ----------------------------------------------------------------------
+
+TEXT_NAV = heads("nav") + ", l AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n, printf('%.6f', lat)::DOUBLE AS y, printf('%.6f', lon)::DOUBLE AS x FROM nav)"
+
+
+def _nav_lines(spark, d) -> DataFrame:
+    lat, lon = (F.format_string("%.6f", c) for c in ("lat", "lon"))
+    return S.navpoints(spark, d).select(F.col("id").cast("long").alias("id"), lat.alias("y"), lon.alias("x"))
+
+
+@query(TEXT_NAV + " SELECT 'N' || (id % 700) AS id, arg_min(y, n) AS lat, arg_min(x, n) AS lon, min(n) AS ordinal FROM l WHERE id % 17 <> 0 AND n < (SELECT min(n) FROM l WHERE id >= (SELECT count(*) * 4 // 5 FROM nav)) GROUP BY 1")
+def file_fixes(spark, d):
+    """A fix text of which the last fifth is behind its end, with lines that can't be read and names that come again."""
+    n = S.navpoints(spark, d).count()
+    end = F.when(F.col("id") >= n * 4 // 5, F.when(F.col("id") % 3 == 0, "  99").otherwise("99 end"))
+    line = F.when(F.col("id") % 17 == 0, "no fix here").otherwise(F.concat_ws("  ", "y", "x", F.concat(F.lit("n"), (F.col("id") % 700).cast("string")), F.lit("ENRT")))
+    return readers.fixes(spark, ordered_text(_nav_lines(spark, d).withColumn("line", F.coalesce(end, line)), "id", folder(spark)))
+
+
+@query(
+    TEXT_NAV
+    + """, k AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'LAST' || id % 400 ELSE 'EN' || id % 300 END AS name FROM l WHERE id % 6 < 4 AND id % 13 <> 0)
+SELECT name AS id, arg_min(y, n) AS lat, arg_min(x, n) AS lon, min(n) AS ordinal FROM k GROUP BY 1"""
+)
+def file_aids(spark, d):
+    """A navigation text: codes of aids and others, lines to pass over, long and short lines."""
+    id_ = F.col("id").cast("string")
+    code = F.element_at(F.array(*map(F.lit, ("2", "3", "12", "13", "4", "6"))), (F.col("id") % 6 + 1).cast("int"))
+    tail = F.when(F.col("id") % 5 == 0, F.concat(F.lit("Last"), (F.col("id") % 400).cast("string"))).otherwise(F.concat(F.lit("1 2 3 4 ID"), id_, F.lit(" En"), (F.col("id") % 300).cast("string"), F.lit(" NAME")))
+    line = F.concat(F.when(F.col("id") % 13 == 0, "99 ").otherwise(""), F.concat_ws(" ", code, "y", "x", tail))
+    return readers.aids(spark, ordered_text(_nav_lines(spark, d).withColumn("line", line), "id", folder(spark)))
+
+
+FLIGHT_LINES = """WITH f AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) + 1 AS line_number, CASE o_orderkey % 50 WHEN 7 THEN 'junk' WHEN 9 THEN 'time' WHEN 11 THEN 'fields' END AS reason FROM orders)"""
+
+
+def _flight_file(spark, d) -> str:
+    o = S.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+    time = F.when(F.col("id") % 50 == 7, "10 o'clock").when(F.col("id") % 50 == 9, "").otherwise(F.concat("at", F.lit("+0000")))
+    line = F.concat_ws(",", F.concat(F.lit("F"), F.col("id").cast("string")), F.lit("A1"), F.lit("EDDF"), F.lit("LFPG"), time, F.when(F.col("id") % 50 == 11, "more"))
+    return ordered_text(o.withColumn("line", line), "id", folder(spark), "Flight-ID,aircraft_id,ORIGIN,destination,departure time")
+
+
+@query(FLIGHT_LINES + " SELECT line_number, 'F' || id AS flight_id, reason FROM f WHERE reason IS NOT NULL")
+def file_flights_quarantine(spark, d):
+    """The lines of a flight file that give no flight, by their numbers."""
+    return readers.checked_flights(spark, _flight_file(spark, d))[1].select("line_number", "flight_id", "reason")
+
+
+@query(FLIGHT_LINES + " SELECT 'F' || id AS flight_id, o_orderdate AS departure FROM f JOIN orders ON o_orderkey = id WHERE reason IS NULL")
+def file_flights_good(spark, d):
+    return _plain(readers.checked_flights(spark, _flight_file(spark, d))[0].select("flight_id", "departure"), "departure")

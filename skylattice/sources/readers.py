@@ -6,6 +6,7 @@ fallbacks by alias and by position.
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 
@@ -88,33 +89,39 @@ def icao_set(spark: SparkSession, path: str | None) -> DataFrame:
     return df.select(F.explode(F.array(*[F.upper(F.trim(c)) for c in cols])).alias("icao")).filter(F.col("icao").rlike(ICAO)).distinct()
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, n: a small text file with its line numbers."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, line: the lines of text files with their numbers from 0 in each file.
+
+    A file is read in blocks by as many tasks as it has; a line's number is its place in its block and the number of lines in the
+    file's blocks before. Only a row a block is counted and sent, no line is moved or sorted."""
+    m = F.col("_metadata")
+    rows = spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_m"), F.col("value").alias("line"))
+    blocks = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(blocks.withColumn("_before", before), ["file", "_block"]).select("file", (F.col("_m") - F.col("_first") + F.col("_before")).alias("n"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def _first_named(rows: DataFrame) -> DataFrame:
-    w = W.partitionBy("id").orderBy("n")
-    return rows.dropna(subset=["id", "lat", "lon"]).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("id", "lat", "lon", F.col("n").alias("ordinal"))
+    first = rows.dropna(subset=["id", "lat", "lon"]).groupBy("id").agg(F.min(F.struct("file", "n", "lat", "lon")).alias("m"))
+    return first.select("id", "m.lat", "m.lon", F.col("m.n").alias("ordinal"))
 
 
 def fixes(spark: SparkSession, path: str) -> DataFrame:
-    """id, lat, lon of a fix text: 'lat lon name ...' lines up to one that starts with 99."""
-    lines = _lines(spark, path)
-    stop = lines.filter(F.trim("line").startswith("99")).agg(F.min("n").alias("_stop"))
+    """id, lat, lon, ordinal (line number) of fix texts: 'lat lon name ...' lines up to one that starts with 99 in each file."""
+    lines = numbered_lines(spark, path)
+    stop = lines.filter(F.trim("line").startswith("99")).groupBy("file").agg(F.min("n").alias("_stop"))
     t = F.split(F.trim("line"), r"\s+")
-    rows = lines.join(F.broadcast(stop)).filter(F.col("_stop").isNull() | (F.col("n") < F.col("_stop"))).filter(F.size(t) >= 3)
-    return _first_named(rows.select("n", t[0].try_cast("double").alias("lat"), t[1].try_cast("double").alias("lon"), F.upper(t[2]).alias("id")))
+    rows = lines.join(stop, "file", "left").filter(F.col("_stop").isNull() | (F.col("n") < F.col("_stop"))).filter(F.size(t) >= 3)
+    return _first_named(rows.select("file", "n", t[0].try_cast("double").alias("lat"), t[1].try_cast("double").alias("lon"), F.upper(t[2]).alias("id")))
 
 
 def aids(spark: SparkSession, path: str, ident_token: int = 8) -> DataFrame:
     """id, lat, lon of a navigation text; lines that start with 99 are passed over. The ident is token `ident_token` from 0, or the
     last one; 7 is where the format itself has it."""
     t = F.split(F.trim("line"), r"\s+")
-    rows = _lines(spark, path).filter(~F.trim("line").startswith("99") & (F.size(t) >= 3)).filter(t[0].try_cast("int").isin(*AID_CODES))
+    rows = numbered_lines(spark, path).filter(~F.trim("line").startswith("99") & (F.size(t) >= 3)).filter(t[0].try_cast("int").isin(*AID_CODES))
     ident = F.when(F.size(t) > ident_token, F.element_at(t, ident_token + 1)).otherwise(F.element_at(t, -1))
-    return _first_named(rows.select("n", t[1].try_cast("double").alias("lat"), t[2].try_cast("double").alias("lon"), F.upper(ident).alias("id")))
+    return _first_named(rows.select("file", "n", t[1].try_cast("double").alias("lat"), t[2].try_cast("double").alias("lon"), F.upper(ident).alias("id")))
 
 
 def navigation_file(spark: SparkSession, folder: str, name: str) -> str:
@@ -200,14 +207,37 @@ def graph_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return v, e
 
 
+def checked_flights(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Flights with strict ISO times, and the lines that give none: file, line_number (from 1, as an editor shows it), line, flight_id,
+    reason (fields, time, or junk for a time with characters that no time has). Blank lines are neither."""
+    lines = numbered_lines(spark, path)
+    head = lines.filter("n = 0").select("line").first()
+    if head is None:
+        raise ValueError(f"{path} is empty")
+    names = next(csv.reader([head["line"].lstrip("\ufeff")]))
+    schema = ", ".join(f"`{c.replace('`', '')}` string" for c in [*names, CORRUPT])
+    body = lines.filter((F.col("n") > 0) & (F.trim("line") != ""))
+    rows = body.withColumn("_p", F.from_csv("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})).select(F.col("file").alias(MARKS[0]), (F.col("n") + 1).alias(MARKS[1]), F.col("line").alias(MARKS[2]), "_p.*")
+    wanted = {"flight_id": ("id",), "aircraft_id": ("airplane_id",), "origin": ("from",), "destination": ("to",), "departure_time": ("departure",)}
+    rows = resolve(rows, wanted | dict.fromkeys((*MARKS, CORRUPT), ())).withColumn("departure", F.try_to_timestamp("departure_time", F.lit("yyyy-MM-dd'T'HH:mm:ssZ")))
+    junk = F.coalesce(F.col("departure_time").rlike(r"[^0-9T:+\-Z.]"), F.lit(False))
+    reason = F.when(F.col(CORRUPT).isNotNull(), "fields").when(F.col("departure").isNull() & junk, "junk").when(F.col("departure").isNull(), "time")
+    rows = rows.withColumn("reason", reason)
+    bad = rows.filter("reason is not null").select(*(F.col(m).alias(c) for m, c in zip(MARKS, ("file", "line_number", "line"))), "flight_id", "reason")
+    return rows.filter("reason is null").drop(*MARKS, CORRUPT, "departure_time", "reason"), bad
+
+
+#: Names of the columns that go with a line through parsing.
+MARKS, CORRUPT = ("__file", "__number", "__text"), "__corrupt"
+
+
 def flights(spark: SparkSession, path: str) -> DataFrame:
-    """Flights with strict ISO times. Rows that don't parse are reported with what looks wrong, and raise."""
-    df = resolve(text_csv(spark, path), {"flight_id": ("id",), "aircraft_id": ("airplane_id",), "origin": ("from",), "destination": ("to",), "departure_time": ("departure",)})
-    df = df.withColumn("departure", F.try_to_timestamp("departure_time", F.lit("yyyy-MM-dd'T'HH:mm:ssZ")))
-    bad = df.filter("departure is null").select("flight_id", "departure_time", F.coalesce(F.col("departure_time").rlike(r"[^0-9T:+\-Z.]"), F.lit(True)).alias("junk")).limit(10).collect()
-    if bad:
-        raise ValueError(f"unreadable departure times: {[tuple(r) for r in bad]}")
-    return df.drop("departure_time")
+    """Flights with strict ISO times. Lines that don't give one are reported by file and number, and raise."""
+    good, bad = checked_flights(spark, path)
+    found = bad.orderBy("file", "line_number").limit(10).collect()
+    if found:
+        raise ValueError("unreadable flights: " + "; ".join(f"{r['file'].rsplit('/', 1)[-1]} line {r['line_number']} ({r['reason']}): {r['line'][:200]}" for r in found))
+    return good
 
 
 def filed(spark: SparkSession, path: str) -> DataFrame:

@@ -490,3 +490,115 @@ def test_entry_point_without_llm(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """A file read in many blocks has the numbers of its lines, with either line end; files are numbered by themselves."""
+    lines = [f"{i} {'x' * (i % 50)}" for i in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_bytes("\r\n".join(lines[:500]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5 or rows.count() == 3500
+        got = sorted((r["file"][-5:], r["n"], r["line"]) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == sorted([("a.txt", i, x) for i, x in enumerate(lines)] + [("b.txt", i, x) for i, x in enumerate(lines[:500])])
+
+
+def test_bad_flight_lines_are_named(spark, tmp_path):
+    f = tmp_path / "fl.csv"
+    f.write_text("id,Aircraft-ID,from,to,departure\nF1,A,EDDF,LFPG,2024-01-01T10:00:00+0000\n\nF2,A,EDDF,LFPG,ten\nF3,A,EDDF\nF4,A,EDDF,LFPG,2024-13-01T10:00:00+0000\n")
+    good, bad = readers.checked_flights(spark, str(f))
+    assert [r["flight_id"] for r in good.collect()] == ["F1"]
+    assert sorted((r["line_number"], r["flight_id"], r["reason"]) for r in bad.collect()) == [(4, "F2", "junk"), (5, "F3", "fields"), (6, "F4", "time")]
+    with pytest.raises(ValueError, match="fl.csv line 4"):
+        readers.flights(spark, str(f))
+
+
+def test_exact_quantiles(spark):
+    r = random.Random(4)
+    for values in ([1.5], [2.0, 1.0], [r.gauss(0, 1e6) for _ in range(5000)], [float(r.randrange(7)) for _ in range(3000)], [1e-300, 1e300, 5.0, -1e300], [3.0] * 20 + [4.0]):
+        shares = [0.0, 1 / 3, 0.5, 2 / 3, 1.0]
+        got = model.quantiles(spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double"), "x", shares, bins=8, few=3)
+        assert got == pytest.approx([float(q) for q in np.quantile(values, shares)], rel=1e-12)
+    assert model.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
+
+
+def test_streamed_turnarounds_go_on_over_runs(spark, tmp_path):
+    """State goes over from run to run; what comes late gets nothing and takes nobody's place."""
+    import glob as g
+
+    from skylattice.plans import standins
+    from skylattice.streaming import turnarounds
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    middle = events.selectExpr("percentile_approx(ts, 0.5)").first()[0]
+    late = events.orderBy("ts").limit(1)
+    parts = [events.filter(F.col("ts") < middle).join(late.select("event_id"), "event_id", "left_anti"), events.filter(F.col("ts") >= middle), late]
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        os.link(g.glob(str(tmp_path / f"p{k}/*.parquet"))[0], tmp_path / "in" / f"{k}.parquet")
+        source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        rows = turnarounds.run(spark, standins.legs_of(source), str(tmp_path / "state"))
+    want = model.turnarounds(standins.legs_of(parts[0].unionByName(parts[1])))
+    assert sorted((r["flight_id"], r["tat_min"]) for r in rows.collect()) == [(i, pytest.approx(t)) for i, t in sorted((r["flight_id"], r["tat_min"]) for r in want.collect())]
+
+
+def test_regions_in_cells(spark):
+    """The cell join is the literal expression, on corners, sides, regions over many cells and beside them."""
+    r = random.Random(8)
+    shapes = [[r.uniform(-60, 60) if k % 2 == 0 else r.uniform(-170, 170) for k in range(2 * r.randint(3, 7))] for _ in range(12)] + [[0.0, 0.0, 0.0, 10.0, 10.0, 10.0, 10.0, 0.0]]
+    at = [(r.uniform(-65, 65), r.uniform(-180, 180)) for _ in range(150)] + [(0.0, 5.0), (10.0, 5.0), (5.0, 0.0), (5.0, 10.0), (0.0, 0.0), (10.0, 10.0), (90.0, 180.0)]
+    df = points(spark, [(i, a, b, 0) for i, (a, b) in enumerate(at)])
+    regions = spark.createDataFrame([(k, k % 2, s[::2], s[1::2]) for k, s in enumerate(shapes)] + [(99, 5, [80.0, 80.0, 81.0], [0.0, 1.0, 0.0]), (98, 6, [1.0, 2.0], [1.0, 2.0])], "region long, scenario long, lats array<double>, lons array<double>")
+    want = {(row["id"], k) for k, s in enumerate(shapes) for row in df.filter(geo.in_polygon(F.col("lat"), F.col("lon"), s)).collect()}
+    assert {(x["id"], x["region"]) for x in spatial.in_region_table(df, regions, step=7.0).collect()} == want
+    kept = {}
+    for x in spatial.kept_in_regions(df, regions).collect():
+        kept.setdefault(x["scenario"], set()).add(x["id"])
+    everywhere = set(range(len(at)))
+    assert kept == {0: {i for i, k in want if k % 2 == 0}, 1: {i for i, k in want if k % 2}, 5: everywhere, 6: everywhere}
+
+
+@pytest.mark.parametrize("width", [None, 1, 2, 4, 50])
+def test_costs_in_buckets_of_any_width(spark, width):
+    r = random.Random(7)
+    e = {(a, b): r.randint(1, 9) for a, b in ((r.randrange(15), r.randrange(15)) for _ in range(45)) if a < b}
+    both = [(x, y, w) for (a, b), w in e.items() for x, y in ((a, b), (b, a))]
+    tree = graph.shortest_costs(spark.createDataFrame(both, "u long, v long, w int"), spark.createDataFrame([(s,) for s in range(16)], "src long"), width)
+    far = {(s, s): 0 for s in range(16)}
+    for _ in range(16):
+        for (s, x, d) in [(s, x, d) for (s, x), d in far.items()]:
+            for a, b, w in both:
+                if a == x and d + w < far.get((s, b), 1e9):
+                    far[s, b] = d + w
+    assert {(x["src"], x["node"]): x["dist"] for x in tree.collect()} == far
+    assert graph.shortest_costs(spark.createDataFrame([], "u long, v long, w int"), spark.createDataFrame([(3,)], "src long")).count() == 1
+
+
+def test_bridges_are_minimum_trees(spark):
+    """Far and near groups, equal distances, names that are text."""
+    r = random.Random(3)
+    at = {f"p{i}": (r.uniform(-30, 30), r.uniform(-30, 30)) for i in range(24)} | {f"q{i}": (50.0, float(i)) for i in range(6)} | {"far": (-60.0, 170.0)}
+    v = spark.createDataFrame([(k, *x, 0.0, 0, i) for i, (k, x) in enumerate(at.items())], "id string, lat double, lon double, alt double, is_airport int, ordinal long")
+    e = spark.createDataFrame([("p0", "p1", 1.0), ("p1", "p2", 1.0), ("q0", "q1", 1.0)], "u string, v string, d double")
+    links = sorted((haversine(at[a], at[b]), a, b) for a, b in itertools.combinations(sorted(at), 2))
+    group = {k: k for k in at} | {"p1": "p0", "p2": "p0", "q1": "q0"}
+    want = 0.0
+    for d, a, b in links:  # the length of a minimum tree
+        if group[a] != group[b]:
+            want += d
+            old = group[b]
+            group = {k: group[a] if g == old else g for k, g in group.items()}
+    got = graph.bridges(v, e, "closest").collect()
+    assert len(got) == len(at) - 4 and sum(x["d"] for x in got) == pytest.approx(want)
+    for method in ("mst", "greedy"):
+        b = graph.bridges(v, e, method, k=2)
+        assert b.count() == len(at) - 4
+        assert graph.components(v, e.unionByName(b)).select("component").distinct().count() == 1
