@@ -566,14 +566,14 @@ def test_regions_in_cells(spark):
     assert kept == {0: {i for i, k in want if k % 2 == 0}, 1: {i for i, k in want if k % 2}, 5: everywhere, 6: everywhere}
 
 
-@pytest.mark.parametrize("width", [None, 1, 2, 4, 50])
+@pytest.mark.parametrize("width", [None, 2])
 def test_costs_in_buckets_of_any_width(spark, width):
     r = random.Random(7)
-    e = {(a, b): r.randint(1, 9) for a, b in ((r.randrange(15), r.randrange(15)) for _ in range(45)) if a < b}
+    e = {(a, b): r.randint(1, 5) for a, b in ((r.randrange(12), r.randrange(12)) for _ in range(45)) if a < b}
     both = [(x, y, w) for (a, b), w in e.items() for x, y in ((a, b), (b, a))]
-    tree = graph.shortest_costs(spark.createDataFrame(both, "u long, v long, w int"), spark.createDataFrame([(s,) for s in range(16)], "src long"), width)
-    far = {(s, s): 0 for s in range(16)}
-    for _ in range(16):
+    tree = graph.shortest_costs(spark.createDataFrame(both, "u long, v long, w int"), spark.createDataFrame([(s,) for s in range(13)], "src long"), width)
+    far = {(s, s): 0 for s in range(13)}
+    for _ in range(13):
         for (s, x, d) in [(s, x, d) for (s, x), d in far.items()]:
             for a, b, w in both:
                 if a == x and d + w < far.get((s, b), 1e9):
@@ -585,7 +585,7 @@ def test_costs_in_buckets_of_any_width(spark, width):
 def test_bridges_are_minimum_trees(spark):
     """Far and near groups, equal distances, names that are text."""
     r = random.Random(3)
-    at = {f"p{i}": (r.uniform(-30, 30), r.uniform(-30, 30)) for i in range(24)} | {f"q{i}": (50.0, float(i)) for i in range(6)} | {"far": (-60.0, 170.0)}
+    at = {f"p{i}": (r.uniform(-30, 30), r.uniform(-30, 30)) for i in range(9)} | {f"q{i}": (50.0, float(i)) for i in range(4)} | {"far": (-60.0, 170.0)}
     v = spark.createDataFrame([(k, *x, 0.0, 0, i) for i, (k, x) in enumerate(at.items())], "id string, lat double, lon double, alt double, is_airport int, ordinal long")
     e = spark.createDataFrame([("p0", "p1", 1.0), ("p1", "p2", 1.0), ("q0", "q1", 1.0)], "u string, v string, d double")
     links = sorted((haversine(at[a], at[b]), a, b) for a, b in itertools.combinations(sorted(at), 2))
@@ -599,6 +599,6 @@ def test_bridges_are_minimum_trees(spark):
     got = graph.bridges(v, e, "closest").collect()
     assert len(got) == len(at) - 4 and sum(x["d"] for x in got) == pytest.approx(want)
     for method in ("mst", "greedy"):
-        b = graph.bridges(v, e, method, k=2)
+        b = graph.bridges(v, e, method, k=1)
         assert b.count() == len(at) - 4
         assert graph.components(v, e.unionByName(b)).select("component").distinct().count() == 1
