@@ -13,8 +13,11 @@ them in the sample, and every vector within LEAST of a group's centre (its core)
 exactly and not by the trees. Core vectors within half that angle link with each other by geometry, so they are only counted; the
 others of a group are compared in tiles of TILE rows a side, spread over tasks, which grows with the square of their number.
 
-The index is approximate: a link is missed only if its vectors are parted in every tree. Defined cases: null, zero or non-finite vectors, and vectors with null components, link with nothing; vectors of
-different lengths never link, and each length has a forest of its own; extra columns are ignored; an empty table gives no rows.
+The index is approximate: a link is missed only if its vectors are parted in every tree. Defined cases: null, zero or non-finite
+vectors, and vectors with null components, link with nothing; vectors of different lengths never link, and each length has a forest of
+its own; extra columns are ignored; an empty table gives no rows. Each row of the input gets a row and is a vector of its
+own: rows that repeat a vec_id, or have none, count as links of the others. A component is named by its smallest id that is not null;
+`kept` of a row without an id is null, and a vector that only rows without an id hold is linked with its equal copies alone.
 """
 
 from __future__ import annotations
