@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import EARTH, haversine, slant
@@ -286,16 +287,43 @@ def lifted(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def separated(points: DataFrame, metres: float) -> DataFrame:
     """Points kept when taken one by one, airports first and then by ordinal, each kept one removing the other points within
-    `metres` of it, but no airport. Rounds settle all points whose earlier neighbours are settled."""
+    `metres` of it, but no airport.
+
+    A point waits for the earlier points near it. Each round settles what waits for nothing any more, and then, block by block of the
+    map, goes through what is left of a block in order, which settles all points whose chain of waiting stays in it. Blocks are four
+    times as wide in the next round, and only points that still wait are in them, so the rounds follow the logarithm of the
+    longest chain's extent and not the number of its points."""
     from skylattice.session import cut
 
+    kind = dict(points.dtypes)["id"]
     p = points.select("id", "lat", "lon", "ordinal", "is_airport").withColumn("rank", F.struct((1 - F.col("is_airport")).alias("a"), "ordinal", "id"))
     q = p.select("id", "lat", "lon", "rank", "is_airport")
-    before = near(q, q, metres).filter("id_a <> id_b and rank_a < rank_b and is_airport_b = 0").select(F.col("id_a").alias("by"), F.col("id_b").alias("id"))
-    before = cut(before)
-    state = cut(p.select("id", F.lit(None).cast("boolean").alias("kept")))
-    while state.filter("kept is null").limit(1).count():
-        seen = before.join(state.select(F.col("id").alias("by"), F.col("kept").alias("k")), "by").groupBy("id").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("hit"), F.bool_and(F.col("k").isNotNull()).alias("settled"))
-        new = F.when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("settled", F.lit(True)), True)
-        state = cut(state.join(seen, "id", "left").select("id", F.coalesce("kept", new).alias("kept")))
-    return points.join(state.filter("kept").select("id"), "id", "left_semi")
+    before = near(q, q, metres).filter("id_a <> id_b and rank_a < rank_b and is_airport_b = 0").groupBy(F.col("id_b").alias("id")).agg(F.collect_list("id_a").alias("waits"))
+    state = cut(p.select("id", "lat", "lon", "rank").join(before, "id", "left"))
+    new = state.filter("waits is null").select("id", F.lit(True).alias("kept"))
+    waiting, settled, size = state.filter("waits is not null"), new, math.degrees(16 * metres / EARTH)
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        known: dict = {}
+        done: dict = {}
+        for i, waits, free, hit in zip(pdf["id"], pdf["waits"], pdf["free"], pdf["hit"]):
+            seen = [known.get(j) for j in waits]
+            known[i] = not hit if free else False if True in seen else None if None in seen else True
+            if not free and known[i] is not None:
+                done[i] = known[i]
+        return pd.DataFrame({"id": pd.Series(list(done), dtype=pdf["id"].dtype), "kept": pd.Series(list(done.values()), dtype="bool")})
+
+    while not waiting.isEmpty():
+        now = new.select(F.col("id").alias("by"), "kept")
+        each = waiting.select("id", F.explode("waits").alias("by")).join(now, "by", "left").groupBy("id").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.collect_list(F.when(F.col("kept").isNull(), F.col("by"))).alias("waits"))
+        state = cut(waiting.drop("waits").join(each, "id"))
+        free = F.col("hit") | (F.size("waits") == 0)
+        waiting, new = state.filter(~free).drop("hit"), state.filter(free).select("id", (~F.col("hit")).alias("kept"))
+        block = F.struct(F.floor(F.col("lat") / size), F.floor(F.col("lon") / size))
+        placed = state.withColumns({"_b": block, "_k": F.col("rank"), "free": free})  # with what was settled just now
+        # in order within a block: the kernel gets its rows sorted by their place
+        sorted_ = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_b").orderBy("_k"))).select("_b", "_place", "id", "waits", "free", "hit")
+        more = cut(sorted_.groupBy("_b").applyInPandas(lambda pdf: in_order(pdf.sort_values("_place")), f"id {kind}, kept boolean"))
+        new = new.unionByName(more)
+        settled, waiting, size = settled.unionByName(new), waiting.join(more.select("id"), "id", "left_anti"), 4 * size
+    return points.join(settled.filter("kept").select("id"), "id", "left_semi")

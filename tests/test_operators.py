@@ -82,6 +82,22 @@ def ring(n):
     return [(i, (i + 1) % n) for i in range(n)]
 
 
+def test_separation_of_a_long_chain(spark):
+    """A chain in which each point waits for the one before, and a crowd in a random order; both as one by one."""
+    r = random.Random(5)
+    at = [(0.0, 0.004 * i) for i in range(3000)] + [(5 + r.uniform(0, 0.2), r.uniform(0, 0.2)) for _ in range(300)]
+    rows = [(f"p{i}", a, b, 0.0, int(i % 97 == 3000 % 97 and i >= 3000), i if i < 3000 else 3000 + (i * 7919 % 300)) for i, (a, b) in enumerate(at)]
+    got = {x["id"] for x in spatial.separated(spark.createDataFrame(rows, "id string, lat double, lon double, alt double, is_airport int, ordinal long"), 500.0).collect()}
+    kept, cells = set(), {}
+    for i, a, b, _, air, o in sorted(rows, key=lambda x: (1 - x[4], x[5], x[0])):
+        c = (int(a / 0.01), int(b / 0.01))
+        close = [k for x in (-1, 0, 1) for y in (-1, 0, 1) for k in cells.get((c[0] + x, c[1] + y), [])]
+        if air or not any(haversine((a, b), k) <= 500.0 for k in close):
+            kept.add(i)
+            cells.setdefault(c, []).append((a, b))
+    assert got == kept and len(kept) < 2000
+
+
 def test_components_and_bridges(spark):
     rows = [(i, 50 + i * 0.1, 10, 0) for i in range(3)] + [(10 + i, 50 + i * 0.1, 12, 0) for i in range(3)] + [(20, 55, 11, 0)]
     v = points(spark, rows)
