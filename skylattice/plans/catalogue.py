@@ -488,7 +488,7 @@ def bfs_sectors(spark, d):
     return sectors.sectors(S.navpoints(spark, d), _pairs(spark, d), 20)
 
 
-@query()
+@query(sequential.CONVEX_SECTORS)
 def convex_sectors(spark, d):
     return sectors.sectors(S.navpoints(spark, d), spatial.gabriel(_pairs(spark, d)), 8, convex=True)
 
