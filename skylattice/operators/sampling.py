@@ -117,7 +117,7 @@ def bootstrapped(rows: DataFrame, pool: DataFrame, seed: int, *key: str, value:
     base = ordered.groupBy("_p").agg(F.sum("_c").alias("_n")).withColumn("_base", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).drop("_n")  # a row a partition
     ordered = ordered.withColumn("_to", F.sum("_c").over(W.partitionBy("_p").orderBy(value))).join(F.broadcast(base), "_p")
     every = ordered.select((F.col("_base") + F.col("_to") - F.col("_c")).alias("_lo"), (F.col("_base") + F.col("_to")).alias("_hi"), F.col(value).alias("_v"))
-    total = pool.count()
+    values, total = ordered.agg(F.count("*"), F.sum("_c")).first()
     if not total:
         if default is None:
             raise ValueError(f"there is no {value} to draw from, and no default")
@@ -127,7 +127,7 @@ def bootstrapped(rows: DataFrame, pool: DataFrame, seed: int, *key: str, value:
     good = drawn.filter("_n is not null").withColumn("_at", F.floor(F.col("_u") * F.col("_n")))
     good = good.join(own, (F.col("origin") == F.col("_o")) & (F.col("destination") == F.col("_d")) & (F.col("_at") == F.col("_i")))
     rest = drawn.filter("_n is null").withColumn("_at", F.floor(F.col("_u") * total))
-    step = max(1, total // 1000)
+    step = max(1, total // values)  # a part of the ranks for each value there is, so that a draw meets one or two values
     spread = every.select("_lo", "_hi", "_v", F.explode(F.sequence(F.floor(F.col("_lo") / step), F.floor((F.col("_hi") - 1) / step))).alias("_k"))
     rest = rest.withColumn("_k", F.floor(F.col("_at") / step)).join(spread, "_k").filter((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
     return good.select(*rows.columns, F.col("_v").alias(value)).unionByName(rest.select(*rows.columns, F.col("_v").alias(value)))

@@ -452,3 +452,71 @@ def file_flights_quarantine(spark, d):
 @query(FLIGHT_LINES + " SELECT 'F' || id AS flight_id, o_orderdate AS departure FROM f JOIN orders ON o_orderkey = id WHERE reason IS NULL")
 def file_flights_good(spark, d):
     return _plain(readers.checked_flights(spark, _flight_file(spark, d))[0].select("flight_id", "departure"), "departure")
+
+
+# --- the other files ---------------------------------------------------------------------------------------
+
+
+@query(heads("legs", "legs25") + " SELECT DISTINCT 'E' || origin AS origin, 'E' || destination AS destination FROM legs25 WHERE flight_id % 13 <> 0")
+def file_od_pairs(spark, d):
+    """Pairs of a file with columns in another case and order, and missing ends under several names."""
+    none = F.element_at(F.array(F.lit(" nan"), F.lit("NULL"), F.lit("")), (F.col("flight_id") % 3 + 1).cast("int"))
+    to = F.when(F.col("flight_id") % 13 == 0, none).otherwise(F.concat(F.lit("E"), F.col("destination").cast("string"), F.lit(" ")))
+    return readers.od_pairs(spark, text_file(S.legs25(spark, d).select(F.col("flight_id").alias("n"), to.alias("Destination"), F.concat(F.lit(" e"), F.col("origin").cast("string")).alias("ORIGIN")), folder(spark)))
+
+
+@query("SELECT c_custkey::VARCHAR AS aircraft_id, (400 + c_custkey % 90)::DOUBLE AS speed_kts FROM customer WHERE c_custkey % 17 <> 0")
+def file_aircraft(spark, d):
+    """Aircraft under the file's second name, with columns by their other names; rows without a speed go."""
+    speed = F.when(F.col("aircraft_id") % 34 == 0, "fast").when(F.col("aircraft_id") % 17 == 0, F.lit(None)).otherwise((400 + F.col("aircraft_id") % 90).cast("string"))
+    at = folder(spark)
+    text_file(S.aircrafts(spark, d).select(F.lit("x").alias("kind"), F.col("aircraft_id").alias("Airplane-ID"), speed.alias("Speed Knots")), f"{at}/aircraft.csv")
+    return readers.aircraft(spark, at)
+
+
+@query(heads("traj") + " SELECT flight_id::VARCHAR AS flight_id, 'N' || position AS position, time::BIGINT AS time FROM traj")
+def file_filed(spark, d):
+    """Filed flights with columns by their other names."""
+    t = S.trajectories(spark, d).select(F.col("flight_id").alias("FLIGHT"), F.concat(F.lit(" n"), F.col("position").cast("string")).alias("Vertex"), F.col("time").cast("double").alias("Slot"))
+    return readers.filed(spark, text_file(t, folder(spark)))
+
+
+@query(PAIRS + " SELECT u, v, CASE WHEN (u + v) % 4 = 0 THEN 1.0 ELSE printf('%.3f', d)::DOUBLE END::DOUBLE AS d FROM pairs WHERE u % 10 <> 0")
+def file_integer_edges(spark, d):
+    """Edges by number, of which some come again the other way round further down and some have ends that are none."""
+    e = catalogue._pairs(spark, d)
+    first = e.select(F.lit(0).alias("turn"), F.when(F.col("u") % 10 == 0, "x").otherwise(F.concat(F.col("u").cast("string"), F.lit(".0"))).alias("a"), F.col("v").cast("string").alias("b"), F.format_string("%.3f", "d").alias("m"))
+    again = e.filter("(u + v) % 4 = 0 and u % 10 <> 0").select(F.lit(1).alias("turn"), F.col("v").cast("string").alias("a"), F.col("u").cast("string").alias("b"), F.lit("1.0").alias("m"))
+    rows = first.unionByName(again).orderBy("turn", "a", "b").select(F.col("a").alias("From"), F.col("b").alias("TO"), F.col("m").alias("dist_m"))
+    return readers.integer_edges(spark, text_file(rows.coalesce(1), folder(spark)))
+
+
+@query(PAIRS + ", " + SOLVER.removeprefix("WITH ") + f", {VERTEX_NUMBERS} SELECT 'vertices' AS kind, id::VARCHAR AS id, number FROM n UNION ALL SELECT 'flights', flight_id::VARCHAR, number FROM fid UNION ALL SELECT 'airplanes', craft::VARCHAR, number FROM aid")
+def file_id_maps(spark, d):
+    """The bundle's maps of names to the solver's numbers, as read back."""
+    at, out = folder(spark), None
+    writers.id_maps(at, _solver(spark, d))
+    for kind in ("vertices", "flights", "airplanes"):
+        rows = spark.read.schema("id string, number long").json(f"{at}/mappings/id_maps/{kind}").select(F.lit(kind).alias("kind"), "id", "number")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    """SELECT 'F' || o_orderkey AS flight_id, 'A' || o_custkey % 150 AS aircraft_id, 'E' || o_custkey % 25 AS origin, 'E' || o_orderkey % 25 AS destination,
+o_orderdate + to_minutes(o_orderkey % 1440) AS departure, (430 + 10 * (o_custkey % 5))::DOUBLE AS speed_kts FROM orders"""
+)
+def file_synthetic_day(spark, d):
+    """Flights and aircraft as a day's files have them, joined after reading."""
+    key, craft = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    at = folder(spark)
+    writers.synthetic_day(
+        at,
+        S.table(spark, d, "orders").select(
+            text("F", key).alias("flight_id"), text("A", craft % 150).alias("aircraft_id"), text("E", craft % 25).alias("origin"), text("E", key % 25).alias("destination"),
+            F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + key % 1440 * 60).alias("departure"), (430 + 10 * (craft % 5)).cast("int").alias("speed_kts"),
+        ),
+    )
+    flights = _plain(readers.flights(spark, f"{at}/flights.csv"), "departure")
+    return flights.join(readers.aircraft(spark, at), "aircraft_id").select("flight_id", "aircraft_id", "origin", "destination", "departure", "speed_kts")

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.functions.scalar import BAD_TOKENS, ICAO, clean_code
+from skylattice.operators.graph import graph
 from skylattice.operators.model import all_numeric, cleaned, renormalised, same_day
 from skylattice.sources import storage
 
@@ -187,9 +188,10 @@ def assignment(spark: SparkSession, path: str) -> DataFrame:
 
 
 def integer_edges(spark: SparkSession, path: str) -> DataFrame:
-    """u, v, d with whole numbers as ends, of repeated edges the last."""
+    """u < v, d with whole numbers as ends, of repeated edges (either way round) the last in the file."""
     df = resolve(text_csv(spark, path), {"u": ("source", "v0", "from"), "v": ("target", "v1", "to"), "d": ("dist_m", "dist", "weight")}, positional=True)
-    return df.select(*[F.col(c).try_cast("double").cast("long").alias(c) for c in ("u", "v")], F.col("d").try_cast("double").alias("d")).dropna(subset=["u", "v"])
+    rows = df.select(*[F.col(c).try_cast("double").cast("long").alias(c) for c in ("u", "v")], F.col("d").try_cast("double").alias("d"), F.monotonically_increasing_id().alias("ordinal"))
+    return graph(rows.dropna(subset=["u", "v"]), "ordinal")
 
 
 def graph_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
