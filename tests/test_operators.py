@@ -441,6 +441,19 @@ def test_empty_pools(spark):
         sampling.bootstrapped(rows, none, 1, "key", value="tat_min")
 
 
+@pytest.mark.parametrize("values", [1, 7, 3000])
+def test_draws_from_all_samples_by_rank(spark, values):
+    """The sample of a rank, whether few values hold nearly all ranks or each has its own."""
+    pool = [(i, "A", "B", float(i % values if i % 3 else 0)) for i in range(3000)]
+    samples = spark.createDataFrame(pool, "flight_id long, origin string, destination string, duration_min double")
+    rows = spark.range(2000).select(F.col("id").alias("key"), F.lit("A").alias("origin"), F.lit("B").alias("destination"))
+    drawn = sampling.bootstrapped(rows, samples, 3, "key", min_samples=10_000)
+    place = F.floor(sampling.uniform(3, "boot", F.col("key")) * len(pool))
+    got = drawn.select(place.alias("at"), "duration_min").collect()
+    order = sorted(p[3] for p in pool)
+    assert len(got) == 2000 and all(order[r["at"]] == r["duration_min"] for r in got)
+
+
 def test_small_rules(spark, tmp_path):
     v = points(spark, [(i, 50, 10, 0) for i in range(5)]).withColumn("is_airport", (F.col("id") == 3).cast("int"))
     named = v.withColumn("id", F.concat(F.lit("V"), F.col("id").cast("string")))
@@ -459,6 +472,8 @@ def test_small_rules(spark, tmp_path):
     assert sorted(map(tuple, readers.assignment(spark, str(tmp_path / "a.csv")).collect())) == [(1, 2), (4, 5)]
     (tmp_path / "e.csv").write_text("source,target,dist_m\n1,2,3.5\n1,x,3\n")
     assert [tuple(r) for r in readers.integer_edges(spark, str(tmp_path / "e.csv")).collect()] == [(1, 2, 3.5)]
+    (tmp_path / "again.csv").write_text("v0,v1,dist\n1,2,3.5\n4,3,9\n2,1,7\n3,4,8.0\n5,5,1\n")
+    assert sorted(map(tuple, readers.integer_edges(spark, str(tmp_path / "again.csv")).collect())) == [(1, 2, 7.0), (3, 4, 8.0)]
     (tmp_path / "list.txt").write_text("eddf lfpg")
     assert readers.include_list(str(tmp_path / "list.txt"), spark) == ["EDDF", "LFPG"]
 
