@@ -72,12 +72,13 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """offsets, words: words[offsets[i]:offsets[i + 1]] are the maximal runs without ASCII white space of text i (null: none)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     words, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     if not full.all():
         words, bounds = words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[bounds]
-    return bounds.astype(np.int64), words
+    # words, not texts, become lower case: Arrow's function mixes up texts that are a slice of a batch, as those of steps() are
+    return bounds.astype(np.int64), pc.ascii_lower(words) if lower else words
 
 
 def hashed_words(words: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from skylattice.llm import embedding_dedup, line_dedup, url_filter
+import pyarrow as pa
+
+from skylattice.llm import common, embedding_dedup, line_dedup, lm_scoring, url_filter
 
 
 def test_embeddings_that_repeat_ids_or_have_none(spark):
@@ -63,3 +65,22 @@ def test_url_model_on_words_it_has_not_seen(spark):
             unwanted, found, fine, alarms = unwanted + label, found + (label and blocked), fine + (1 - label), alarms + ((not label) and blocked)
     print(f"by word: {found} of {unwanted} unwanted found, {alarms} of {fine} others blocked")
     assert alarms <= 0.5 * fine and found <= unwanted
+
+
+def test_words_of_the_slices_of_a_batch():
+    """A batch of more than a step's bytes is cut; each slice has its own words, in lower case too."""
+    texts = [f"Doc {i} HAS  {'w ' * (i % 7)}" for i in range(1000)] + [None, "", " "]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for lower in (False, True):
+        got = []
+        for part in common.steps(iter([batch]), "text", 4000):
+            bounds, words = common.split_words(part.column("text"), lower)
+            got += [words.to_pylist()[a:b] for a, b in zip(bounds, bounds[1:])]
+        assert got == [(t or "").lower().split() if lower else (t or "").split() for t in texts]
+
+
+def test_lm_scores_of_batches_over_a_step(spark):
+    """Documents of three steps in one task are all counted."""
+    rows = [(i, f"Word{i % 50} " * 6000) for i in range(400)]
+    got = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["n_tokens"] for r in got} == {6001} and {r["train_tokens"] for r in got} == {6001 * sum(not r["held_out"] for r in got)}
