@@ -43,6 +43,32 @@ def test_radius_join_anywhere_on_earth(spark, metres):
     assert not off
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_radius_join_sends_no_side_whole(spark):
+    """Neither side goes through the driver, and a point's columns come along without a join with the pairs."""
+    v = catalogue.S.navpoints(spark, SF)
+    pairs = spatial.radius_pairs(v.withColumn("sector", F.floor(F.col("id") / 50)), 60_000.0, carry=("ordinal",), on=("sector",))
+    assert "Broadcast" not in plan_of(spatial.radius_pairs(v, 60_000.0)) and "Broadcast" not in plan_of(pairs)
+    want = {(r["u"], r["v"]) for r in spatial.radius_pairs(v, 60_000.0).collect() if r["u"] // 50 == r["v"] // 50}
+    got = pairs.collect()
+    assert want and {(r["u"], r["v"]) for r in got} == want and all(r["ordinal_u"] == r["u"] and r["ordinal_v"] == r["v"] for r in got)
+
+
+def test_components_by_growing_radii(spark):
+    """The same as over all links, at once and over several radii, with crowds, a gap that only the last radius bridges, and none."""
+    r = random.Random(4)
+    rows = [(i, 50 + r.uniform(0, 0.05), 10 + r.uniform(0, 0.05), r.choice([0, 9000])) for i in range(150)]
+    rows += [(200 + i, 50 + r.uniform(0, 0.05), 10.19 + r.uniform(0, 0.05), 0) for i in range(60)] + [(300 + i, r.uniform(-80, 80), r.uniform(-180, 180), 0) for i in range(20)]
+    v = points(spark, rows)
+    for metres in (3_000.0, 12_000.0):
+        want = {x["id"]: x["component"] for x in graph.components(v, spatial.radius_pairs(v, metres)).collect()}
+        assert {x["id"]: x["component"] for x in graph.radius_components(v, metres).collect()} == want
+    assert graph.radius_components(v.limit(0), 1_000.0).count() == 0
+
+
 def test_boundaries_of_proximity_graphs(spark):
     # the third point is on the circle of the longest side, and just as far from both ends as they are from each other
     tri = spark.createDataFrame([(1, 2, 5.0), (1, 3, 3.0), (2, 3, 4.0)], "u long, v long, d double")
