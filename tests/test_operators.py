@@ -659,3 +659,23 @@ def test_bridges_are_minimum_trees(spark):
         b = graph.bridges(v, e, method, k=1)
         assert b.count() == len(at) - 4
         assert graph.components(v, e.unionByName(b)).select("component").distinct().count() == 1
+
+
+def test_numbers_of_vertices_without_their_pairs(spark, monkeypatch):
+    at = [(i, 50 + (i * 37 % 101) / 40, 10 + (i * 53 % 97) / 30, 100.0 * (i % 3)) for i in range(1, 160)] + [(500, -50.0, 0.0, 0.0)]
+    v = points(spark, at)
+    for metres in (3_000.0, 25_000.0, 400_000.0):
+        e = spatial.radius_pairs(v, metres).withColumn("ordinal", F.col("u") * 1_000_000 + F.col("v"))
+        want = {tuple(r) for r in writers.vertex_numbers(e, v).collect()}
+        monkeypatch.setattr(spatial, "radius_pairs", None)  # not needed any more
+        assert {tuple(r) for r in writers.radius_vertex_numbers(v, metres).collect()} == want
+        monkeypatch.undo()
+    assert spatial.first_neighbours(v.limit(0), 1000.0).count() == 0
+
+
+def test_flights_and_vertices_need_no_pairs(spark, monkeypatch):
+    from skylattice.plans import round_trips
+
+    monkeypatch.setattr(spatial, "radius_pairs", lambda *a, **k: pytest.fail("makes all pairs"))
+    for f in (round_trips.airport_vertex_numbers, round_trips.solver_assignment):
+        assert f(spark, "/root/testdata/sf0.001").count() > 0
