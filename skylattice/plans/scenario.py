@@ -148,8 +148,9 @@ def models(legs: DataFrame, p: Parameters) -> dict[str, DataFrame]:
 
 def linked(points: DataFrame, p: Parameters) -> DataFrame:
     """Edges among points by the scenario's rule."""
-    pairs = cut(spatial.radius_pairs(points, p.max_edge_m))
-    return {"radius": lambda x: x, "gabriel": spatial.gabriel, "relative": spatial.relative_neighbours}[p.graph](pairs)
+    if p.graph == "radius":
+        return cut(spatial.radius_pairs(points, p.max_edge_m))
+    return cut(spatial.open_pairs(points, p.max_edge_m, relative={"gabriel": False, "relative": True}[p.graph]))
 
 
 def navigation(spark: SparkSession, ports: DataFrame, boxes: list, p: Parameters, points: DataFrame | None = None, polygons: list | None = None) -> tuple[DataFrame, DataFrame]:

@@ -679,3 +679,17 @@ def test_flights_and_vertices_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "radius_pairs", lambda *a, **k: pytest.fail("makes all pairs"))
     for f in (round_trips.airport_vertex_numbers, round_trips.solver_assignment):
         assert f(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_open_pairs_need_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    at = [(50 + rng.random(), 10 + rng.random() * 1.5) for _ in range(250)] + [(50.5, 10.5)] * 2 + [(51.3, 10 + i / 40) for i in range(30)] + [(-89.9, 20.0 * i) for i in range(9)]
+    v = points(spark, [(i, a, b, 900.0) for i, (a, b) in enumerate(at)])
+    pairs = spatial.radius_pairs(v, 45_000.0)
+    rows = lambda df: {(r["u"], r["v"]) for r in df.select("u", "v").collect()}
+    want = rows(spatial.gabriel(pairs)), rows(spatial.relative_neighbours(pairs))
+    uneven = points(spark, [(i, 50 + i % 7 / 50, 10 + i % 5 / 50, 3000.0 * (i % 3)) for i in range(30)])
+    assert rows(spatial.open_pairs(uneven, 45_000.0)) == rows(spatial.gabriel(spatial.radius_pairs(uneven, 45_000.0)))
+    monkeypatch.setattr(spatial, "radius_pairs", lambda *a, **k: pytest.fail("makes all pairs"))
+    assert (rows(spatial.open_pairs(v, 45_000.0)), rows(spatial.open_pairs(v, 45_000.0, relative=True))) == want
+    assert spatial.open_pairs(v.limit(0), 1000.0).count() == 0
