@@ -693,3 +693,10 @@ def test_open_pairs_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "radius_pairs", lambda *a, **k: pytest.fail("makes all pairs"))
     assert (rows(spatial.open_pairs(v, 45_000.0)), rows(spatial.open_pairs(v, 45_000.0, relative=True))) == want
     assert spatial.open_pairs(v.limit(0), 1000.0).count() == 0
+
+
+def test_regions_are_counted_where_points_meet_them(spark):
+    v = points(spark, [(1, 50.0, 10.0, 0), (2, 58.0, 10.0, 0)])
+    regions = spark.createDataFrame([(7, 1, [49.0, 51.0, 51.0, 49.0], [9.0, 9.0, 11.0, 11.0])], "region long, scenario long, lats array<double>, lons array<double>")
+    found = spatial.in_region_table(v, regions)
+    assert [tuple(r) for r in found.collect()] == [(1, 7)] and "hashpartitioning(id" not in plan_of(found)
