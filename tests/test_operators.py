@@ -700,3 +700,17 @@ def test_regions_are_counted_where_points_meet_them(spark):
     regions = spark.createDataFrame([(7, 1, [49.0, 51.0, 51.0, 49.0], [9.0, 9.0, 11.0, 11.0])], "region long, scenario long, lats array<double>, lons array<double>")
     found = spatial.in_region_table(v, regions)
     assert [tuple(r) for r in found.collect()] == [(1, 7)] and "hashpartitioning(id" not in plan_of(found)
+
+
+def test_edges_in_files_that_follow_each_other(spark, tmp_path):
+    """The last line wins over all files, and edges are written by more than one task."""
+    rows = spark.range(0, 4000, 1, 8).select((F.col("id") % 2000).alias("From"), F.lit(5000).alias("To"), F.col("id").alias("dist"))
+    rows.write.option("header", True).csv(str(tmp_path / "e"))
+    assert {r["d"] - r["u"] for r in readers.integer_edges(spark, str(tmp_path / "e")).collect()} == {2000.0}
+    v = points(spark, [(i, 50, 10 + i / 1000, 0) for i in range(80)])
+    e = spark.createDataFrame([(i, i + 1, 2.0, i, i + 1) for i in range(79)], "u long, v long, d double, ordinal_u long, ordinal_v long")
+    assert "Join" not in plan_of(writers.edge_lines(e, v))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    writers.graph_files(str(tmp_path / "g"), v, e)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(str(tmp_path / "g/edges.csv/*.csv"))) > 1
