@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions.geo import EARTH
 from skylattice.operators.graph import components, first_appearance
+from skylattice.session import cut
 
 
 class Net:
@@ -97,9 +100,89 @@ def grow_convex(net: Net, size: int) -> list[int]:
     return owner
 
 
+class Disc:
+    """Points of a region, numbered in order, whose neighbours are those within `metres`. They are looked for in the cells around a point
+    and no pair is kept; a cell forgets points that have a sector."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, alt: np.ndarray, cell: np.ndarray, metres: float):
+        self.n, self.metres, self.alt = len(lat), metres, alt
+        self.y, self.x = np.radians(lat), np.radians(lon)
+        own: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, cell.tolist())):
+            own.setdefault(c, []).append(i)
+        self.place = list(map(tuple, cell.tolist()))
+        self.own = {c: np.array(v) for c, v in own.items()}
+        self.cells: dict[tuple, np.ndarray] = {}
+
+    def around(self, i: int, owner: np.ndarray, most: int, reached: set[int]) -> list[int]:
+        """The first `most` free neighbours of i that were not reached, ascending."""
+        c = self.place[i]
+        if c not in self.cells:
+            self.cells[c] = np.sort(np.concatenate([self.own[k] for k in product(*((x - 1, x, x + 1) for x in c)) if k in self.own]))
+        free = self.cells[c]
+        self.cells[c] = free = free[owner[free] < 0]
+        out, at, step = [], 0, max(64, 16 * most)
+        while at < len(free) and len(out) < most:
+            j = free[at : at + step]
+            h = np.sin((self.y[j] - self.y[i]) / 2) ** 2 + np.cos(self.y[i]) * np.cos(self.y[j]) * np.sin((self.x[j] - self.x[i]) / 2) ** 2
+            arc = 2 * np.arcsin(np.sqrt(np.clip(h, 0.0, 1.0))) * (EARTH + (self.alt[i] + self.alt[j]) / 2)
+            out += [k for k in j[np.hypot(arc, self.alt[j] - self.alt[i]) <= self.metres].tolist() if k not in reached]
+            at, step = at + step, 2 * step
+        return out[:most]
+
+
+def grow_within(disc: Disc, size: int) -> np.ndarray:
+    """grow_connected() of all links of a disc: of a vertex's neighbours only as many are looked for as the sector still takes."""
+    owner, k = np.full(disc.n, -1, np.int64), 0
+    for seed in range(disc.n):
+        if owner[seed] < 0:
+            line, reached = [seed], {seed}
+            for i in line:
+                if len(line) >= size:
+                    break
+                fresh = disc.around(i, owner, size - len(line), reached)
+                reached.update(fresh)
+                line += fresh
+            owner[line] = k
+            k += 1
+    return owner
+
+
+def regions(points: DataFrame, metres: float) -> DataFrame:
+    """points (id, lat, lon, alt) with their cell (x, y, z, by cubes as wide as the radius) and region: cells that touch each other, so no
+    link up to `metres` leads out of a region. Regions are components of the cells, which are few beside the points."""
+    side = 2 * math.sin(min(metres * (1 + 1e-6) / EARTH, math.pi) / 2) * (1 + 1e-9) + 1e-12
+    wide = math.ceil(2 / side) + 4
+    flat = F.cos(F.radians("lat"))
+    x, y, z = (F.floor((c + 1) / side) + 1 for c in (flat * F.cos(F.radians("lon")), flat * F.sin(F.radians("lon")), F.sin(F.radians("lat"))))
+    placed = cut(points.withColumns({"x": x, "y": y, "z": z, "cell": (x * wide + y) * wide + z}))
+    cells = cut(placed.select(F.col("cell").alias("id")).distinct())
+    steps = [(a * wide + b) * wide + c for a, b, c in product((-1, 0, 1), repeat=3) if (a, b, c) > (0, 0, 0)]
+    links = cells.select(F.col("id").alias("u"), F.explode(F.array(*(F.col("id") + s for s in steps))).alias("v")).join(cells.select(F.col("id").alias("v")), "v", "left_semi")
+    return placed.join(components(cells, links).select(F.col("id").alias("cell"), F.col("component").alias("region")), "cell")
+
+
+def radius_sectors(points: DataFrame, metres: float, size: int) -> DataFrame:
+    """points (id, lat, lon, alt, ordinal) -> sectors() of all links up to `metres`, which are not made: a region is a group of its own
+    and holds its points only. Negative altitudes are not meant."""
+    kind = dict(points.dtypes)["id"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ordinal", "id"])
+        names = pd.Index(pdf["id"])
+        owner = grow_within(Disc(*(pdf[c].to_numpy(float) for c in ("lat", "lon", "alt")), pdf[["x", "y", "z"]].to_numpy(np.int64), metres), size)
+        _, seeds = np.unique(owner, return_index=True)
+        return pd.DataFrame({"id": names, "seed": names[seeds[owner]]})
+
+    placed = regions(points.select("id", "lat", "lon", "alt", "ordinal"), metres)
+    grouped = placed.select("region", "id", "ordinal", "lat", "lon", "alt", "x", "y", "z").groupBy("region").applyInPandas(run, f"id {kind}, seed {kind}")
+    return _with_numbers(points, cut(grouped))
+
+
 def sectors(vertices: DataFrame, edges: DataFrame, size: int, convex: bool = False) -> DataFrame:
     """vertices (id, ordinal), edges (u, v, d) -> id, sector (numbered by its seed's ordinal). Components are independent, so each is
     a group of its own."""
+    edges = cut(edges.select("u", "v", "d"))
     label = components(vertices, edges)
     own = vertices.select("id", "ordinal").join(label, "id").select("component", "ordinal", F.col("id").alias("a"), F.lit(None).cast(dict(vertices.dtypes)["id"]).alias("b"), F.lit(0.0).alias("d"))
     links = edges.join(label.withColumnRenamed("id", "u"), "u").select("component", F.lit(None).cast(dict(vertices.dtypes)["ordinal"]).alias("ordinal"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("d").cast("double").alias("d"))
@@ -114,10 +197,13 @@ def sectors(vertices: DataFrame, edges: DataFrame, size: int, convex: bool = Fal
         _, seeds = np.unique(owner, return_index=True)  # sectors are numbered by their first vertices
         return pd.DataFrame({"id": names, "seed": names[seeds[owner]]})
 
-    grouped = own.unionByName(links).groupBy("component").applyInPandas(run, f"id {kind}, seed {kind}")
+    return _with_numbers(vertices, cut(own.unionByName(links).groupBy("component").applyInPandas(run, f"id {kind}, seed {kind}")))
+
+
+def _with_numbers(vertices: DataFrame, grouped: DataFrame) -> DataFrame:
+    """grouped (id, seed) -> id, sector, seed."""
     seeds = vertices.join(grouped.select(F.col("seed").alias("id")).distinct(), "id", "left_semi")
-    number = numbered(seeds)
-    return grouped.join(number, "seed").select("id", F.format_string("SECTOR_%06d", F.col("number") + 1).alias("sector"), "seed")
+    return grouped.join(numbered(seeds), "seed").select("id", F.format_string("SECTOR_%06d", F.col("number") + 1).alias("sector"), "seed")
 
 
 def numbered(seeds: DataFrame) -> DataFrame:

@@ -190,6 +190,18 @@ def test_sectors_are_numbered_by_seed(spark):
     assert got == {i: f"SECTOR_{i // 3 + 1:06d}" for i in range(7)}
 
 
+def test_sectors_of_a_radius_need_no_pairs(spark, monkeypatch):
+    """Two crowds, one over the date line, points alone and two altitudes: the sectors of all links, which are not made."""
+    r = random.Random(8)
+    spots = [(r.uniform(50, 51.5), r.uniform(8, 10)) for _ in range(250)] + [(r.uniform(-1, 1), (179 + r.uniform(0, 2) + 180) % 360 - 180) for _ in range(150)] + [(80, 0), (-89.9, 3), (-89.9, -170)]
+    v = points(spark, [(i * 7919 % 1009, a, b, 9000 * (i % 40 == 0)) for i, (a, b) in enumerate(spots)])
+    want = sorted(map(tuple, sectors.sectors(v, spatial.radius_pairs(v, 30_000.0), 9).collect()))
+    monkeypatch.setattr(spatial, "_met", None)
+    got = sorted(map(tuple, sectors.radius_sectors(v, 30_000.0, 9).collect()))
+    assert got == want and len({s for _, s, _ in got}) > 40
+    assert sectors.radius_sectors(v.limit(0), 30_000.0, 9).count() == 0
+
+
 def test_shortest_paths(spark):
     r = random.Random(6)
     e = {(min(a, b), max(a, b)): r.randint(1, 9) for a, b in ((r.randrange(20), r.randrange(20)) for _ in range(40)) if a != b} | {(90, 91): 2}
