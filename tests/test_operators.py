@@ -202,6 +202,20 @@ def test_sectors_of_a_radius_need_no_pairs(spark, monkeypatch):
     assert sectors.radius_sectors(v.limit(0), 30_000.0, 9).count() == 0
 
 
+def test_edges_of_sectors_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    v = points(spark, [(i, 50, 10, 0) for i in range(7)])
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "u long, v long, d double").mapInPandas(counted, "u long, v long, d double")
+    assert sectors.sectors(v, e, 3, convex=True).count() == 7
+    assert made.value == 6
+
+
 def test_shortest_paths(spark):
     r = random.Random(6)
     e = {(min(a, b), max(a, b)): r.randint(1, 9) for a, b in ((r.randrange(20), r.randrange(20)) for _ in range(40)) if a != b} | {(90, 91): 2}
