@@ -665,6 +665,33 @@ def test_costs_in_buckets_of_any_width(spark, width):
     assert graph.shortest_costs(spark.createDataFrame([], "u long, v long, w int"), spark.createDataFrame([(3,)], "src long")).count() == 1
 
 
+def test_costs_from_all_nodes_by_tiles(spark):
+    """A path, a random graph apart from it, in tiles of 7 nodes; and no arc at all."""
+    r = random.Random(9)
+    e = {(f"p{i:02d}", f"p{i + 1:02d}"): r.randint(1, 9) for i in range(4)} | {(f"r{a:02d}", f"r{b:02d}"): r.randint(1, 9) for a, b in ((r.randrange(12), r.randrange(12)) for _ in range(30)) if a != b}
+    both = [(a, b, w) for (a, b), w in e.items()] + [(b, a, w) for (a, b), w in e.items()]
+    arcs = spark.createDataFrame(both, "u string, v string, w long")
+    far = {(a, a): 0 for a, _, _ in both}
+    for _ in range(25):
+        for s in {a for a, _, _ in both}:
+            for a, b, w in both:
+                if (s, a) in far and far[s, a] + w < far.get((s, b), 1e9):
+                    far[s, b] = far[s, a] + w
+    assert {(x["src"], x["node"]): x["dist"] for x in graph.all_costs(arcs, tile=7).collect()} == far
+    assert graph.all_costs(arcs.limit(0)).count() == 0
+
+
+def test_costs_end_with_the_wanted_nodes(spark):
+    """Routes are the same when sources stop at their wanted nodes, which on a long path leaves most of it alone."""
+    arcs = spark.createDataFrame([(a, b, 1 + min(a, b) % 2) for i in range(9) for a, b in ((i, i + 1), (i + 1, i))] + [(0, 2, 3), (2, 0, 3)], "u long, v long, w long")
+    wanted = spark.createDataFrame([(1, 0, 3), (2, 0, 3), (3, 9, 9), (5, 9, 99)], "flight_id long, src long, dst long")
+    ends = wanted.select("src", F.col("dst").alias("node")).filter("node < 99")
+    some, every = (graph.shortest_costs(arcs, wanted.select("src"), width, wanted=x) for width, x in ((1, ends), (None, None)))
+    flown = lambda tree: sorted(map(tuple, graph.routes(tree, wanted).collect()))
+    assert flown(some) == flown(every) and [x[2] for x in flown(some) if x[0] == 1] == [0, 2, 3]  # of equal costs by the smallest node before
+    assert some.count() < every.count() == 20
+
+
 def test_bridges_are_minimum_trees(spark):
     """Far and near groups, equal distances, names that are text."""
     r = random.Random(3)
