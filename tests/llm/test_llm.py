@@ -304,6 +304,18 @@ def test_lm_scores_do_not_depend_on_the_number_of_partitions(spark, docs, monkey
     assert lm_scoring.segments_for(0) == 64 and lm_scoring.segments_for(10**14) * lm_scoring.SEGMENT_BYTES >= 10**14
 
 
+def test_lm_arrays_come_back_and_ascending_ones_are_small():
+    r = np.random.default_rng(5)
+    odd = [np.array([], np.uint32), np.array([7], np.int64), np.array([-(1 << 63), 0, (1 << 63) - 1]), np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64), np.array([1, 0, 1], np.uint8), r.integers(0, 1 << 31, 99).astype(np.int32)]
+    for a, b in zip(odd, lm_scoring.unpacked(lm_scoring.packed(*odd), *(a.dtype for a in odd))):
+        assert a.dtype == b.dtype and a.tolist() == b.tolist()
+    pair = np.sort(r.integers(0, 1 << 32, 20_000).astype(np.uint32))
+    assert len(lm_scoring.packed(pair)) < 3 * len(pair)  # as they are they take 4 bytes each
+    text = " ".join(f"w{x}" for x in r.integers(0, 50_000, 400_000))
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [text] * 3})
+    assert len(list(lm_scoring.steps(iter([rows]), "text", lm_scoring.CHUNK_BYTES))) == 3  # a chunk each, as a worker holds one at a time
+
+
 def test_filter_has_no_misses():
     r = np.random.default_rng(4)
     pair, count = r.integers(0, 1 << 63, 2000).astype(np.uint64), r.integers(1, 300, 2000)
