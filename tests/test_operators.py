@@ -782,3 +782,16 @@ def test_edges_in_files_that_follow_each_other(spark, tmp_path):
     writers.graph_files(str(tmp_path / "g"), v, e)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(glob.glob(str(tmp_path / "g/edges.csv/*.csv"))) > 1
+
+
+def test_open_pairs_move_no_pair_of_points(spark):
+    r = random.Random(3)
+    p = spark.createDataFrame([(i, 45 + r.random(), 5 + r.random(), 0.0) for i in range(60)], "id long, lat double, lon double, alt double")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = spatial.open_pairs(p, 60_000.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    last = plan[plan.index("ObjectHashAggregate") :]
+    assert "Join" in last and "Exchange" not in last[: last.index("Join")]
