@@ -795,3 +795,24 @@ def test_open_pairs_move_no_pair_of_points(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     last = plan[plan.index("ObjectHashAggregate") :]
     assert "Join" in last and "Exchange" not in last[: last.index("Join")]
+
+
+def test_points_without_a_near_one(spark):
+    import random
+
+    r = random.Random(11)
+    rows = [(i, 50 + r.random(), 10 + r.random() * 2, r.choice([0.0, 9144.0])) for i in range(500)]
+    rows += [(1000 + i, 60 + i * 0.5, 179.99, 0.0) for i in range(4)] + [(1100, 60.0, -179.99, 0.0), (1101, 89.99, 0.0, 0.0), (1102, 89.99, 180.0, 0.0), (1103, None, 5.0, 0.0), (1104, 10.0, 10.0, 0.0), (1104, 10.0, 10.0, 0.0)]
+    points = spark.createDataFrame(rows, "id long, lat double, lon double, alt double")
+    pairs = {(p["u"], p["v"]) for metres in (8_000.0,) for p in spatial.radius_pairs(points, metres).filter(F.col("d") < metres).select("u", "v").collect()}
+    ends = {x for p in pairs for x in p}
+    got = sorted(x["id"] for x in spatial.alone(points, 8_000.0).collect())
+    assert got == sorted(i for i, *_ in rows if i not in ends) and {1103, 1104} <= set(got) and not {1000, 1100, 1101} & set(got) and 20 < len(got) < 400
+
+
+def test_isolated_points_make_no_pairs(spark, monkeypatch):
+    from skylattice.plans import catalogue, round_trips
+
+    monkeypatch.setattr(spatial, "radius_pairs", lambda *_, **__: pytest.fail("all pairs were asked for"))
+    monkeypatch.setattr(catalogue.S, "navpoints", lambda *_: spark.createDataFrame([(1, 50.0, 10.0, 0.0), (2, 50.1, 10.0, 0.0), (3, 51.0, 10.0, 0.0)], "id long, lat double, lon double, alt double"))
+    assert [x["id"] for x in round_trips.isolated_vertices(spark, "").collect()] == [3]
