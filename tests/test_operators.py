@@ -816,3 +816,18 @@ def test_isolated_points_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "radius_pairs", lambda *_, **__: pytest.fail("all pairs were asked for"))
     monkeypatch.setattr(catalogue.S, "navpoints", lambda *_: spark.createDataFrame([(1, 50.0, 10.0, 0.0), (2, 50.1, 10.0, 0.0), (3, 51.0, 10.0, 0.0)], "id long, lat double, lon double, alt double"))
     assert [x["id"] for x in round_trips.isolated_vertices(spark, "").collect()] == [3]
+
+
+def test_regions_of_few_sides_are_compiled(spark, monkeypatch):
+    r = random.Random(21)
+    at = spark.createDataFrame([(i, r.uniform(40, 50), r.uniform(0, 10)) for i in range(300)], "id long, lat double, lon double")
+    rows = [(k, [r.uniform(39, 51) for _ in range(n)], [r.uniform(-1, 11) for _ in range(n)]) for k, n in enumerate((3, 4, 7, 24, 2, 0, 5, 5))]
+    regions = spark.createDataFrame([*rows, (7, [44.0, 44.0, 46.0], [2.0, 5.0, 5.0])], "region long, lats array<double>, lons array<double>")  # one of two parts
+    few = spatial.in_region_table(at, regions.filter("region <> 3"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(_sides" not in plan(few)
+    every = sorted(map(tuple, spatial.in_region_table(at, regions).collect()))
+    monkeypatch.setattr(spatial, "UNROLLED", 0)
+    assert "filter(_sides" in plan(spatial.in_region_table(at, regions))
+    assert every == sorted(map(tuple, spatial.in_region_table(at, regions).collect())) and len(every) > 100
+    assert sorted(map(tuple, few.collect())) == [x for x in every if x[1] != 3]
