@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Iterator
 from itertools import islice, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,32 @@ from skylattice.session import cut
 
 
 class Net:
-    """A component with its vertices numbered in order: of vertex i the neighbours to[first[i]:first[i + 1]], ascending."""
+    """A component with its vertices numbered in order: of vertex i the neighbours to[first[i]:first[i + 1]], ascending. Arrays, as lists
+    of numbers take some four times as much memory."""
 
     def __init__(self, n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray):
         a, b, w = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([d, d])
         by = np.lexsort((b, a))
-        self.n, self.to, self.metres = n, b[by].tolist(), w[by].tolist()
-        self.first = np.searchsorted(a[by], np.arange(n + 1)).tolist()
+        self._set(n, np.searchsorted(a[by], np.arange(n + 1)), [b[by]], [w[by]])
+
+    def _set(self, n: int, first: np.ndarray, to: list[np.ndarray], metres: list[np.ndarray]) -> None:
+        self.n, self.first, self.to, self.metres = n, array("q", first.astype(np.int64).tobytes()), array("i"), array("d")
+        for out, kind, parts in ((self.to, np.int32, to), (self.metres, np.float64, metres)):
+            while parts:
+                out.frombytes(parts.pop(0).astype(kind).tobytes())
+
+    @classmethod
+    def of(cls, places: np.ndarray, first: np.ndarray, to: list[np.ndarray], metres: list[np.ndarray]) -> Net:
+        """From the vertices' places, ascending, and both ways' links in order, in parts, which are used up; ends are places."""
+        net, to = cls.__new__(cls), [np.searchsorted(places, to.pop(0)).astype(np.int32) for _ in range(len(to))]
+        net._set(len(places), first, to, metres)
+        return net
 
     def around(self, i: int) -> Iterator[tuple[int, float]]:
         for k in range(self.first[i], self.first[i + 1]):
             yield self.to[k], self.metres[k]
 
-    def outward(self, seed: int, owner: list[int]) -> Iterator[int]:
+    def outward(self, seed: int, owner: array) -> Iterator[int]:
         """Free vertices in breadth-first order."""
         line, reached = [seed], {seed}
         for i in line:
@@ -61,9 +76,9 @@ class Net:
         return on
 
 
-def grow_connected(net: Net, size: int) -> list[int]:
+def grow_connected(net: Net, size: int) -> array:
     """The sector of each vertex: the first `size` free vertices outward from the first free one, and again."""
-    owner, k = [-1] * net.n, 0
+    owner, k = array("i", [-1]) * net.n, 0
     for seed in range(net.n):
         if owner[seed] < 0:
             for i in list(islice(net.outward(seed, owner), size)):
@@ -72,10 +87,10 @@ def grow_connected(net: Net, size: int) -> list[int]:
     return owner
 
 
-def grow_convex(net: Net, size: int) -> list[int]:
+def grow_convex(net: Net, size: int) -> array:
     """Sectors in which all shortest paths between members stay: a vertex comes in only if the paths to all members run over
     members or free vertices, which come in with it, so a sector can get larger than `size`."""
-    owner, k = [-1] * net.n, 0
+    owner, k = array("i", [-1]) * net.n, 0
     for seed in range(net.n):
         if owner[seed] >= 0:
             continue
@@ -182,22 +197,50 @@ def radius_sectors(points: DataFrame, metres: float, size: int) -> DataFrame:
 def sectors(vertices: DataFrame, edges: DataFrame, size: int, convex: bool = False) -> DataFrame:
     """vertices (id, ordinal), edges (u, v, d) -> id, sector (numbered by its seed's ordinal). Components are independent, so each is
     a group of its own."""
-    edges = cut(edges.select("u", "v", "d"))
-    label = components(vertices, edges)
-    own = vertices.select("id", "ordinal").join(label, "id").select("component", "ordinal", F.col("id").alias("a"), F.lit(None).cast(dict(vertices.dtypes)["id"]).alias("b"), F.lit(0.0).alias("d"))
-    links = edges.join(label.withColumnRenamed("id", "u"), "u").select("component", F.lit(None).cast(dict(vertices.dtypes)["ordinal"]).alias("ordinal"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("d").cast("double").alias("d"))
-    kind = dict(vertices.dtypes)["id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inner, outer = pdf[pdf["ordinal"].isna()], pdf[pdf["ordinal"].notna()].sort_values(["ordinal", "a"])
-        names = pd.Index(outer["a"])
-        shortest = inner.assign(u=names.get_indexer(inner["a"]), v=names.get_indexer(inner["b"])).groupby(["u", "v"], as_index=False)["d"].min()
-        net = Net(len(names), shortest["u"].to_numpy(), shortest["v"].to_numpy(), shortest["d"].to_numpy())
-        owner = np.array((grow_convex if convex else grow_connected)(net, size))
-        _, seeds = np.unique(owner, return_index=True)  # sectors are numbered by their first vertices
-        return pd.DataFrame({"id": names, "seed": names[seeds[owner]]})
-
-    return _with_numbers(vertices, cut(own.unionByName(links).groupBy("component").applyInPandas(run, f"id {kind}, seed {kind}")))
+    edges = cut(edges.select("u", "v", F.col("d").cast("double").alias("d")))
+    place = first_appearance(vertices.select(F.col("id").alias("name"), "ordinal"), "name", F.col("ordinal")).select(F.col("name").alias("id"), F.col("id").alias("place"))
+    at = cut(place.join(components(vertices, edges), "id"))
+    at = cut(at.join(at.groupBy("component").agg(F.min("place").alias("g")), "component").select("id", "place", "g"))
+    ends = edges.join(at.select(F.col("id").alias("u"), F.col("place").alias("a"), "g"), "u").join(at.select(F.col("id").alias("v"), F.col("place").alias("b")), "v")
+    links = cut(ends.filter("a <> b").groupBy("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")))
+    own = at.select("g", F.col("place").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("d"))
+    rows = own.unionByName(links).unionByName(links.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    grow = grow_convex if convex else grow_connected
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted: of each vertex a row with no end, then its links. A component is held as arrays of its places, ends and lengths."""
+        at, n_links, places, first, to, metres = None, 0, [], [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal n_links
+            names = np.concatenate(places)
+            net = Net.of(names, np.append(np.concatenate(first), n_links), to, metres)
+            places.clear(), first.clear()
+            owner = np.frombuffer(grow(net, size), np.int32)
+            _, seeds = np.unique(owner, return_index=True)  # sectors are numbered by their first vertices
+            for k in range(0, len(names), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + (1 << 16)]), pa.array(names[seeds[owner[k : k + (1 << 16)]]])], ["place", "seed"])
+            n_links = 0
+
+        for batch in batches:
+            g, a, b, d = (batch.column(c).to_numpy() for c in ("g", "a", "b", "d"))
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x:
+                    if g[x] != at and at is not None:
+                        yield from done()
+                    at, link = g[x], b[x:y] >= 0
+                    places.append(a[x:y][~link])
+                    first.append(n_links + np.cumsum(link)[~link])
+                    to.append(b[x:y][link].astype(np.uint32) if b[x:y].max() < 1 << 32 else b[x:y][link])
+                    metres.append(d[x:y][link])
+                    n_links += int(link.sum())
+        if at is not None:
+            yield from done()
+
+    grown = cut(rows.repartition("g").sortWithinPartitions("g", "a", "b").mapInArrow(run, "place long, seed long"))
+    named = lambda c, out: at.select(F.col("place").alias(c), F.col("id").alias(out))
+    return _with_numbers(vertices, cut(grown.join(named("place", "id"), "place").join(named("seed", "_seed"), "seed").select("id", F.col("_seed").alias("seed"))))
 
 
 def _with_numbers(vertices: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -831,3 +831,25 @@ def test_regions_of_few_sides_are_compiled(spark, monkeypatch):
     assert "filter(_sides" in plan(spatial.in_region_table(at, regions))
     assert every == sorted(map(tuple, spatial.in_region_table(at, regions).collect())) and len(every) > 100
     assert sorted(map(tuple, few.collect())) == [x for x in every if x[1] != 3]
+
+
+def test_nets_are_arrays_and_come_in_parts(spark):
+    r = random.Random(31)
+    links = sorted({tuple(sorted(r.sample(range(90), 2))) for _ in range(200)})
+    u, v = np.array(links).T
+    d = np.array([r.random() for _ in links])
+    net = sectors.Net(90, u, v, d)
+    both = sorted([(a, b, w) for (a, b), w in zip(links, d)] + [(b, a, w) for (a, b), w in zip(links, d)])
+    a, b, w = (np.array(x) for x in zip(*both))
+    places = np.arange(90) * 3 + 7  # some of all places
+    part = sectors.Net.of(places, np.searchsorted(a, np.arange(91)), [places[b[i : i + 11]] for i in range(0, len(b), 11)], [w[i : i + 11] for i in range(0, len(b), 11)])
+    assert (net.first, net.to, net.metres) == (part.first, part.to, part.metres)
+    assert net.to.itemsize + net.metres.itemsize <= 12  # bytes a link and direction
+    vertices = points(spark, [(i, 50, 10, 0) for i in range(200, 290)])
+    edges = spark.createDataFrame([(200 + x, 200 + y, float(z)) for (x, y), z in zip(links, d) if (x < 40) == (y < 40)], "u long, v long, d double")
+    want = sorted(map(tuple, sectors.sectors(vertices, edges, 6, convex=True).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, sectors.sectors(vertices, edges, 6, convex=True).collect())) == want and len(want) == 90 and len({x[1] for x in want}) > 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
